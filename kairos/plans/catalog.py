@@ -349,3 +349,7 @@ QUERIES = {
     "time_window": time_window,
     "qq_points": qq_points,
 }
+
+from kairos.plans.model_queries import MODEL_QUERIES  # noqa: E402
+
+QUERIES.update(MODEL_QUERIES)

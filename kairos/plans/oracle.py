@@ -319,3 +319,34 @@ p AS (SELECT r.value, (CAST(r.rk AS DOUBLE) - CASE WHEN n.n <= 10 THEN 0.375 ELS
 SELECT value AS sample, {_r(norm_quantile_sql('pp'))} AS theoretical, {_r('slope')} AS line_slope,
        {_r('q1 - slope * CAST(-0.6744897501960817 AS DOUBLE)')} AS line_intercept
 FROM p"""
+
+_LI_BASE = f"""li AS (
+  SELECT l_returnflag || l_linestatus AS entity, CAST(l_shipdate >= {LI_CUT} AS DOUBLE) AS post,
+         CAST(datediff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS t,
+         round(l_discount * 100) AS disc, {LI_Y} AS y
+  FROM lineitem)"""
+
+_GT = [("(Intercept)", "1.0"), ("post", "post"), ("t", "t"), ("disc", "disc"), ("y", "y")]
+SQL["gram_matrix"] = f"WITH {_LI_BASE}\n" + "\nUNION ALL\n".join(
+    f"SELECT entity, '{a}' AS row_term, '{b}' AS col_term, {_r(f'sum(({ea}) * ({eb}))')} AS value FROM li GROUP BY entity"
+    for i, (a, ea) in enumerate(_GT) for (b, eb) in _GT[i:])
+
+SQL["ols_simple"] = f"""WITH {_LI_BASE}
+SELECT entity AS stratum, '(Intercept)' AS term, {_r('regr_intercept(y, t)')} AS beta FROM li GROUP BY entity
+UNION ALL
+SELECT entity, 't', {_r('regr_slope(y, t)')} FROM li GROUP BY entity"""
+
+SQL["lmm_profile_grid"] = f"""WITH {_LI_BASE},
+e AS (SELECT entity, CAST(count(*) AS DOUBLE) AS n, sum(post) AS a, sum(y) AS sy, sum(post * y) AS spy,
+             sum(y * y) AS syy FROM li GROUP BY 1),
+th AS (SELECT unnest([0.0, 0.0001, 0.001, 0.01, 0.1, 1.0]::DOUBLE[]) AS theta),
+w AS (SELECT th.theta, e.*, th.theta / (1.0 + e.n * th.theta) AS w FROM e CROSS JOIN th),
+m AS (SELECT theta, sum(n) - sum(w * n * n) AS m00, sum(a) - sum(w * n * a) AS m01, sum(a) - sum(w * a * a) AS m11,
+             sum(sy) - sum(w * n * sy) AS r0, sum(spy) - sum(w * a * sy) AS r1, sum(syy) - sum(w * sy * sy) AS myy,
+             sum(n) AS nn, sum(ln(1.0 + n * theta)) AS ld
+      FROM w GROUP BY theta),
+b AS (SELECT *, (m11 * r0 - m01 * r1) / (m00 * m11 - m01 * m01) AS b0,
+                (m00 * r1 - m01 * r0) / (m00 * m11 - m01 * m01) AS b1 FROM m)
+SELECT {_r('theta')} AS theta, {_r('b0')} AS beta_int, {_r('b1')} AS beta_post,
+       {_r('-nn / 2.0 * (ln(2.0 * pi()) + ln((myy - b0 * r0 - b1 * r1) / nn) + 1.0) - ld / 2.0')} AS loglik
+FROM b"""
