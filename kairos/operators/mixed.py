@@ -120,10 +120,18 @@ class MixedModel:
             final = self._final({s: prm for s in self.totals})
             for s, (C, ld) in final.items():
                 G = self.totals[s]
-                res = profile(G - C, G[0, 0], ld, self.keep[s], self.spec.method)
+                res = self._raw_loglik(profile(G - C, G[0, 0], ld, self.keep[s], self.spec.method), s)
                 out.append({"stratum": s, "params": prm, **res})
         return out
 
+    def _raw_loglik(self, res: dict, stratum: str) -> dict:
+        """REML's −½log|X'V⁻¹X| depends on the column scaling used internally;
+        shift it back to the original columns (−Σ log sd_j).  ML is invariant."""
+        if self.spec.method == "REML":
+            kept = [self.design.terms[j] for j in self.keep[stratum]]
+            res["loglik"] -= sum(math.log(self.design.moments[t][1]) for t in kept if t in self.design.moments)
+        return res
+
     # ---- distributed candidate evaluation ---------------------------------
     def _evaluate(self, cands: dict[str, list[np.ndarray]]) -> dict[str, list[float]]:
         q, m = self.q, self.m
@@ -272,7 +280,7 @@ class MixedModel:
         for s in strata:
             G = self.totals[s]
             C, ld = final[s]
-            res = profile(G - C, G[0, 0], ld, self.keep[s], self.spec.method)
+            res = self._raw_loglik(profile(G - C, G[0, 0], ld, self.keep[s], self.spec.method), s)
             fits[s] = StratumFit(s, self.keep[s], params[s], res, G[0, 0], self.n_entities.get(s, 0))
         return fits
 
