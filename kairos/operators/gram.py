@@ -182,15 +182,18 @@ def unpack(g: np.ndarray, m: int) -> np.ndarray:
     return G
 
 
-def stratum_totals(gram: DataFrame, m: int) -> dict[str, np.ndarray]:
-    """Σ over entities of each stratum's Gram (strata × m(m+1)/2 numbers)."""
+def stratum_totals(gram: DataFrame, m: int) -> tuple[dict[str, np.ndarray], dict[str, int]]:
+    """Σ over entities of each stratum's Gram (strata × m(m+1)/2 numbers) and
+    the entity count per stratum, in one small aggregate."""
     tot = (gram.select("_stratum", F.posexplode("g").alias("k", "v"))
-               .groupBy("_stratum", "k").agg(F.sum("v").alias("v")).collect())
+               .groupBy("_stratum", "k").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("e")).collect())
     out: dict = {}
+    ents: dict = {}
     tri = m * (m + 1) // 2
     for r in tot:
         out.setdefault(r["_stratum"], np.zeros(tri))[r["k"]] = r["v"]
-    return {s: unpack(v, m) for s, v in out.items()}
+        ents[r["_stratum"]] = int(r["e"])
+    return {s: unpack(v, m) for s, v in out.items()}, ents
 
 
 GRAM_SCHEMA = T.StructType([T.StructField("_stratum", T.StringType()), T.StructField("_entity", T.StringType()),

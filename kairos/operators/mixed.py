@@ -104,9 +104,7 @@ class MixedModel:
         self.q = spec.q()
         self.adjust_sigma = adjust_sigma
         self.gram = gram_table(df, self.design)
-        self.totals = stratum_totals(self.gram, self.m)
-        ent = self.gram.groupBy("_stratum").agg(F.count(F.lit(1)).alias("k")).collect()
-        self.n_entities = {r["_stratum"]: int(r["k"]) for r in ent}
+        self.totals, self.n_entities = stratum_totals(self.gram, self.m)
         self.keep = {s: aliased_mask(G[:-1, :-1]) for s, G in self.totals.items()}
         for s, kp in self.keep.items():
             if any(j not in kp for j in range(self.q)):
@@ -138,53 +136,73 @@ class MixedModel:
         tri = m * (m + 1) // 2
         iu = np.triu_indices(m)
         Ls = {s: [lower(c, q) for c in cs] for s, cs in cands.items()}
+        th = {s: np.array([float(L[0, 0]) ** 2 for L in ls]) for s, ls in Ls.items()}
 
         def partial(batches):
+            # per (stratum): K × (m(m+1)/2 + 1) running sums
             acc: dict = {}
             for pdf in batches:
-                for s, g in zip(pdf["_stratum"], pdf["g"]):
-                    if s not in Ls:
-                        continue
-                    G = unpack(np.asarray(g, dtype=np.float64), m)
-                    for ci, L in enumerate(Ls[s]):
-                        C, ld = correction(G, L)
-                        key = (s, ci)
-                        vec = np.append(C[iu], ld)
-                        if key in acc:
-                            acc[key] += vec
-                        else:
-                            acc[key] = vec
+                if q == 1:
+                    # rank-one corrections: Σ_i θ/(1+n_iθ)·s_i s_iᵀ for all θ in one BLAS call
+                    for s, sub in pdf.groupby("_stratum", sort=False):
+                        if s not in th:
+                            continue
+                        g = np.stack(sub["g"].to_numpy())
+                        S = g[:, :m]                      # first row of G_i = column sums
+                        n = S[:, 0]
+                        W = th[s][None, :] / (1.0 + n[:, None] * th[s][None, :])   # E × K
+                        corr = np.einsum("ek,ea,eb->kab", W, S, S)[:, iu[0], iu[1]]
+                        ld = np.log1p(n[:, None] * th[s][None, :]).sum(axis=0)
+                        vec = np.column_stack([corr, ld])
+                        acc[s] = acc[s] + vec if s in acc else vec
+                else:
+                    for s, g in zip(pdf["_stratum"], pdf["g"]):
+                        if s not in Ls:
+                            continue
+                        G = unpack(np.asarray(g, dtype=np.float64), m)
+                        vec = np.empty((len(Ls[s]), tri + 1))
+                        for ci, L in enumerate(Ls[s]):
+                            C, ld = correction(G, L)
+                            vec[ci, :tri] = C[iu]
+                            vec[ci, tri] = ld
+                        acc[s] = acc[s] + vec if s in acc else vec
             if acc:
-                ss, cc, kk, vv = [], [], [], []
-                for (s, ci), vec in acc.items():
-                    ss += [s] * (tri + 1)
-                    cc += [ci] * (tri + 1)
-                    kk.append(np.arange(tri + 1, dtype=np.int32))
-                    vv.append(vec)
-                yield pd.DataFrame({"_stratum": ss, "cand": np.array(cc, dtype=np.int32),
-                                    "k": np.concatenate(kk), "v": np.concatenate(vv)})
+                parts = []
+                for s, vec in acc.items():
+                    K = vec.shape[0]
+                    parts.append(pd.DataFrame({"_stratum": s,
+                                               "cand": np.repeat(np.arange(K, dtype=np.int32), tri + 1),
+                                               "k": np.tile(np.arange(tri + 1, dtype=np.int32), K),
+                                               "v": vec.ravel()}))
+                yield pd.concat(parts, ignore_index=True)
 
         summed = (self.gram.select("_stratum", "g")
                   .mapInPandas(partial, "_stratum string, cand int, k int, v double")
                   .groupBy("_stratum", "cand", "k").agg(F.sum("v").alias("v")))
         totals, keep, method = self.totals, self.keep, self.spec.method
+        shift = {s: self._raw_loglik({"loglik": 0.0}, s)["loglik"] for s in self.totals}
 
         def crit(pdf: pd.DataFrame) -> pd.DataFrame:
+            # one group per stratum: K candidates × (m(m+1)/2 + 1) sums (bounded by the spec)
             s = pdf["_stratum"].iloc[0]
-            vec = np.zeros(tri + 1)
-            vec[pdf["k"].to_numpy()] = pdf["v"].to_numpy()
+            K = int(pdf["cand"].max()) + 1
+            vec = np.zeros((K, tri + 1))
+            vec[pdf["cand"].to_numpy(), pdf["k"].to_numpy()] = pdf["v"].to_numpy()
             G = totals[s]
-            M = G - unpack(vec[:tri], m)
-            try:
-                ll = profile(M, G[0, 0], vec[tri], keep[s], method)["loglik"]
-            except np.linalg.LinAlgError:
-                ll = -np.inf
-            return pd.DataFrame({"_stratum": [s], "cand": [int(pdf["cand"].iloc[0])], "loglik": [float(ll)]})
-
-        rows = summed.groupBy("_stratum", "cand").applyInPandas(crit, "_stratum string, cand int, loglik double").collect()
+            lls = []
+            for ci in range(K):
+                try:
+                    ll = profile(G - unpack(vec[ci, :tri], m), G[0, 0], vec[ci, tri], keep[s], method)["loglik"]
+                except (np.linalg.LinAlgError, ValueError):
+                    ll = -np.inf
+                lls.append(float(ll) + shift[s])
+            return pd.DataFrame({"_stratum": s, "cand": np.arange(K, dtype=np.int32), "loglik": lls})
+
+        rows = summed.groupBy("_stratum").applyInPandas(crit, "_stratum string, cand int, loglik double").collect()
         out = {s: [-np.inf] * len(cs) for s, cs in cands.items()}
         for r in rows:
-            out[r["_stratum"]][r["cand"]] = r["loglik"] if r["loglik"] is not None else -np.inf
+            v = r["loglik"]
+            out[r["_stratum"]][r["cand"]] = v if v is not None and np.isfinite(v) else -np.inf
         return out
 
     def _final(self, params: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, float]]:
@@ -216,29 +234,28 @@ class MixedModel:
     # ---- search ------------------------------------------------------------
     def _search_q1(self) -> dict[str, float]:
         strata = list(self.totals)
-        grid = [0.0, *np.logspace(-4, 3, 40)]
-        cands = {s: grid for s in strata}
+        grid = [0.0, *np.logspace(-4, 3, 160)]
         ll = self._evaluate({s: [np.array([v]) for v in grid] for s in strata})
         best = {s: int(np.argmax(ll[s])) for s in strata}
         cur = {s: list(grid) for s in strata}
-        for _ in range(4):
+        for _ in range(2):
             nxt = {}
             for s in strata:
                 g, b = cur[s], best[s]
                 lo = g[b - 1] if b > 0 else 0.0
                 hi = g[b + 1] if b + 1 < len(g) else g[b] * 4.0
-                nxt[s] = list(np.linspace(lo, hi, 33))
+                nxt[s] = list(np.linspace(lo, hi, 161))
             ll = self._evaluate({s: [np.array([v]) for v in nxt[s]] for s in strata})
             cur = nxt
             best = {s: int(np.argmax(ll[s])) for s in strata}
-        del cands
         return {s: cur[s][best[s]] for s in strata}
 
     def _search_q2(self, start: dict[str, float]) -> dict[str, np.ndarray]:
         strata = list(self.totals)
         center = {s: np.array([start[s], 0.0, 0.0]) for s in strata}
         step = {s: np.full(3, max(start[s], 0.05) * 0.5) for s in strata}
-        offs = np.array([(a, b, c) for a in (-2, -1, 0, 1, 2) for b in (-2, -1, 0, 1, 2) for c in (-2, -1, 0, 1, 2)])
+        r = (-3, -2, -1, 0, 1, 2, 3)
+        offs = np.array([(a, b, c) for a in r for b in r for c in r])
         done = {s: False for s in strata}
         for _ in range(30):
             active = [s for s in strata if not done[s]]
@@ -254,10 +271,10 @@ class MixedModel:
             for s in active:
                 b = int(np.argmax(ll[s]))
                 if b == 0 or np.allclose(cands[s][b], center[s]):
-                    step[s] = step[s] / 3.0
+                    step[s] = step[s] / 4.0
                 else:
                     center[s] = cands[s][b]
-                    step[s] = step[s] / 1.5
+                    step[s] = step[s] / 2.0
                 if step[s].max() < 1e-4 * max(0.1, float(np.abs(center[s]).max())):
                     done[s] = True
         return center
