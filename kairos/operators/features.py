@@ -24,13 +24,15 @@ def sequence_index(df: DataFrame, partition_cols: Sequence[str], order_col: str,
     keys = list(partition_cols)
     blk = F.window(F.col(order_col), block).start.cast("timestamp_ntz")
     tagged = df.withColumn("_blk", blk)
-    counts = tagged.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    # one exchange on (keys, block): rows are numbered inside their block, and
+    # the block sizes are read off those numbers on the same partitions
+    ranked = tagged.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_blk").orderBy(order_col)))
+    counts = ranked.groupBy(*keys, "_blk").agg(F.max("_rn").alias("_n"))
     w_off = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0))).drop("_n")
-    w_in = Window.partitionBy(*keys, "_blk").orderBy(order_col)
-    return (tagged.join(offsets, [*keys, "_blk"], "left")
-                  .withColumn(out, (F.row_number().over(w_in) + F.col("_off")).cast("bigint"))
-                  .drop("_blk", "_off"))
+    offsets = counts.select(*keys, "_blk", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
+    return (ranked.join(offsets, [*keys, "_blk"], "left")
+                  .withColumn(out, (F.col("_rn") + F.col("_off")).cast("bigint"))
+                  .drop("_blk", "_off", "_rn"))
 
 
 def grid_index(ts: str | Column, t0: str, step_seconds: int = 3600) -> Column:

@@ -192,3 +192,18 @@ MODEL_QUERIES = {
     "detrend_effect": detrend_effect_q,
     "residual_outliers": residual_outliers,
 }
+
+
+def trend_smoother(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-entity natural-spline (3 df) least-squares trend of the
+    hourly outcome over the elapsed index (one Gram pass, 5 OLS solves)."""
+    from kairos.functions.spline import natural_spline_basis, spline_knots
+    p = events_panel(spark, sf).withColumn("idx", FE.grid_index("ts", "2024-01-01 00:00:00").cast("double"))
+    knots = spline_knots(p.where(F.col("value_mean").isNotNull()), "idx", 3)
+    p = p.withColumns(natural_spline_basis("idx", knots))
+    m = MixedModel(p, ModelSpec("value_mean", numeric=["ns1", "ns2", "ns3"], strata=["event_type"]), "smoother")
+    s = score(p, m, fitted="trend", resid=None)
+    return s.select("event_type", "ts", r6("value_mean").alias("value_mean"), r6("trend").alias("trend"))
+
+
+MODEL_QUERIES["trend_smoother"] = trend_smoother
