@@ -85,7 +85,7 @@ def acf(df: DataFrame, idx_col: str, value_col: str, series: Sequence[str] = (),
                 .withColumn("_b", F.col("_b") - 1))
     parts = core.unionByName(halo)
 
-    def block_sums(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def block_sums(key, pdf):
         b = int(key[-1])
         base = b * block
         arr = np.full(block + max_lag, np.nan)
@@ -116,7 +116,7 @@ def pacf(acf_table: DataFrame, series: Sequence[str] = ()) -> DataFrame:
     """Partial autocorrelation by Durbin–Levinson on the (≤ max_lag+1 row) ACF table."""
     keys = list(series)
 
-    def dl(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def dl(key, pdf):
         pdf = pdf.sort_values("lag")
         r = pdf["acf"].to_numpy()
         m = len(r) - 1
