@@ -228,9 +228,12 @@ FROM zz WHERE r < 2 AND f < 2 AND r <= zone"""
 SQL["corr_matrix"] = f"""WITH {EV_PANEL},
 ne AS (SELECT count(DISTINCT event_type) AS k FROM panel),
 ch AS (SELECT ts FROM panel GROUP BY ts HAVING count(value_mean) = (SELECT k FROM ne)),
-cp AS (SELECT p.event_type, p.ts, p.value_mean FROM panel p JOIN ch ON p.ts = ch.ts)
-SELECT a.event_type AS entity_1, b.event_type AS entity_2, {_r('corr(a.value_mean, b.value_mean)')} AS corr
-FROM cp a JOIN cp b ON a.ts = b.ts GROUP BY 1, 2"""
+cp AS (SELECT p.event_type, p.ts, p.value_mean FROM panel p JOIN ch ON p.ts = ch.ts),
+cc AS (SELECT a.event_type AS e1, b.event_type AS e2, corr(a.value_mean, b.value_mean) AS c
+       FROM cp a JOIN cp b ON a.ts = b.ts GROUP BY 1, 2),
+ents AS (SELECT DISTINCT event_type FROM panel)
+SELECT x.event_type AS entity_1, y.event_type AS entity_2, {_r('cc.c')} AS corr
+FROM ents x CROSS JOIN ents y LEFT JOIN cc ON cc.e1 = x.event_type AND cc.e2 = y.event_type"""
 
 SQL["histogram"] = f"""
 WITH r AS (SELECT min(value) AS lo, max(value) AS hi FROM events),
