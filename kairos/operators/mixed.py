@@ -95,16 +95,29 @@ class MixedModel:
     """Fit one spec on one table; ``coef``, ``fit`` and ``ranef`` are DataFrames."""
 
     def __init__(self, df: DataFrame, spec: ModelSpec, name: str = "model", adjust_sigma: bool = True,
-                 optimise: bool = True):
+                 optimise: bool = True, share: "MixedModel | None" = None):
+        """``share``: reuse another fit's design and per-entity Gram (same data,
+        same columns in the same order, grouped by the same entity column);
+        only the random-effect structure or method may differ."""
         self.spark: SparkSession = df.sparkSession
         self.spec = spec
         self.name = name
-        self.design: Design = resolve_design(df, spec)
-        self.m = len(self.design.terms) + 1
         self.q = spec.q()
         self.adjust_sigma = adjust_sigma
-        self.gram = gram_table(df, self.design)
-        self.totals, self.n_entities = stratum_totals(self.gram, self.m)
+        if share is not None:
+            if share.spec.strata != spec.strata or (spec.group and share.spec.group != spec.group):
+                raise ValueError("shared Gram must have the same strata and grouping")
+            self.design = Design(spec, share.design.terms, share.design.levels, share.design.moments,
+                                 share.design.dropped)
+            self.m = share.m
+            self.gram, self.totals, self.n_entities = share.gram, share.totals, share.n_entities
+            if share.q == 1 and share.spec.method == spec.method and share.fits:
+                self._seed = {st: float(f.params[0]) for st, f in share.fits.items()}
+        else:
+            self.design = resolve_design(df, spec)
+            self.m = len(self.design.terms) + 1
+            self.gram = gram_table(df, self.design)
+            self.totals, self.n_entities = stratum_totals(self.gram, self.m)
         self.keep = {s: aliased_mask(G[:-1, :-1]) for s, G in self.totals.items()}
         for s, kp in self.keep.items():
             if any(j not in kp for j in range(self.q)):
@@ -284,6 +297,9 @@ class MixedModel:
         if self.q == 0:
             params = {s: np.zeros(0) for s in strata}
             final = {s: (np.zeros((self.m, self.m)), 0.0) for s in strata}
+        elif self.q == 2 and getattr(self, "_seed", None):
+            params = self._search_q2(self._seed)
+            final = self._final(params)
         else:
             s1 = self._search_q1()
             if self.q == 1:

@@ -96,9 +96,10 @@ def model_compare(spark: SparkSession, sf: str) -> DataFrame:
     """Log-likelihood and AIC of OLS, RI and RI+slope fits, plus the LR
     test of RI against RI+slope (2 df)."""
     li = _li(spark, sf)
-    fits = [MixedModel(li, _main_spec(group=None), "fixed"),
-            MixedModel(li, _main_spec(), "ri"),
-            MixedModel(li, _main_spec(flags=[], slopes=["post"]), "ris")]
+    ri = MixedModel(li, _main_spec(), "ri")
+    # same columns in the same order (post right after the intercept): one Gram pass serves all three
+    fits = [MixedModel(li, _main_spec(group=None), "fixed", share=ri), ri,
+            MixedModel(li, _main_spec(flags=[], slopes=["post"]), "ris", share=ri)]
     rows = []
     for m in fits:
         r = m.fit.first()

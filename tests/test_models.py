@@ -137,3 +137,15 @@ def test_profile_reml_term():
     M = A.T @ A
     r = profile(M, 50.0, 0.0, [0, 1, 2], "REML")
     assert r["p"] == 3 and r["rss"] > 0
+
+
+def test_shared_gram_gives_same_fits(spark):
+    rows = _sim(seed=7)
+    df = spark.createDataFrame(rows, "g string, post double, x double, f string, t double, y double")
+    ri = MixedModel(df, ModelSpec("y", numeric=["x"], flags=["post"], factors={"f": None}, group="g"))
+    fe_shared = MixedModel(df, ModelSpec("y", numeric=["x"], flags=["post"], factors={"f": None}), share=ri)
+    fe = MixedModel(df, ModelSpec("y", numeric=["x"], flags=["post"], factors={"f": None}))
+    a, b = fe_shared.coefficients()["all"], fe.coefficients()["all"]
+    assert all(abs(a[t][0] - b[t][0]) < 1e-9 and abs(a[t][1] - b[t][1]) < 1e-9 for t in b)
+    ris = MixedModel(df, ModelSpec("y", numeric=["x"], slopes=["post"], factors={"f": None}, group="g"), share=ri)
+    assert ris.fits["all"].res["loglik"] >= ri.fits["all"].res["loglik"] - 1e-9
