@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairos.llm import decontaminate, mixing, quality, sharding, simhash
+from kairos.llm import decontaminate, lines, lm, mixing, quality, secrets, sharding, simhash, warc, wrapper
 from kairos.llm.common import table
 
 
+def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the WARC files that its ARC record became."""
+    return warc.archive_round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return wrapper.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op3_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item that it contains."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"),
@@ -22,6 +33,20 @@ def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "component_id")
 
 
+def op5_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, scanned once per distinct text into a fresh ledger."""
+    ledger = secrets.new_ledger(spark)
+    paths = secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"), ledger)
+    return secrets.digest(paths, ledger).select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex",
+                                                "base_sha256", "spans")
+
+
+def op6_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with the line that is kept of its component."""
+    d = lines.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return d.select(F.col("id").alias("doc_id"), "line_no", F.col("keep_id").alias("keep_doc_id"), "keep_line", "kept")
+
+
 def op7_slot_table_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot and shard of every document."""
     return sharding.place(table(spark, sf_dir, "documents", "doc_id"))
@@ -34,6 +59,15 @@ def op8_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "distance")
 
 
+def op9_bloom_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base score and model score of every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = lm.train(docs.where(~lm.held_out(F.col("doc_id"))))
+    scored = lm.score(docs, model)
+    return scored.select(F.col("id").alias("doc_id"), lm.held_out(F.col("id")).alias("held_out"), "n_tokens",
+                         "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     d = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
@@ -42,5 +76,5 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_benchmark_containment, op4_simhash_components, op7_slot_table_placement, op8_robust_quality,
-    op10_pareto_mix)}
+    op1_arc_to_warc, op2_wrapper_text, op3_benchmark_containment, op4_simhash_components, op5_blob_ledger_secrets,
+    op6_fuzzy_line_dedup, op7_slot_table_placement, op8_robust_quality, op9_bloom_lm_score, op10_pareto_mix)}
