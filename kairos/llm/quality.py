@@ -34,6 +34,8 @@ FEATURES = ("x1", "x2", "x3", "x4")
 FLOOR = (0.05, 0.05, 0.10, 0.10)
 #: Histogram bins per doubling of the squared distance.
 FINE = 16
+#: Bins per unit of a transformed statistic, for the starting medians.
+START_BINS = 200
 
 
 def _at(a: str, i: str) -> str:
@@ -151,26 +153,37 @@ def _quantile_bin(rows: DataFrame, bins: Column, share: float, name: str) -> Dat
 _MEDIAN = 3.357
 
 
-def robust_distance(rows: DataFrame) -> DataFrame:
-    """(g, mean and factor columns, scale) per group of ``rows`` (g, x1..x4)."""
-    # start: medians and the spread around them, feature by feature
-    start = None
-    for i, x in enumerate(FEATURES):
-        low = _quantile_bin(rows, F.floor(F.col(x) * 200).cast("int"), 0.25, "a")
-        mid = _quantile_bin(rows, F.floor(F.col(x) * 200).cast("int"), 0.5, "b")
-        high = _quantile_bin(rows, F.floor(F.col(x) * 200).cast("int"), 0.75, "c")
-        one = (low.join(mid, "g").join(high, "g")
-               .select("g", ((F.col("b") + 0.5) / 200).alias(f"m{i}"),
-                       F.pow((F.col("c") - F.col("a")) / 200 / 1.349, F.lit(2)).alias(f"v{i}{i}")))
-        start = one if start is None else start.join(one, "g")
+#: Estimates of at most so many groups (under 20 MB) are broadcast; more are joined by shuffle.
+BROADCAST_GROUPS = 50_000
+
+
+def robust_distance(rows: DataFrame, few: bool) -> DataFrame:
+    """(g, mean and factor columns, scale) per group of ``rows`` (g, x1..x4).
+
+    ``few``: the groups are no more than BROADCAST_GROUPS."""
+    near_by = F.broadcast if few else (lambda df: df)
+    # start: medians and the spread around them, all features from one histogram
+    long = rows.select("g", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("f"), F.floor(F.col(x) * START_BINS).cast("int").alias("b"))
+        for i, x in enumerate(FEATURES)])).alias("x")).select("g", "x.*")
+    up = Window.partitionBy("g", "f").orderBy("b")
+    counts = (long.groupBy("g", "f", "b").agg(F.count(F.lit(1)).alias("c"))
+              .withColumn("up", F.sum("c").over(up)).withColumn("n", F.sum("c").over(Window.partitionBy("g", "f"))))
+    reach = lambda share: F.min(F.when(F.col("up") >= share * F.col("n"), F.col("b")))
+    marks = counts.groupBy("g", "f").agg(reach(0.25).alias("a"), reach(0.5).alias("b"), reach(0.75).alias("c"))
+    of = lambda i, e: F.max(F.when(F.col("f") == i, e))
+    start = marks.groupBy("g").agg(
+        *[of(i, (F.col("b") + 0.5) / START_BINS).alias(f"m{i}") for i in range(len(FEATURES))],
+        *[of(i, F.pow((F.col("c") - F.col("a")) / START_BINS / 1.349, F.lit(2))).alias(f"v{i}{i}")
+          for i in range(len(FEATURES))])
     start = start.select("*", *[F.lit(0.0).alias(f"v{i}{j}") for i, j in _PAIRS if i != j])
     fit = materialize(_cholesky(start))
     for _ in range(STEPS):
-        near = rows.join(fit, "g").withColumn("d", _distance())
+        near = rows.join(near_by(fit), "g").withColumn("d", _distance())
         limit = _quantile_bin(near, _bin(F.col("d")), CORE, "limit")
-        core = rows.join(fit.join(limit, "g"), "g").where(_bin(_distance()) <= F.col("limit"))
+        core = rows.join(near_by(fit.join(limit, "g")), "g").where(_bin(_distance()) <= F.col("limit"))
         fit = materialize(_moments(core.select("g", *FEATURES)))
-    mid = _quantile_bin(rows.join(fit, "g").withColumn("d", _distance()), _bin(F.col("d")), 0.5, "mid")
+    mid = _quantile_bin(rows.join(near_by(fit), "g").withColumn("d", _distance()), _bin(F.col("d")), 0.5, "mid")
     # the core's covariance is too small; the floor already widens groups without spread
     scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("mid") + 1.0) / FINE) / _MEDIAN)
     return materialize(fit.join(mid, "g").withColumn("scale", scale).drop("mid"))
@@ -200,13 +213,15 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     group = materialize(
         by.withColumnRenamed("_lang", "_l").join(lang_n, F.col("_l").eqNullSafe(F.col("_lang"))).drop("_lang")
         .select("_l", F.col("_source").alias("_s"), F.coalesce(part, lang, F.lit("*")).alias("g")))
-    named = materialize(ok.join(group, F.col("_lang").eqNullSafe(F.col("_l"))
+    few = group.count() <= BROADCAST_GROUPS
+    near_by = F.broadcast if few else (lambda df: df)
+    named = materialize(ok.join(near_by(group), F.col("_lang").eqNullSafe(F.col("_l"))
                                 & F.col("_source").eqNullSafe(F.col("_s"))).drop("_l", "_s"))
     wide = group.where(~F.col("g").contains(",")).select("g").distinct()
     small = [r.g for r in wide.limit(1).collect()]
     rows = named.select("g", *FEATURES) if not small else _with_wide(named, wide)
-    fit = robust_distance(rows)
-    judged = (named.join(fit, "g").withColumn("distance", _distance() / F.col("scale"))
+    fit = robust_distance(rows, few)
+    judged = (named.join(near_by(fit), "g").withColumn("distance", _distance() / F.col("scale"))
               .select(*_OUT, F.col("distance"), (F.col("distance") <= CUT).alias("kept")))
     failed = stats.where("base_failed").select(*_OUT, F.lit(None).cast("double").alias("distance"),
                                                F.lit(False).alias("kept"))
