@@ -190,7 +190,8 @@ def robust_distance(rows: DataFrame, few: bool) -> DataFrame:
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``docs`` without the text, with the statistics, base_failed, distance and kept.
+    """``docs`` without the text, with the statistics, base_failed, distance and kept
+    (columns of these names are replaced).
 
     A row is kept if it passes the base limits and its scaled squared distance
     is at most CUT.  Null languages and sources are groups of their own; repeated
@@ -199,8 +200,8 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     """
     spark = docs.sparkSession
     configure(spark)
-    names = [c for c in docs.columns if c != text_col]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(lang_col).alias("_lang"),
+    names = [c for c in docs.columns if c not in (text_col, *_OUT[1:], "distance", "kept")]
+    packed = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(lang_col).alias("_lang"),
                          F.col(source_col).alias("_source"), F.col(text_col).alias("_text"))
     stats = statistics(packed, "_text").withColumn("base_failed", base_failed())
     stats = materialize(stats.select("*", *transformed()))
@@ -225,7 +226,8 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
               .select(*_OUT, F.col("distance"), (F.col("distance") <= CUT).alias("kept")))
     failed = stats.where("base_failed").select(*_OUT, F.lit(None).cast("double").alias("distance"),
                                                F.lit(False).alias("kept"))
-    return judged.unionByName(failed).select("_row.*", *_OUT[1:], "distance", "kept")
+    return judged.unionByName(failed).select(*[F.col(f"_row.`{c}`") for c in names], *_OUT[1:],
+                                                  "distance", "kept")
 
 
 _OUT = ["_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -248,8 +250,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
               source_col: str = "source") -> DataFrame:
     """The kept rows of ``docs`` with all columns.  Rows are matched by content, so nothing hangs on an id."""
     key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    tagged = docs.withColumn("_key", key)
-    lean = tagged.select(F.col("_key"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_g"),
-                         F.col(source_col).alias("_f"))
-    bad = judge(lean, "_t", "_g", "_f").where("not kept").select("_key").distinct()
-    return tagged.join(bad, "_key", "left_anti").drop("_key")
+    tagged = docs.select(F.struct("*").alias("_row"), key.alias("_key"), F.col(text_col).alias("_t"),
+                         F.col(lang_col).alias("_g"), F.col(source_col).alias("_f"))
+    bad = judge(tagged.drop("_row"), "_t", "_g", "_f").where("not kept").select("_key").distinct()
+    return tagged.select("_row", "_key").join(bad, "_key", "left_anti").select("_row.*")
