@@ -7,12 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kairos.operators.quantiles import global_quantiles
 
 def spline_knots(df: DataFrame, col: str, df_spline: int = 3) -> list[float]:
     """Boundary knots at min/max, interior knots at equally spaced quantiles
-    (``ns(x, df)``): df + 1 knots, from one exact percentile aggregate."""
+    (``ns(x, df)``): df + 1 knots, exact."""
     probs = [i / df_spline for i in range(df_spline + 1)]
-    return [float(v) for v in df.agg(F.percentile(col, probs)).first()[0]]
+    knots = global_quantiles(df, col, probs)
+    if knots is None:
+        raise ValueError(f"no value of {col} to place knots on")
+    return knots
 
 
 def natural_spline_basis(x: str | Column, knots: Sequence[float], prefix: str = "ns") -> dict[str, Column]:

@@ -10,12 +10,10 @@ def _c(c):
     return F.col(c) if isinstance(c, str) else c
 
 
-def paste0(*parts, na_as_text: bool = False) -> Column:
-    """Concatenate; R prints a missing part as ``NA`` (``na_as_text``), Spark yields null."""
-    cols = [_c(p) if not isinstance(p, (int, float)) else F.lit(str(p)) for p in parts]
-    if na_as_text:
-        cols = [F.coalesce(c.cast("string"), F.lit("NA")) for c in cols]
-    return F.concat(*[c.cast("string") for c in cols])
+def pad_left(c, width: int, fill: str = "0") -> Column:
+    """Pad to ``width``; a longer text stays whole (``lpad`` would cut it)."""
+    x = _c(c)
+    return F.when(F.length(x) >= width, x).otherwise(F.lpad(x, width, fill))
 
 
 def substr_range(c, start: int, stop: int) -> Column:

@@ -1,8 +1,8 @@
 """Descriptive aggregations.
 
-Every statistic is a built-in aggregate, so map-side partial aggregation
-applies and a hot group never has to fit in one task (exact ``percentile``
-merges value→count maps; ``approx=True`` switches to ``percentile_approx``).
+Every statistic is a built-in aggregate with map-side partial aggregation;
+exact quantiles come from :mod:`kairos.operators.quantiles`, so a hot group
+never has to fit in one task (``approx=True`` switches to ``percentile_approx``).
 """
 
 from __future__ import annotations
@@ -12,11 +12,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kairos.operators.panel import pivot_longer
+from kairos.operators.panel import left_join, pivot_longer
+from kairos.operators.quantiles import exact_quantiles
 
+QUARTILES = (0.25, 0.5, 0.75)
 
-def _pct(c: str, p, approx: bool) -> Column:
-    return F.percentile_approx(c, p, 100000) if approx else F.percentile(c, p)
+
+def _with_quartiles(df: DataFrame, by: Sequence[str], col: str, approx: bool, aggs: list[Column]) -> DataFrame:
+    """Grouped aggregates plus ``_q`` = [q1, median, q3]."""
+    if approx:
+        return df.groupBy(*by).agg(*aggs, F.percentile_approx(col, list(QUARTILES), 100000).alias("_q"))
+    return left_join(df.groupBy(*by).agg(*aggs), exact_quantiles(df, by, col, QUARTILES), list(by), null_safe=True)
 
 
 def strict_avg(c: str) -> Column:
@@ -28,10 +34,8 @@ def strict_avg(c: str) -> Column:
 
 def group_stats(df: DataFrame, by: Sequence[str], col: str, approx: bool = False, order_by_mean: bool = True) -> DataFrame:
     """Mean, sd, median, IQR per group (quantile type 7), sorted by mean."""
-    q = _pct(col, [0.25, 0.5, 0.75], approx)
-    out = (df.groupBy(*by)
-             .agg(F.avg(col).alias("mean"), F.stddev_samp(col).alias("sd"), q.alias("_q"),
-                  F.count(col).alias("n"))
+    out = (_with_quartiles(df, by, col, approx, [F.avg(col).alias("mean"), F.stddev_samp(col).alias("sd"),
+                                                 F.count(col).alias("n")])
              .withColumn("median", F.col("_q")[1])
              .withColumn("iqr", F.col("_q")[2] - F.col("_q")[0])
              .drop("_q"))
@@ -44,8 +48,10 @@ def spatial_mean(df: DataFrame, by: Sequence[str], strict: Sequence[str] = (), s
     return df.groupBy(*by).agg(*aggs)
 
 
-def prepost_summary(df: DataFrame, flag: str, cols: Sequence[str], digits: int = 2) -> DataFrame:
+def prepost_summary(df: DataFrame, flag: str, cols: Sequence[str], digits: int = 2,
+                    keep_null_period: bool = False) -> DataFrame:
     """Mean and sd of each column by period, long by variable, rounded half-even.
+    Rows without a period are left out unless ``keep_null_period``.
 
     One grouped aggregate (partial), then an unpivot and a pivot on the tiny
     result: (flag, variable, mean, sd).
@@ -53,7 +59,7 @@ def prepost_summary(df: DataFrame, flag: str, cols: Sequence[str], digits: int =
     aggs = []
     for c in cols:
         aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_sd")]
-    wide = df.groupBy(flag).agg(*aggs)
+    wide = (df if keep_null_period else df.where(F.col(flag).isNotNull())).groupBy(flag).agg(*aggs)
     long = pivot_longer(wide, [flag], [f"{c}_{s}" for c in cols for s in ("mean", "sd")],
                         names_to=("variable", "statistic"), sep="_")
     long = long.withColumn("value", F.bround("value", digits))
@@ -97,10 +103,9 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def column_summary(df: DataFrame, by: Sequence[str], col: str, approx: bool = False) -> DataFrame:
     """Min, quartiles, mean, max and NA count per group (``summary``)."""
-    q = _pct(col, [0.25, 0.5, 0.75], approx)
-    return (df.groupBy(*by)
-              .agg(F.min(col).alias("min"), q.alias("_q"), F.avg(col).alias("mean"), F.max(col).alias("max"),
-                   F.count_if(F.col(col).isNull()).alias("n_na"))
+    return (_with_quartiles(df, by, col, approx, [F.min(col).alias("min"), F.avg(col).alias("mean"),
+                                                  F.max(col).alias("max"),
+                                                  F.count_if(F.col(col).isNull()).alias("n_na")])
               .select(*by, "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), "mean",
                       F.col("_q")[2].alias("q3"), "max", "n_na"))
 
@@ -127,18 +132,22 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by: Sequence[str] = ()) -
     """``bins`` equal-width bins whose first and last are centred on min and max.
 
     Width = range/(bins−1); bin k covers (origin + k·w, origin + (k+1)·w], the
-    first bin also takes its left edge.  Range from one small aggregate
-    (inlined), then a single grouped count.
+    first bin also takes its left edge.  Range from one small aggregate over
+    non-null, non-NaN values, then one grouped count; empty bins are rows with n = 0,
+    and a column without values has no bins.
     """
-    r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-    lo, hi = r["lo"], r["hi"]
-    if lo is None:
-        return df.sparkSession.createDataFrame([], "bin int, x_min double, x_max double, n long")
+    x = F.col(col).cast("double")
+    clean = df.where(x.isNotNull() & ~F.isnan(x))
+    r = clean.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    lo, hi = (r["lo"], r["hi"]) if r["lo"] is not None else (0.0, 0.0)
     width = (hi - lo) / (bins - 1) if hi > lo else 1.0
     origin = lo - width / 2.0
-    x = F.col(col)
-    k = F.greatest(F.ceil((x - F.lit(origin)) / F.lit(width)) - 1, F.lit(0)).cast("int")
-    return (df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*by, k.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    k = F.ceil((x - F.lit(origin)) / F.lit(width)) - 1
+    k = F.least(F.greatest(k, F.lit(0)), F.lit(bins - 1)).cast("int")
+    n = clean.groupBy(*by, k.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = clean.select(*by).distinct() if by else clean.sparkSession.range(1 if r["lo"] is not None else 0)
+    every = every.select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return (left_join(every, n, [*by, "bin"], null_safe=True).withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
               .withColumn("x_min", F.lit(origin) + F.col("bin") * F.lit(width))
               .withColumn("x_max", F.lit(origin) + (F.col("bin") + 1) * F.lit(width))
               .select(*by, "bin", "x_min", "x_max", "n"))
@@ -178,7 +187,7 @@ def wind_rose(df: DataFrame, period: str, direction: str, speed: str, sectors: i
 
 def box_stats(df: DataFrame, by: Sequence[str], col: str, approx: bool = False) -> DataFrame:
     """Quartiles, 1.5·IQR fences, whisker ends and outlier counts per group."""
-    q = (df.groupBy(*by).agg(_pct(col, [0.25, 0.5, 0.75], approx).alias("_q"))
+    q = (_with_quartiles(df.where(F.col(col).isNotNull()), by, col, approx, [F.count(F.lit(1)).alias("_n")])
            .select(*by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3")))
     q = q.withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))

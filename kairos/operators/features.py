@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kairos.operators.panel import left_join
 from kairos.functions.calendar import REFERENCE_WEEKEND_DAYS, calendar_columns, intervention_flag
 
 
@@ -18,19 +19,21 @@ def sequence_index(df: DataFrame, partition_cols: Sequence[str], order_col: str,
     sorted task.  Here rows are cut into time blocks; per-(entity, block)
     counts are partially aggregated, turned into running offsets over the
     small block table, and each block numbers its own rows — the window only
-    ever holds one block.  Equal to ``row_number`` whenever ``order_col`` is
+    ever holds one block.  Rows without an order value come last.  Equal to ``row_number`` whenever ``order_col`` is
     unique within a partition (ties are broken arbitrarily in both).
     """
     keys = list(partition_cols)
-    blk = F.window(F.col(order_col), block).start.cast("timestamp_ntz")
-    tagged = df.withColumn("_blk", blk)
-    # one exchange on (keys, block): rows are numbered inside their block, and
-    # the block sizes are read off those numbers on the same partitions
-    ranked = tagged.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_blk").orderBy(order_col)))
-    counts = ranked.groupBy(*keys, "_blk").agg(F.max("_rn").alias("_n"))
+    number, unit = block.split()
+    width = int(number) * {"day": 86400, "hour": 3600, "minute": 60}[unit.rstrip("s")]
+    secs = F.unix_seconds(F.col(order_col).cast("timestamp"))
+    # rows without an order value form the last block
+    tagged = df.withColumn("_blk", F.coalesce(F.floor(secs / width), F.lit(1 << 60)).cast("bigint"))
+    # block sizes are partial counts on the raw key; rows are numbered inside their block
+    counts = tagged.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_blk", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    return (ranked.join(offsets, [*keys, "_blk"], "left")
+    ranked = tagged.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_blk").orderBy(order_col)))
+    return (left_join(ranked, offsets, [*keys, "_blk"], null_safe=True)
                   .withColumn(out, (F.col("_rn") + F.col("_off")).cast("bigint"))
                   .drop("_blk", "_off", "_rn"))
 

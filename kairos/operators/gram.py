@@ -17,7 +17,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kairos.session import materialize
 
@@ -109,7 +108,11 @@ def model_frame(df: DataFrame, design: Design) -> DataFrame:
     for f, lv in design.levels.items():
         arr = F.array(*[F.lit(v) for v in lv])
         xs.append(F.array_position(arr, F.col(f).cast("string")).cast("int").alias(f"f__{f}"))
-    return base.select(*out, *xs)
+    frame = base.select(*out, *xs)
+    # a value outside the given levels is missing (R: NA), never the reference level
+    for f in design.levels:
+        frame = frame.where(F.col(f"f__{f}") > 0)
+    return frame
 
 
 def _n_cols(design: Design) -> int:
@@ -195,6 +198,3 @@ def stratum_totals(gram: DataFrame, m: int) -> tuple[dict[str, np.ndarray], dict
         ents[r["_stratum"]] = int(r["e"])
     return {s: unpack(v, m) for s, v in out.items()}, ents
 
-
-GRAM_SCHEMA = T.StructType([T.StructField("_stratum", T.StringType()), T.StructField("_entity", T.StringType()),
-                            T.StructField("g", T.ArrayType(T.DoubleType())), T.StructField("n", T.DoubleType())])

@@ -71,6 +71,9 @@ def profile(M: np.ndarray, N: float, logdet: float, keep: list[int], method: str
     beta = np.linalg.solve(C.T, np.linalg.solve(C, Mxy))
     rss = float(M[-1, -1] - beta @ Mxy)
     p = len(keep)
+    if N <= p or rss <= 1e-12 * max(1.0, float(M[-1, -1])):
+        # saturated or exact fit: coefficients exist, variance and likelihood do not
+        return {"beta": beta, "rss": max(rss, 0.0), "loglik": math.nan, "sigma2": math.nan, "Mxx": Mxx, "p": p}
     if method == "REML":
         dfree = N - p
         ll = -dfree / 2 * (LOG2PI + math.log(rss / dfree) + 1) - logdet / 2 - float(np.log(np.diag(C)).sum())
@@ -95,7 +98,8 @@ class MixedModel:
     """Fit one spec on one table; ``coef``, ``fit`` and ``ranef`` are DataFrames."""
 
     def __init__(self, df: DataFrame, spec: ModelSpec, name: str = "model", adjust_sigma: bool = True,
-                 optimise: bool = True, share: "MixedModel | None" = None):
+                 optimise: bool = True, share: "MixedModel | None" = None, strict: bool = True,
+                 max_expand: int = 4, max_rounds: int = 60):
         """``share``: reuse another fit's design and per-entity Gram (same data,
         same columns in the same order, grouped by the same entity column);
         only the random-effect structure or method may differ."""
@@ -122,7 +126,13 @@ class MixedModel:
         for s, kp in self.keep.items():
             if any(j not in kp for j in range(self.q)):
                 raise ValueError(f"random-effect column aliased in stratum {s}")
+        self.converged: dict[str, bool] = {}
+        self.max_expand, self.max_rounds = max_expand, max_rounds
         self.fits = self._optimise() if optimise else {}
+        lost = sorted(s for s, ok in self.converged.items() if not ok)
+        if lost and strict:
+            raise RuntimeError(f"variance search did not converge in strata {lost}; "
+                               "strict=False returns the fit with converged = false")
 
     def profile_at(self, params: list[np.ndarray]) -> list[dict]:
         """Fixed-parameter profiles (one distributed pass per parameter vector)."""
@@ -164,7 +174,9 @@ class MixedModel:
                         S = g[:, :m]                      # first row of G_i = column sums
                         n = S[:, 0]
                         W = th[s][None, :] / (1.0 + n[:, None] * th[s][None, :])   # E × K
-                        corr = np.einsum("ek,ea,eb->kab", W, S, S)[:, iu[0], iu[1]]
+                        # s_i s_iᵀ as upper-triangle rows, then one matrix product for all θ
+                        corr = sum(W[a:a + 2048].T @ (S[a:a + 2048][:, iu[0]] * S[a:a + 2048][:, iu[1]])
+                                   for a in range(0, len(S), 2048))
                         ld = np.log1p(n[:, None] * th[s][None, :]).sum(axis=0)
                         vec = np.column_stack([corr, ld])
                         acc[s] = acc[s] + vec if s in acc else vec
@@ -248,9 +260,23 @@ class MixedModel:
     def _search_q1(self) -> dict[str, float]:
         strata = list(self.totals)
         grid = [0.0, *np.logspace(-4, 3, 160)]
-        ll = self._evaluate({s: [np.array([v]) for v in grid] for s in strata})
-        best = {s: int(np.argmax(ll[s])) for s in strata}
         cur = {s: list(grid) for s in strata}
+        ll = self._evaluate({s: [np.array([v]) for v in cur[s]] for s in strata})
+        best = {s: int(np.argmax(ll[s])) for s in strata}
+        # an optimum at the upper end: move the grid up until it is interior
+        self.converged = {s: True for s in strata}
+        for step in range(self.max_expand + 1):
+            edge = [s for s in strata if best[s] == len(cur[s]) - 1 and np.isfinite(ll[s][best[s]])]
+            if not edge:
+                break
+            if step == self.max_expand:
+                self.converged.update({s: False for s in edge})
+                break
+            for s in edge:
+                cur[s] = list(np.logspace(math.log10(cur[s][-2]), math.log10(cur[s][-1]) + 3, 161))
+            more = self._evaluate({s: [np.array([v]) for v in cur[s]] for s in edge})
+            ll.update(more)
+            best.update({s: int(np.argmax(more[s])) for s in edge})
         for _ in range(2):
             nxt = {}
             for s in strata:
@@ -270,7 +296,7 @@ class MixedModel:
         r = (-3, -2, -1, 0, 1, 2, 3)
         offs = np.array([(a, b, c) for a in r for b in r for c in r])
         done = {s: False for s in strata}
-        for _ in range(30):
+        for _ in range(self.max_rounds):
             active = [s for s in strata if not done[s]]
             if not active:
                 break
@@ -290,6 +316,7 @@ class MixedModel:
                     step[s] = step[s] / 2.0
                 if step[s].max() < 1e-4 * max(0.1, float(np.abs(center[s]).max())):
                     done[s] = True
+        self.converged.update({s: self.converged.get(s, True) and done[s] for s in strata})
         return center
 
     def _optimise(self) -> dict[str, StratumFit]:
@@ -324,9 +351,9 @@ class MixedModel:
         N, p = f.n, res["p"]
         sigma2 = res["sigma2"]
         if self.spec.method == "ML" and self.q > 0 and self.adjust_sigma:
-            sigma2 = sigma2 * N / (N - p)
+            sigma2 = sigma2 * N / (N - p) if N > p else math.nan
         if self.q == 0:
-            sigma2 = res["rss"] / (N - p)
+            sigma2 = res["rss"] / (N - p) if N > p else math.nan
         cov = sigma2 * np.linalg.inv(res["Mxx"])
         Tm = np.eye(p)
         for a, t in enumerate(terms):
@@ -362,12 +389,13 @@ class MixedModel:
             k = p + 1 + nvar
             ll = f.res["loglik"]
             if self.q == 0:
-                ll = -f.n / 2 * (LOG2PI + math.log(f.res["rss"] / f.n) + 1)
+                ll = -f.n / 2 * (LOG2PI + math.log(f.res["rss"] / f.n) + 1) if math.isfinite(f.res["loglik"]) else math.nan
             rows.append((self.name, s, int(f.n), p, f.n_entities, [float(x) for x in f.params],
-                         float(f.res["sigma2"]), float(ll), float(-2 * ll + 2 * k), self.spec.method))
+                         float(f.res["sigma2"]), float(ll), float(-2 * ll + 2 * k), self.spec.method,
+                         self.converged.get(s, True), not math.isfinite(f.res["loglik"])))
         return self.spark.createDataFrame(rows, "model string, stratum string, n long, p int, n_entities int, "
                                                 "theta array<double>, sigma2 double, loglik double, aic double, "
-                                                "method string")
+                                                "method string, converged boolean, degenerate boolean")
 
     @property
     def ranef(self) -> DataFrame:
@@ -394,10 +422,6 @@ class MixedModel:
         return self.gram.select("_stratum", "_entity", "g").mapInPandas(
             blups, "model string, stratum string, entity string, term string, blup double")
 
-    def linear_predictor(self, overrides: dict | None = None) -> "callable":
-        """M9: a function df → Column for X·β (+ random effects if joined)."""
-        return predictor(self, overrides)
-
 
 def predictor(model: MixedModel, overrides: dict | None = None):
     """Return ``f(df) -> DataFrame`` adding ``fitted`` (fixed + random part).
@@ -416,15 +440,16 @@ def predictor(model: MixedModel, overrides: dict | None = None):
     def apply(df: DataFrame) -> DataFrame:
         sk = F.concat_ws("|", *[F.col(s).cast("string") for s in spec.strata]) if spec.strata else F.lit("all")
         d = df.withColumn("_stratum", sk)
-        expr = F.coalesce(F.element_at(term_map(INTERCEPT), F.col("_stratum")), F.lit(0.0))
+        # a stratum or factor level that was not fitted gives null, never the reference value
+        expr = F.element_at(term_map(INTERCEPT), F.col("_stratum"))
         for t in [*spec.slopes, *[f for f in spec.flags if f not in spec.slopes], *design.moments]:
             x = F.lit(float(overrides[t])) if t in overrides else F.col(t).cast("double")
-            expr = expr + F.coalesce(F.element_at(term_map(t), F.col("_stratum")), F.lit(0.0)) * x
+            expr = expr + F.element_at(term_map(t), F.col("_stratum")) * x
         for f, lv in design.levels.items():
-            m = F.create_map(*[x for s, dd in coefs.items() for v in lv[1:]
+            m = F.create_map(*[x for s, dd in coefs.items() for v in lv
                                for x in (F.lit(f"{s}\u0001{v}"), F.lit(dd.get(f"{f}{v}", (0.0, 0.0))[0]))])
-            key = F.concat_ws("\u0001", F.col("_stratum"), F.col(f).cast("string"))
-            expr = expr + F.coalesce(F.element_at(m, key), F.lit(0.0))
+            key = F.concat(F.col("_stratum"), F.lit("\u0001"), F.col(f).cast("string"))
+            expr = expr + F.element_at(m, key)
         d = d.withColumn("fixed", expr)
         if model.q > 0:
             re = (model.ranef.groupBy("stratum", "entity").pivot("term", design.terms[:model.q]).agg(F.first("blup")))

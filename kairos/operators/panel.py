@@ -74,10 +74,11 @@ def left_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]] |
 def priority_union(primary: DataFrame, fallback: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All primary rows plus fallback rows whose key the primary lacks.
 
-    ``left_anti`` is null-safe in the sense of ``%in%`` only for non-null keys;
-    pass keys without nulls (they are time stamps here).
+    A null key matches a null key, as ``%in%`` has it.
     """
-    extra = fallback.join(primary.select(*keys).distinct(), list(keys), "left_anti")
+    have = primary.select(*[F.col(k).alias(f"_r_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    extra = fallback.join(have, same, "left_anti")
     return primary.unionByName(extra, allowMissingColumns=True)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kairos.operators.describe import strict_avg
+from kairos.operators.quantiles import global_quantiles
 
 
 def group_mean_on_rows(df: DataFrame, by: Sequence[str], col: str, out: str, strict: bool = True) -> DataFrame:
@@ -61,7 +62,7 @@ def acf(df: DataFrame, idx_col: str, value_col: str, series: Sequence[str] = (),
 
     Definition (R's): c = x − mean(x, non-missing); γ(l) = Σ c_t c_{t+l} / (ν_l + l)
     over the ν_l pairs with both ends present; ρ(l) = γ(l)/γ(0).  ``idx_col`` is
-    the 1-based position in the series; absent positions are missing values.
+    the position in the series, from any origin; absent positions are missing values.
 
     Execution: rows go to blocks of ``block`` positions; the first ``max_lag``
     rows of each block are copied to the previous block as a halo, so every
@@ -79,10 +80,10 @@ def acf(df: DataFrame, idx_col: str, value_col: str, series: Sequence[str] = (),
     else:
         mu = valid.agg(F.avg(value_col)).first()[0]
         centred = valid.withColumn("_c", x - F.lit(mu))
-    pos = F.col(idx_col).cast("bigint") - 1
-    core = centred.select(*keys, pos.alias("_p"), "_c", F.floor(pos / block).alias("_b"))
-    halo = (core.where((F.col("_p") % block < max_lag) & (F.col("_b") > 0))
-                .withColumn("_b", F.col("_b") - 1))
+    pos = F.col(idx_col).cast("bigint")
+    core = centred.select(*keys, pos.alias("_p"), "_c", F.expr(f"(`{idx_col}` - pmod(`{idx_col}`, {block})) div {block}")
+                          .alias("_b"))
+    halo = core.where(F.pmod("_p", F.lit(block)) < max_lag).withColumn("_b", F.col("_b") - 1)
     parts = core.unionByName(halo)
 
     def block_sums(key, pdf):
@@ -211,7 +212,7 @@ def qq_points(df: DataFrame, col: str) -> DataFrame:
     a = 3.0 / 8.0 if n <= 10 else 0.5
     ranked = global_rank(clean, col, "rank")
     pts = ranked.withColumn("theoretical", norm_quantile((F.col("rank") - a) / F.lit(n + 1 - 2 * a)))
-    q1, q3 = clean.agg(F.percentile(col, [0.25, 0.75])).first()[0]
+    q1, q3 = global_quantiles(clean, col, [0.25, 0.75]) or (float("nan"), float("nan"))
     z1, z3 = -0.6744897501960817, 0.6744897501960817
     slope = (q3 - q1) / (z3 - z1)
     return pts.withColumn("line_slope", F.lit(slope)).withColumn("line_intercept", F.lit(q1 - slope * z1))

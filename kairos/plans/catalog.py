@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kairos.functions.calendar import calendar_columns, intervention_flag, season
 from kairos.functions.numeric import fill_missing
+from kairos.functions.text import pad_left
 from kairos.functions.wind import compass_sector, wind_direction, wind_speed
 from kairos.operators import describe as D
 from kairos.operators import features as FE
@@ -18,7 +19,7 @@ from kairos.operators import filters as FL
 from kairos.operators import panel as P
 from kairos.operators import series as S
 from kairos.plans.standins import (
-    EVENTS_CUT, LINEITEM_CUT, events_hourly, events_panel, lineitem_its, r6,
+    EVENTS_CUT, LINEITEM_CUT, events_hourly, events_panel, indexed_panel, lineitem_its, r6,
 )
 from kairos.sources.landing import request_manifest
 from kairos.sources.tables import load_table
@@ -32,7 +33,7 @@ def panel_complete(spark: SparkSession, sf: str) -> DataFrame:
 
 def prepost_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Mean and sd by period; the flag follows the observed hour
-    (null for absent hours, which form their own group)."""
+    (absent hours have none and are left out)."""
     p = events_panel(spark, sf).withColumn("intervention", intervention_flag("obs_ts", EVENTS_CUT))
     s = D.prepost_summary(p.withColumn("n_events", F.col("n_events").cast("double")), "intervention",
                           ["value_mean", "n_events"], digits=2)
@@ -55,9 +56,9 @@ def request_manifest_q(spark: SparkSession, sf: str) -> DataFrame:
     li = load_table(spark, sf, "lineitem", ["l_suppkey", "l_shipdate"])
     years = li.groupBy("l_suppkey").agg(F.min(F.year("l_shipdate")).alias("b_year"),
                                         F.max(F.year("l_shipdate")).alias("e_year"))
-    site = F.concat_ws("-", F.lpad(F.col("n_regionkey").cast("string"), 2, "0"),
-                       F.lpad(F.col("s_nationkey").cast("string"), 3, "0"),
-                       F.lpad(F.col("s_suppkey").cast("string"), 4, "0"))
+    site = F.concat_ws("-", pad_left(F.col("n_regionkey").cast("string"), 2),
+                       pad_left(F.col("s_nationkey").cast("string"), 3),
+                       pad_left(F.col("s_suppkey").cast("string"), 4))
     ents = (sup.join(nat, sup.s_nationkey == nat.n_nationkey, "inner")
                .join(years, sup.s_suppkey == years.l_suppkey, "inner")
                .select(site.alias("site_id"), "s_name", "b_year", "e_year"))
@@ -114,8 +115,7 @@ def covariate_join(spark: SparkSession, sf: str) -> DataFrame:
 def strict_mean(spark: SparkSession, sf: str) -> DataFrame:
     """Daily means per entity, strict (any absent hour → null) and na.rm."""
     p = events_panel(spark, sf).withColumn("day", F.col("ts").cast("date"))
-    p = S.group_mean_on_rows(p, ["event_type", "day"], "value_mean", "day_mean_strict", strict=True)
-    g = p.groupBy("event_type", "day").agg(F.first("day_mean_strict").alias("mean_strict"),
+    g = p.groupBy("event_type", "day").agg(D.strict_avg("value_mean").alias("mean_strict"),
                                            F.avg("value_mean").alias("mean_narm"),
                                            F.count_if(F.col("value_mean").isNull()).alias("n_missing"))
     return g.select("event_type", "day", r6("mean_strict").alias("mean_strict"), r6("mean_narm").alias("mean_narm"),
@@ -142,7 +142,7 @@ def zscore_global(spark: SparkSession, sf: str) -> DataFrame:
 
 def zscore_entity(spark: SparkSession, sf: str) -> DataFrame:
     """Per-entity z-score of the elapsed-time index."""
-    p = events_panel(spark, sf).withColumn("time_elapsed", FE.grid_index("ts", "2024-01-01 00:00:00"))
+    p = indexed_panel(spark, sf).withColumnRenamed("idx", "time_elapsed")
     z = FE.zscore_by(p, "time_elapsed", ["event_type"])
     return z.select("event_type", "ts", F.col("time_elapsed").cast("bigint").alias("time_elapsed"),
                     r6("time_elapsed_scale").alias("time_elapsed_scale"))
@@ -202,10 +202,10 @@ def complete_cases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def outlier_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items below mean + 3 sd of extended price."""
-    li = load_table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_extendedprice"])
-    f = FL.upper_outlier_filter(li, "l_extendedprice", "l_extendedprice", 3.0)
-    return f.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_extendedprice")
+    """Events below mean + 3 sd of the value, which has a long right tail."""
+    ev = load_table(spark, sf, "events", ["event_id", "value"])
+    f = FL.upper_outlier_filter(ev, "value", "value", 3.0)
+    return f.select("event_id", "value")
 
 
 def zone_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -254,7 +254,7 @@ def rolling_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 def acf_q(spark: SparkSession, sf: str) -> DataFrame:
     """Autocorrelation of each entity's hourly series, lags 0..100, gaps as NA."""
-    p = events_panel(spark, sf).withColumn("idx", FE.grid_index("ts", "2024-01-01 00:00:00"))
+    p = indexed_panel(spark, sf)
     a = S.acf(p, "idx", "value_mean", series=["event_type"], max_lag=100, block=512)
     return a.select("event_type", F.col("lag").cast("bigint").alias("lag"), r6("acf").alias("acf"),
                     F.col("n_pairs").cast("bigint").alias("n_pairs"))
@@ -262,7 +262,7 @@ def acf_q(spark: SparkSession, sf: str) -> DataFrame:
 
 def pacf_q(spark: SparkSession, sf: str) -> DataFrame:
     """Partial autocorrelation from the ACF table (Durbin–Levinson)."""
-    p = events_panel(spark, sf).withColumn("idx", FE.grid_index("ts", "2024-01-01 00:00:00"))
+    p = indexed_panel(spark, sf)
     a = S.acf(p, "idx", "value_mean", series=["event_type"], max_lag=30, block=512)
     return S.pacf(a, ["event_type"]).select("event_type", F.col("lag").cast("bigint").alias("lag"),
                                               r6("pacf").alias("pacf"))

@@ -14,7 +14,7 @@ from kairos.operators import filters as FL
 from kairos.operators.gram import INTERCEPT, ModelSpec, resolve_design, gram_table
 from kairos.operators.mixed import MixedModel, lr_test
 from kairos.operators.report import detrend_effect, effect_table, het_test, its_series, score
-from kairos.plans.standins import EVENTS_CUT, events_panel, lineitem_its, r6
+from kairos.plans.standins import EVENTS_CUT, event_rows, events_panel, indexed_panel, lineitem_its, r6
 
 # Fixed-θ list of the profile-likelihood query (θ = σ_b²/σ²).
 PROFILE_THETAS = (0.0, 0.0001, 0.001, 0.01, 0.1, 1.0)
@@ -112,21 +112,22 @@ def model_compare(spark: SparkSession, sf: str) -> DataFrame:
                       r6("lr_stat").alias("lr_stat"), r6("p_value").alias("p_value"))
 
 
-def _events_model_frame(spark, sf) -> DataFrame:
+def _events_model_frame(spark, sf, strata=("weekend",)) -> DataFrame:
     """Complete-case hourly panel with ITS features; the elapsed index is
-    recomputed within (weekend stratum, entity) over complete rows (Q16)."""
+    recomputed within (stratum, entity) over complete rows (Q16)."""
     p = events_panel(spark, sf).withColumns(calendar_columns("obs_ts")) \
         .withColumn("intervention", intervention_flag("obs_ts", EVENTS_CUT))
     cc = FL.complete_cases(p, ["value_mean", "k_mean", "intervention", "time_of_day", "weekend"],
                            keep=["event_type", "ts", "value_mean", "k_mean", "intervention", "time_of_day", "weekend"])
-    return FE.sequence_index(cc, ["weekend", "event_type"], "ts", "time_elapsed", block="2 days")
+    return FE.sequence_index(cc, [*strata, "event_type"], "ts", "time_elapsed", block="2 days")
 
 
 def _strata_model(spark, sf, strata=("weekend",)) -> MixedModel:
-    df = _events_model_frame(spark, sf)
-    spec = ModelSpec("value_mean", numeric=["time_elapsed", "k_mean"], flags=["intervention"],
-                     factors={"time_of_day": [str(h) for h in range(24)]}, group="event_type",
-                     strata=list(strata))
+    df = _events_model_frame(spark, sf, strata)
+    # a factor that is a stratum is constant there
+    factors = {} if "time_of_day" in strata else {"time_of_day": [str(h) for h in range(24)]}
+    spec = ModelSpec("value_mean", numeric=["time_elapsed", "k_mean"], flags=["intervention"], factors=factors,
+                     group="event_type", strata=list(strata))
     return MixedModel(df, spec, "strata_" + "_".join(strata))
 
 
@@ -137,8 +138,7 @@ def strata_effects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hourly_effects(spark: SparkSession, sf: str) -> DataFrame:
-    """M5: intervention effect per hour-of-day stratum (24 fits, one Gram pass);
-    the hour factor is aliased within a stratum and dropped automatically."""
+    """M5: intervention effect per hour-of-day stratum (24 fits, one Gram pass)."""
     e = effect_table(_strata_model(spark, sf, ("time_of_day",)).coef, "intervention")
     return e.select("model", "stratum", *[r6(c).alias(c) for c in ("beta", "se", "lci", "uci")])
 
@@ -166,15 +166,19 @@ def detrend_effect_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def residual_outliers(spark: SparkSession, sf: str) -> DataFrame:
-    """Score the RI model, drop residuals above mean(y) + 3·sd(y),
-    refit, and report the intervention effect before and after."""
-    li = _li(spark, sf)
-    m = MixedModel(li, _main_spec(), "ri_ml")
-    scored = score(li, m)
-    kept = FL.upper_outlier_filter(scored, "resid", "y", 3.0)
-    m2 = MixedModel(kept, _main_spec(), "ri_ml_no_outliers")
+    """Score the RI model of the raw event values (a long right tail),
+    drop residuals above mean(y) + 3·sd(y), refit, and report the intervention
+    effect and the rows before and after."""
+    ev = event_rows(spark, sf)
+    spec = ModelSpec("value", numeric=["t", "k"], flags=["post"], group="event_type")
+    m = MixedModel(ev, spec, "ri_ml")
+    scored = score(ev, m)
+    kept = FL.upper_outlier_filter(scored, "resid", "value", 3.0)
+    m2 = MixedModel(kept, spec, "ri_ml_no_outliers")
     both = effect_table(m.coef, "post").unionByName(effect_table(m2.coef, "post"))
-    return both.select("model", "stratum", *[r6(c).alias(c) for c in ("beta", "se", "lci", "uci")])
+    rows = m.fit.unionByName(m2.fit).select("model", "stratum", "n")
+    return both.join(rows, ["model", "stratum"]).select(
+        "model", "stratum", *[r6(c).alias(c) for c in ("beta", "se", "lci", "uci")], "n")
 
 
 MODEL_QUERIES = {
@@ -199,7 +203,7 @@ def trend_smoother(spark: SparkSession, sf: str) -> DataFrame:
     """Per-entity natural-spline (3 df) least-squares trend of the
     hourly outcome over the elapsed index (one Gram pass, 5 OLS solves)."""
     from kairos.functions.spline import natural_spline_basis, spline_knots
-    p = events_panel(spark, sf).withColumn("idx", FE.grid_index("ts", "2024-01-01 00:00:00").cast("double"))
+    p = indexed_panel(spark, sf).withColumn("idx", F.col("idx").cast("double"))
     knots = spline_knots(p.where(F.col("value_mean").isNotNull()), "idx", 3)
     p = p.withColumns(natural_spline_basis("idx", knots))
     m = MixedModel(p, ModelSpec("value_mean", numeric=["ns1", "ns2", "ns3"], strata=["event_type"]), "smoother")

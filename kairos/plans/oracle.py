@@ -71,10 +71,10 @@ SELECT event_type, ts, CAST(n_events AS BIGINT) AS n_events, {_r('value_mean')}
 SQL["prepost_summary"] = f"""WITH {EV_PANEL},
 f AS (SELECT *, obs_ts >= {EV_CUT} AS intervention FROM panel)
 SELECT intervention, 'value_mean' AS variable, {_r('avg(value_mean)', 2)} AS mean,
-       {_r('stddev_samp(value_mean)', 2)} AS sd FROM f GROUP BY 1
+       {_r('stddev_samp(value_mean)', 2)} AS sd FROM f WHERE intervention IS NOT NULL GROUP BY 1
 UNION ALL
 SELECT intervention, 'n_events', {_r('avg(CAST(n_events AS DOUBLE))', 2)},
-       {_r('stddev_samp(CAST(n_events AS DOUBLE))', 2)} FROM f GROUP BY 1"""
+       {_r('stddev_samp(CAST(n_events AS DOUBLE))', 2)} FROM f WHERE intervention IS NOT NULL GROUP BY 1"""
 
 SQL["entity_year_stats"] = f"""
 SELECT l_returnflag || l_linestatus AS entity, CAST(year(l_shipdate) AS BIGINT) AS year,
@@ -88,7 +88,8 @@ SQL["request_manifest"] = """
 WITH y AS (SELECT l_suppkey, min(year(l_shipdate)) AS b_year, max(year(l_shipdate)) AS e_year
            FROM lineitem GROUP BY 1),
 e AS (SELECT lpad(CAST(n.n_regionkey AS VARCHAR), 2, '0') || '-' || lpad(CAST(s.s_nationkey AS VARCHAR), 3, '0')
-             || '-' || lpad(CAST(s.s_suppkey AS VARCHAR), 4, '0') AS site_id, s.s_name, y.b_year, y.e_year
+             || '-' || CASE WHEN length(CAST(s.s_suppkey AS VARCHAR)) >= 4 THEN CAST(s.s_suppkey AS VARCHAR)
+                       ELSE lpad(CAST(s.s_suppkey AS VARCHAR), 4, '0') END AS site_id, s.s_name, y.b_year, y.e_year
       FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN y ON s.s_suppkey = y.l_suppkey),
 x AS (SELECT site_id, s_name, unnest(generate_series(b_year, e_year)) AS pull_year FROM e)
 SELECT site_id, s_name, CAST(pull_year AS BIGINT) AS pull_year, split_part(site_id, '-', 1) AS state_code,
@@ -154,7 +155,7 @@ SELECT event_type, ts, {_r('(value_mean - s.m1) / s.s1')} AS value_mean_scale,
 FROM panel CROSS JOIN s"""
 
 SQL["zscore_entity"] = f"""WITH {EV_PANEL},
-t AS (SELECT event_type, ts, date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', ts) + 1 AS te FROM panel)
+t AS (SELECT event_type, ts, date_diff('hour', (SELECT lo FROM bounds), ts) + 1 AS te FROM panel)
 SELECT event_type, ts, CAST(te AS BIGINT) AS time_elapsed,
        {_r('(te - avg(te) OVER (PARTITION BY event_type)) / stddev_samp(te) OVER (PARTITION BY event_type)')}
          AS time_elapsed_scale
@@ -212,8 +213,7 @@ FROM f WHERE event_type IS NOT NULL AND ts IS NOT NULL AND value_mean IS NOT NUL
   AND weekend IS NOT NULL"""
 
 SQL["outlier_filter"] = """
-SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_extendedprice FROM lineitem
-WHERE l_extendedprice < (SELECT avg(l_extendedprice) + 3.0 * stddev_samp(l_extendedprice) FROM lineitem)"""
+SELECT event_id, value FROM events WHERE value < (SELECT avg(value) + 3.0 * stddev_samp(value) FROM events)"""
 
 SQL["zone_filter"] = f"""
 WITH s AS (SELECT avg(l_quantity) AS mq, stddev_samp(l_quantity) AS sq,
@@ -240,8 +240,11 @@ WITH r AS (SELECT min(value) AS lo, max(value) AS hi FROM events),
 p AS (SELECT (hi - lo) / 29.0 AS w, lo - ((hi - lo) / 29.0) / 2.0 AS o FROM r),
 b AS (SELECT CAST(greatest(ceil((value - o) / w) - 1, 0) AS BIGINT) AS bin, o, w FROM events CROSS JOIN p
       WHERE value IS NOT NULL AND NOT isnan(value))
-SELECT bin, {_r('o + bin * w')} AS x_min, {_r('o + (bin + 1) * w')} AS x_max, CAST(count(*) AS BIGINT) AS n
-FROM b GROUP BY bin, o, w"""
+c AS (SELECT least(bin, 29) AS bin, count(*) AS n FROM b GROUP BY 1),
+e AS (SELECT unnest(generate_series(0, 29)) AS bin)
+SELECT CAST(e.bin AS BIGINT) AS bin, {_r('p.o + e.bin * p.w')} AS x_min, {_r('p.o + (e.bin + 1) * p.w')} AS x_max,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM e CROSS JOIN p LEFT JOIN c ON e.bin = c.bin"""
 
 SQL["box_stats"] = f"""
 WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,

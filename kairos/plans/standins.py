@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kairos.operators.features import grid_index
 from kairos.operators.panel import complete_panel, hour_floor
 from kairos.sources.tables import load_table
 
@@ -47,16 +48,32 @@ def events_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.avg(k).alias("k_mean")))
 
 
-def hour_bounds(obs: DataFrame, ts: str = "ts") -> tuple[str, str]:
-    r = obs.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
+def hour_bounds(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """First and last hour of the raw events, in one unshuffled pass over one column."""
+    ev = load_table(spark, sf_dir, "events", ["ts"])
+    r = ev.agg(hour_floor(F.min("ts")).alias("lo"), hour_floor(F.max("ts")).alias("hi")).first()
     return str(r["lo"]), str(r["hi"])
 
 
 def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete (event_type × hour) panel; ``obs_ts`` is null for absent hours."""
     obs = events_hourly(spark, sf_dir).withColumn("obs_ts", F.col("ts"))
-    lo, hi = hour_bounds(obs)
-    return complete_panel(obs, ["event_type"], "ts", lo, hi)
+    lo, hi = hour_bounds(spark, sf_dir)
+    types = load_table(spark, sf_dir, "events", ["event_type"])
+    return complete_panel(obs, ["event_type"], "ts", lo, hi, entities=types)
+
+
+def indexed_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel with ``idx``, the 1-based hour since the first of the data."""
+    return events_panel(spark, sf_dir).withColumn("idx", grid_index("ts", hour_bounds(spark, sf_dir)[0]))
+
+
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row-level events: type, post flag, hour index ``t``, JSON ``k``, raw ``value``."""
+    ev = load_table(spark, sf_dir, "events", ["event_type", "ts", "value", "props"])
+    k = F.get_json_object("props", "$.k").cast("double")
+    return ev.select("event_type", (F.col("ts") >= F.lit(EVENTS_CUT).cast("timestamp_ntz")).alias("post"),
+                     grid_index("ts", EVENTS_CUT).cast("double").alias("t"), k.alias("k"), "value")
 
 
 def entity_offset(entity_flag: Column, entity_status: Column) -> Column:
