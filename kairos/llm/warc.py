@@ -44,9 +44,9 @@ def sha1_base32(data: bytes) -> str:
 
 
 def _clean(url: str | None, page_id: int | None) -> str:
-    """URL as one ARC field: white space and control characters percent-encoded."""
-    return re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m[0][0],
-                  (url or f"urn:page:{page_id}").encode()).decode()
+    """URL as one ARC field: white space and control characters percent-encoded, and never a filedesc URL."""
+    said = re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m[0][0], (url or f"urn:page:{page_id}").encode()).decode()
+    return said.replace(":", "%3A", 1) if said.startswith("filedesc:") else said
 
 
 def _arc_row(version: int, url: str, mime: str, name: str, offset: int, body: bytes, status: str = "200") -> bytes:
@@ -105,7 +105,7 @@ class Arc:
         values = line.decode("utf-8", "replace").split(" ")
         for version in ([self.version] if self.version else (1, 2)):
             names = ARC_FIELDS[version]
-            if len(values) == len(names) and values[-1].isdigit() and ":" in values[0]:
+            if len(values) == len(names) and values[-1].isdigit() and values[0] and values[2].isdigit():
                 return dict(zip(names, values)) | {"version": version}
         return None
 

@@ -47,6 +47,8 @@ _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 
 #: A sequence longer than this turns into one repeated group of optional parts.
 LONGEST = 48
+#: Elements nested deeper than this belong to the element at this depth, text and all.
+DEEPEST = 150
 SALT = 32
 #: Wrappers of at most so many bytes in all are broadcast; more are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -88,6 +90,7 @@ def read(page: str) -> tuple[Slot, list[tuple[str, str, int]]]:
     root = Slot("page")
     stack: list[tuple[str, str, Slot]] = [("", "", root)]      # tag, path, slot of open block elements
     inline: list[str] = []
+    deep: list[str] = []
     blocks: list[tuple[str, str, int]] = []
     text: list[str] = []
     link = 0
@@ -127,6 +130,9 @@ def read(page: str) -> tuple[Slot, list[tuple[str, str, int]]]:
                 inline.remove(tag)
             elif tag == "body" or tag == "html":
                 flush()
+            elif tag in deep:
+                flush()
+                deep.remove(tag)
             else:
                 close((tag,), None)
                 if tag == "head":
@@ -154,6 +160,9 @@ def read(page: str) -> tuple[Slot, list[tuple[str, str, int]]]:
             inline.clear()
         if tag in SIBLINGS:
             close(SIBLINGS[tag], SCOPE - set(SIBLINGS[tag]))
+        if len(stack) > DEEPEST:
+            deep.append(tag)
+            continue
         key = _key(tag, attrs)
         slot = Slot(key)
         stack[-1][2].kids.append(slot)
