@@ -140,7 +140,8 @@ def strata_effects(spark: SparkSession, sf: str) -> DataFrame:
 def hourly_effects(spark: SparkSession, sf: str) -> DataFrame:
     """M5: intervention effect per hour-of-day stratum (24 fits, one Gram pass)."""
     e = effect_table(_strata_model(spark, sf, ("time_of_day",)).coef, "intervention")
-    return e.select("model", "stratum", *[r6(c).alias(c) for c in ("beta", "se", "lci", "uci")])
+    return e.select("model", "stratum", *[r6(c, 4).alias(c) for c in ("beta", "se")],
+                    *[r6(c, 3).alias(c) for c in ("lci", "uci")])
 
 
 def het_test_q(spark: SparkSession, sf: str) -> DataFrame:

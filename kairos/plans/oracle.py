@@ -239,7 +239,7 @@ SQL["histogram"] = f"""
 WITH r AS (SELECT min(value) AS lo, max(value) AS hi FROM events),
 p AS (SELECT (hi - lo) / 29.0 AS w, lo - ((hi - lo) / 29.0) / 2.0 AS o FROM r),
 b AS (SELECT CAST(greatest(ceil((value - o) / w) - 1, 0) AS BIGINT) AS bin, o, w FROM events CROSS JOIN p
-      WHERE value IS NOT NULL AND NOT isnan(value))
+      WHERE value IS NOT NULL AND NOT isnan(value)),
 c AS (SELECT least(bin, 29) AS bin, count(*) AS n FROM b GROUP BY 1),
 e AS (SELECT unnest(generate_series(0, 29)) AS bin)
 SELECT CAST(e.bin AS BIGINT) AS bin, {_r('p.o + e.bin * p.w')} AS x_min, {_r('p.o + (e.bin + 1) * p.w')} AS x_max,
