@@ -265,7 +265,7 @@ def pacf_q(spark: SparkSession, sf: str) -> DataFrame:
     p = indexed_panel(spark, sf)
     a = S.acf(p, "idx", "value_mean", series=["event_type"], max_lag=30, block=512)
     return S.pacf(a, ["event_type"]).select("event_type", F.col("lag").cast("bigint").alias("lag"),
-                                              r6("pacf").alias("pacf"))
+                                              r6("pacf", 4).alias("pacf"))
 
 
 def impute_cell_mean(spark: SparkSession, sf: str) -> DataFrame:

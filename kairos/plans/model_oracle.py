@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from kairos.plans.oracle import EV_CUT, EV_PANEL, SEASON, TOD_CAT, WEEKEND
+from kairos.plans.oracle import EV_CUT, EV_PANEL, LI_CUT, LI_Y, SEASON, SQL as BASE_SQL, WEEKEND, K
 
 POINTS = 160
 
@@ -23,12 +23,13 @@ def r(x: str, d: int = 4) -> str:
     return f"(floor(floor(({x}) * 1e9 + 0.5) / 1e9 * 1e{d} + 0.5) / 1e{d})"
 
 
-def random_intercept(name: str, rows: str, xs: Sequence[str], method: str = "ML") -> str:
+def random_intercept(name: str, rows: str, xs: Sequence[str], method: str = "ML", scaled: bool = True,
+                     search: bool = True) -> str:
     """CTEs ending in {name}_best: per stratum s the coefficients b0.., their se, v, n.
 
-    ``rows`` names a CTE (s, e, xs..., y) without nulls; xs are centred and scaled by their overall moments,
-    as a flag's coefficient needs it not to be, flags start with an underscore."""
-    cols = ["1.0", *[x if x.startswith("_") else f"(({x}) - mu_{x}) / sd_{x}" for x in xs], "y"]
+    ``rows`` names a CTE (s, e, xs..., y) without nulls.  If ``scaled``, columns are centred and scaled by their overall
+    moments, but for flags, whose names start with an underscore.  Without ``search``, v is 0 (least squares)."""
+    cols = ["1.0", *[x if x.startswith("_") or not scaled else f"(({x}) - mu_{x}) / sd_{x}" for x in xs], "y"]
     m = len(cols)
     tri = [(i, j) for i in range(m) for j in range(i + 1)]
     moments = [x for x in xs if not x.startswith("_")]
@@ -40,8 +41,8 @@ def random_intercept(name: str, rows: str, xs: Sequence[str], method: str = "ML"
             f"{name}_e AS (SELECT s, e, {', '.join(f'sum(a{i} * a{j}) AS g{i}_{j}' for i, j in tri)} "
             f"FROM {name}_a GROUP BY 1, 2)",
             f"{name}_c0 AS (SELECT DISTINCT s, i, CASE WHEN i = 0 THEN 0.0 ELSE power(10.0, -4.0 + 7.0 * (i - 1) / "
-            f"{POINTS - 1}.0) END AS v FROM {name}_e CROSS JOIN (SELECT unnest(range({POINTS + 1})) AS i))"]
-    for k in range(3):
+            f"{POINTS - 1}.0) END AS v FROM {name}_e CROSS JOIN (SELECT unnest(range({POINTS + 1 if search else 1})) AS i))"]
+    for k in range(3 if search else 1):
         c, q = f"{name}_c{k}", f"{name}_q{k}"
         adj = ", ".join(f"sum(g{i}_{j} - v * v / (1 + v * v * g0_0) * g{max(i, 0)}_0 * g{max(j, 0)}_0) AS m{i}_{j}"
                         for i, j in tri)
@@ -61,7 +62,7 @@ def random_intercept(name: str, rows: str, xs: Sequence[str], method: str = "ML"
         ctes.append(f"{q} AS (SELECT *, {ll} AS ll FROM {last})")
         ctes.append(f"{q}b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY ll DESC, i) AS rk "
                     f"FROM {q}) WHERE rk = 1)")
-        if k < 2:
+        if k < 2 and search:
             top = POINTS
             ctes.append(
                 f"{name}_n{k} AS (SELECT b.s, coalesce((SELECT v FROM {c} x WHERE x.s = b.s AND x.i = b.i - 1), 0.0) AS lo, "
@@ -69,7 +70,7 @@ def random_intercept(name: str, rows: str, xs: Sequence[str], method: str = "ML"
             ctes.append(f"{name}_c{k + 1} AS (SELECT s, i, lo + (hi - lo) * i / {top}.0 AS v FROM {name}_n{k} "
                         f"CROSS JOIN (SELECT unnest(range({top + 1})) AS i))")
     # back substitution for β and columns of L⁻¹ for the standard errors
-    last, q = f"{name}_q2b", f"{name}_z"
+    last, q = f"{name}_q{2 if search else 0}b", f"{name}_z"
     for i in range(p - 1, -1, -1):
         e = f"(l{p}_{i}" + "".join(f" - l{t}_{i} * b{t}" for t in range(i + 1, p)) + f") / l{i}_{i}"
         ctes.append(f"{q}b{i} AS (SELECT *, {e} AS b{i} FROM {last})")
@@ -160,3 +161,93 @@ def _pair(one: str, two: str, a: str, b: str) -> str:
 SQL["het_pairs"] = (f"{_MAIN}{_FEATS},\n{_HOUR},\n{_ROAD},\n" + random_intercept("f", "hr", ["_post", "t", "k"]) + ",\n"
                     + random_intercept("g", "rd", ["_post", "t", "k"]) + "\n" + _pair("f_best", "f_best", "1", "6")
                     + "\nUNION ALL\n" + _pair("g_best", "g_best", "Roadside", "Non-roadside"))
+
+
+# The main model on line items: post, day index, discount and weekday (reference level Sunday = 1).
+_LI_X = ["_post", "t", "disc", *[f"_d{i}" for i in range(2, 8)]]
+_LI_TERMS = ["(Intercept)", "post", "t", "disc", *[f"dow{i}" for i in range(2, 8)]]
+_LI = f"""WITH li AS (SELECT 'all' AS s, l_returnflag || l_linestatus AS e, CAST(l_shipdate AS DATE) AS day,
+  CASE WHEN l_shipdate >= {LI_CUT} THEN 1.0 ELSE 0.0 END AS _post,
+  CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS t,
+  round_even(l_discount * 100, 0) AS disc, {LI_Y} AS y,
+  {', '.join(f"CASE WHEN dayofweek(l_shipdate) + 1 = {i} THEN 1.0 ELSE 0.0 END AS _d{i}" for i in range(2, 8))}
+  FROM lineitem),
+"""
+
+
+def _coefs(name: str, model: str, terms: Sequence[str]) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{model}' AS model, s AS stratum, '{t}' AS term, {r(f'b{i}', 6)} AS beta, {r(f'se{i}', 6)} AS se, "
+        f"{r(f'b{i} - 1.96 * se{i}', 6)} AS lci, {r(f'b{i} + 1.96 * se{i}', 6)} AS uci FROM {name}_best"
+        for i, t in enumerate(terms))
+
+
+def _linear(xs: Sequence[str]) -> str:
+    return "m.b0" + "".join(f" + m.b{i + 1} * w.{x}" for i, x in enumerate(xs))
+
+
+def _scored(name: str, fit: str, rows: str, xs: Sequence[str]) -> str:
+    """{name}: the rows with xb, BLUP b and residual res of an unscaled one-stratum fit."""
+    return f"""{name}x AS (SELECT w.*, {_linear(xs)} AS xb, m.v * m.v AS th FROM {rows} w JOIN {fit}_best m ON w.s = m.s),
+{name}b AS (SELECT e, sum(y - xb) * max(th) / (1 + max(th) * count(*)) AS b FROM {name}x GROUP BY 1),
+{name} AS (SELECT x.*, b.b, x.y - x.xb - b.b AS res FROM {name}x x JOIN {name}b b ON x.e = b.e)"""
+
+
+_LI_FIT = _LI + random_intercept("f", "li", _LI_X, scaled=False)
+SQL["lmm_effect"] = _LI_FIT + "\n" + _coefs("f", "ri_ml", _LI_TERMS)
+SQL["lmm_reml"] = _LI + random_intercept("f", "li", _LI_X, "REML", scaled=False) + "\n" + _coefs("f", "ri_reml", _LI_TERMS)
+SQL["lmm_ranef"] = (_LI_FIT + ",\n" + _scored("z", "f", "li", _LI_X) + f"""
+SELECT DISTINCT 'ri_ml' AS model, 'all' AS stratum, e AS entity, '(Intercept)' AS term, {r('b')} AS blup FROM zb""")
+SQL["its_counterfactual"] = (_LI_FIT + ",\n" + _scored("z", "f", "li", _LI_X) + f""",
+pr AS (SELECT z.t, z.day, z.xb + z.b AS act, z.xb + z.b - m.b1 * z._post AS cf FROM z JOIN f_best m ON z.s = m.s),
+ti AS (SELECT t, avg(act) AS act, avg(cf) AS cf, min(day) AS day FROM pr GROUP BY 1),
+dy AS (SELECT day, avg(act) AS act, avg(cf) AS cf FROM ti GROUP BY 1)
+SELECT day AS date, {r('act')} AS pred_actual, {r('cf')} AS pred_counterf,
+       {r('CASE WHEN count(*) OVER w = 14 THEN avg(act) OVER w END')} AS roll_actual,
+       {r('CASE WHEN count(*) OVER w = 14 THEN avg(cf) OVER w END')} AS roll_counterf
+FROM dy WINDOW w AS (ORDER BY day ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)""")
+
+_DT_X = ["disc", *[f"_d{i}" for i in range(2, 8)]]
+SQL["detrend_effect"] = (
+    _LI + "lf AS (SELECT * REPLACE (_post AS y) FROM li),\n" + random_intercept("g", "li", _DT_X, "REML", scaled=False)
+    + ",\n" + random_intercept("h", "lf", _DT_X, "REML", scaled=False) + f""",
+gx AS (SELECT w.*, {_linear(_DT_X)} AS xb, m.v * m.v AS th FROM li w JOIN g_best m ON w.s = m.s),
+gb AS (SELECT e, sum(y - xb) * max(th) / (1 + max(th) * count(*)) AS b FROM gx GROUP BY 1),
+hx AS (SELECT w.*, {_linear(_DT_X)} AS fx, m.v * m.v AS fh FROM gx w JOIN h_best m ON w.s = m.s),
+hb AS (SELECT e, sum(_post - fx) * max(fh) / (1 + max(fh) * count(*)) AS b FROM hx GROUP BY 1),
+dr AS (SELECT 'all' AS s, 'all' AS e, hx._post - hx.fx - hb.b AS x, hx.t, hx.y - hx.xb - gb.b AS y
+       FROM hx JOIN gb ON hx.e = gb.e JOIN hb ON hx.e = hb.e),
+""" + random_intercept("o", "dr", ["x", "t"], scaled=False, search=False) + "\n"
+    + _coefs("o", "detrended", ["(Intercept)", "flag_resid", "t"]))
+
+_EV_X = ["_post", "t", "k"]
+SQL["residual_outliers"] = f"""WITH ev AS (SELECT 'all' AS s, event_type AS e, CASE WHEN ts >= {EV_CUT} THEN 1.0 ELSE 0.0 END AS _post,
+  floor(date_diff('second', {EV_CUT}, ts) / 3600.0) + 1 AS t, {K} AS k, value AS y FROM events),
+er AS (SELECT * FROM ev WHERE _post IS NOT NULL AND t IS NOT NULL AND k IS NOT NULL AND y IS NOT NULL AND e IS NOT NULL),
+""" + random_intercept("f", "er", _EV_X, scaled=False) + ",\n" + _scored("z", "f", "er", _EV_X) + """,
+ek AS (SELECT s, e, _post, t, k, y FROM z WHERE res < (SELECT avg(y) + 3.0 * stddev_samp(y) FROM er)),
+""" + random_intercept("g", "ek", _EV_X, scaled=False) + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{m}' AS model, s AS stratum, {r('b1')} AS beta, {r('se1')} AS se, {r('b1 - 1.96 * se1')} AS lci, "
+    f"{r('b1 + 1.96 * se1')} AS uci, n FROM {c}_best" for c, m in (("f", "ri_ml"), ("g", "ri_ml_no_outliers")))
+
+SQL["trend_smoother"] = _MAIN + f"""tp AS (SELECT event_type AS s, 'all' AS e, ts, {_T} AS x, value_mean AS y FROM panel),
+kn AS (SELECT quantile_cont(x, 0.0) AS k0, quantile_cont(x, 1.0 / 3) AS k1, quantile_cont(x, 2.0 / 3) AS k2,
+              quantile_cont(x, 1.0) AS k3 FROM tp WHERE y IS NOT NULL),
+tb AS (SELECT tp.*, x / 1.0 AS ns1, {_d(0)} - {_d(2)} AS ns2, {_d(1)} - {_d(2)} AS ns3 FROM tp CROSS JOIN kn),
+tc AS (SELECT * FROM tb WHERE y IS NOT NULL),
+""" + random_intercept("f", "tc", ["ns1", "ns2", "ns3"], search=False) + f"""
+SELECT w.s AS event_type, w.ts, {r('w.y', 6)} AS value_mean, {r("m.b0 + " + " + ".join(
+    f"m.b{i} * (w.ns{i} - f_mom.mu_ns{i}) / f_mom.sd_ns{i}" for i in (1, 2, 3)))} AS trend
+FROM tb w JOIN f_best m ON w.s = m.s CROSS JOIN f_mom"""
+
+# Durbin–Levinson over the lags 0..30 of the ACF, with the ACF of the panel as in its own query.
+_ACF = BASE_SQL["acf"]
+SQL["pacf"] = f"""WITH RECURSIVE a AS (SELECT event_type, lag, acf FROM ({{acf}}) WHERE lag <= 30),
+rl AS (SELECT event_type, list(acf ORDER BY lag) AS r FROM a GROUP BY 1),
+dl AS (SELECT event_type, r, CAST(1 AS BIGINT) AS k, [r[2]] AS phi, 1.0 - r[2] * r[2] AS v FROM rl
+       UNION ALL
+       SELECT event_type, r, k + 1,
+              list_concat(list_transform(range(1, k + 1), lambda j: phi[j] - g * phi[k + 1 - j]), [g]), v * (1.0 - g * g)
+       FROM (SELECT *, (r[k + 2] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j]))) / v AS g
+             FROM dl WHERE k < 30))
+SELECT event_type, k AS lag, {r('phi[k]')} AS pacf FROM dl""".replace("{acf}", _ACF)

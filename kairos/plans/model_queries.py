@@ -89,7 +89,7 @@ def lmm_reml(spark: SparkSession, sf: str) -> DataFrame:
 def lmm_ranef(spark: SparkSession, sf: str) -> DataFrame:
     """M8: BLUPs of the random-intercept model."""
     r = MixedModel(_li(spark, sf), _main_spec(), "ri_ml").ranef
-    return r.select("model", "stratum", "entity", "term", r6("blup").alias("blup"))
+    return r.select("model", "stratum", "entity", "term", r6("blup", 4).alias("blup"))
 
 
 def model_compare(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,7 +156,7 @@ def its_counterfactual(spark: SparkSession, sf: str) -> DataFrame:
     li = _li(spark, sf)
     m = MixedModel(li, _main_spec(), "ri_ml")
     s = its_series(li, m, "post", "t", "day", k=14)
-    return s.select("date", *[r6(c).alias(c) for c in ("pred_actual", "pred_counterf", "roll_actual", "roll_counterf")])
+    return s.select("date", *[r6(c, 4).alias(c) for c in ("pred_actual", "pred_counterf", "roll_actual", "roll_counterf")])
 
 
 def detrend_effect_q(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,7 +179,7 @@ def residual_outliers(spark: SparkSession, sf: str) -> DataFrame:
     both = effect_table(m.coef, "post").unionByName(effect_table(m2.coef, "post"))
     rows = m.fit.unionByName(m2.fit).select("model", "stratum", "n")
     return both.join(rows, ["model", "stratum"]).select(
-        "model", "stratum", *[r6(c).alias(c) for c in ("beta", "se", "lci", "uci")], "n")
+        "model", "stratum", *[r6(c, 4).alias(c) for c in ("beta", "se", "lci", "uci")], "n")
 
 
 MODEL_QUERIES = {
@@ -209,7 +209,7 @@ def trend_smoother(spark: SparkSession, sf: str) -> DataFrame:
     p = p.withColumns(natural_spline_basis("idx", knots))
     m = MixedModel(p, ModelSpec("value_mean", numeric=["ns1", "ns2", "ns3"], strata=["event_type"]), "smoother")
     s = score(p, m, fitted="trend", resid=None)
-    return s.select("event_type", "ts", r6("value_mean").alias("value_mean"), r6("trend").alias("trend"))
+    return s.select("event_type", "ts", r6("value_mean").alias("value_mean"), r6("trend", 4).alias("trend"))
 
 
 MODEL_QUERIES["trend_smoother"] = trend_smoother
