@@ -21,7 +21,7 @@ from kairos.operators import series as S
 from kairos.plans.standins import (
     EVENTS_CUT, LINEITEM_CUT, events_hourly, events_panel, indexed_panel, lineitem_its, r6,
 )
-from kairos.sources.landing import request_manifest
+from kairos.sources.landing import flatten_response, request_manifest
 from kairos.sources.tables import load_table
 
 def panel_complete(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,10 +68,16 @@ def request_manifest_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def json_flatten(spark: SparkSession, sf: str) -> DataFrame:
-    """S3: typed field out of the JSON payload of every event."""
-    ev = load_table(spark, sf, "events", ["event_id", "event_type", "props"])
-    parsed = ev.withColumn("p", F.from_json("props", "k INT"))
-    return parsed.select("event_id", "event_type", F.col("p.k").cast("bigint").alias("k"))
+    """S3: one JSON response per (event type, hour), a one-row header and an array of data
+    rows, parsed and flattened with the header recycled onto every row."""
+    ev = load_table(spark, sf, "events", ["event_id", "event_type", "ts", "props"])
+    data = F.collect_list(F.struct("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")))
+    sent = (ev.groupBy("event_type", P.hour_floor("ts").alias("hour"))
+            .agg(F.to_json(F.struct(F.array(F.struct(F.col("event_type").alias("status"), F.count(F.lit(1)).alias("rows")))
+                                    .alias("Header"), data.alias("Data"))).alias("body")))
+    schema = "Header array<struct<status: string, rows: long>>, Data array<struct<event_id: long, k: long>>"
+    flat = flatten_response(sent.select(F.from_json("body", schema).alias("r")).select("r.*"))
+    return flat.select("event_id", F.col("header_status").alias("event_type"), F.col("header_rows").alias("n_rows"), "k")
 
 
 def priority_dedup(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from kairos.plans.oracle import EV_CUT, EV_PANEL, LI_CUT, LI_Y, SEASON, SQL as BASE_SQL, WEEKEND, K
+from kairos.plans.oracle import EV_CUT, EV_PANEL, K, LI_CUT, LI_Y, SEASON, SQL as BASE_SQL, WEEKEND, norm_quantile_sql
 
 POINTS = 160
 
@@ -251,3 +251,33 @@ dl AS (SELECT event_type, r, CAST(1 AS BIGINT) AS k, [r[2]] AS phi, 1.0 - r[2] *
        FROM (SELECT *, (r[k + 2] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j]))) / v AS g
              FROM dl WHERE k < 30))
 SELECT event_type, k AS lag, {r('phi[k]')} AS pacf FROM dl""".replace("{acf}", _ACF)
+
+# Residuals of the main model on the hourly panel.
+_RES = _MAIN + f"""rm AS (SELECT 'all' AS s, event_type AS e, {_POST.format(EV_CUT)} AS _post, {_T} AS t, k_mean AS k, value_mean AS y
+  FROM panel WHERE value_mean IS NOT NULL AND k_mean IS NOT NULL),
+""" + random_intercept("f", "rm", ["_post", "t", "k"], scaled=False) + ",\n" + _scored("z", "f", "rm", ["_post", "t", "k"])
+SQL["residual_box"] = _RES + f""",
+q AS (SELECT e, quantile_cont(res, 0.25) AS q1, quantile_cont(res, 0.5) AS md, quantile_cont(res, 0.75) AS q3 FROM z GROUP BY 1),
+l AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+SELECT l.e AS event_type, {r('q1')} AS q1, {r('md')} AS median, {r('q3')} AS q3, {r('lo')} AS lower_fence, {r('hi')} AS upper_fence,
+       CAST(count(*) FILTER (WHERE res < lo OR res > hi) AS BIGINT) AS n_out, CAST(count(*) AS BIGINT) AS n
+FROM z JOIN l ON z.e = l.e GROUP BY l.e, q1, md, q3, lo, hi"""
+SQL["residual_zone"] = _RES + f""",
+sc AS (SELECT avg(res) AS m1, stddev_samp(res) AS s1, avg(xb + b) AS m2, stddev_samp(xb + b) AS s2 FROM z),
+zs AS (SELECT z.e, z.res, (z.res - m1) / s1 AS u, (z.xb + z.b - m2) / s2 AS w FROM z CROSS JOIN sc)
+SELECT e AS event_type, count(*) AS n, {r('avg(res)')} AS mean_resid FROM zs WHERE u < 2 AND w < 2 AND u <= -0.12 * w + 0.8 GROUP BY 1"""
+SQL["residual_acf"] = _RES + f""",
+ms AS (SELECT e, avg(res) AS mu FROM z GROUP BY 1),
+cx AS (SELECT z.e, CAST(z.t AS BIGINT) AS i, z.res - ms.mu AS c FROM z JOIN ms ON z.e = ms.e),
+lg AS (SELECT unnest(range(31)) AS lag),
+sm AS (SELECT a.e, g.lag, sum(a.c * d.c) AS sp, count(*) AS nu FROM cx a CROSS JOIN lg g JOIN cx d ON d.e = a.e AND d.i = a.i + g.lag GROUP BY 1, 2),
+gm AS (SELECT *, sp / (nu + lag) AS g FROM sm)
+SELECT gm.e AS event_type, CAST(gm.lag AS BIGINT) AS lag, {r('gm.g / g0.g')} AS acf, CAST(gm.nu AS BIGINT) AS n_pairs
+FROM gm JOIN (SELECT e, g FROM gm WHERE lag = 0) g0 ON gm.e = g0.e"""
+SQL["residual_qq"] = _RES + f""",
+n AS (SELECT count(*) AS n, quantile_cont(res, 0.25) AS q1, quantile_cont(res, 0.75) AS q3 FROM z),
+k AS (SELECT res, row_number() OVER (ORDER BY res) AS rk FROM z),
+p AS (SELECT k.res, k.rk, (CAST(k.rk AS DOUBLE) - 0.5) / CAST(n.n AS DOUBLE) AS pp,
+             (n.q3 - n.q1) / CAST(1.3489795003921634 AS DOUBLE) AS slope, n.q1 FROM k CROSS JOIN n)
+SELECT CAST(rk AS BIGINT) AS rank, {r('res')} AS sample, {r(norm_quantile_sql('pp'), 6)} AS theoretical, {r('slope')} AS line_slope,
+       {r('q1 - slope * CAST(-0.6744897501960817 AS DOUBLE)')} AS line_intercept FROM p"""

@@ -98,7 +98,8 @@ SELECT site_id, s_name, CAST(pull_year AS BIGINT) AS pull_year, split_part(site_
 FROM x"""
 
 SQL["json_flatten"] = """
-SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"""
+SELECT event_id, event_type, CAST(count(*) OVER (PARTITION BY event_type, date_trunc('hour', ts)) AS BIGINT) AS n_rows,
+       CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"""
 
 _HOURLY = """h AS (SELECT event_type, date_trunc('hour', ts) AS ts, avg(value) AS value_mean FROM events GROUP BY 1, 2),
 v AS (SELECT ts, 'view' AS source, value_mean FROM h WHERE event_type = 'view'),

@@ -20,6 +20,7 @@ from kairos.operators import describe as D
 from kairos.operators import features as FE
 from kairos.operators import filters as FL
 from kairos.operators import panel as P
+from kairos.operators import series as S
 from kairos.operators.gram import ModelSpec
 from kairos.operators.mixed import MixedModel
 from kairos.operators.report import effect_table, het_test, score
@@ -141,6 +142,43 @@ def slope_effects(spark: SparkSession, sf: str) -> DataFrame:
     return fixed.unionByName(each)
 
 
+def _residuals(spark: SparkSession, sf: str) -> DataFrame:
+    """Main model of the hourly panel with fitted values, residuals and the scaled residual."""
+    rows = FL.complete_cases(study_frame(spark, sf), ["event_type", "value_mean", "k_mean"],
+                             keep=["event_type", "idx", "value_mean", "k_mean", "post", "t"])
+    fitted = score(rows, MixedModel(rows, _spec(["t", "k_mean"]), "main"))
+    return FE.zscore_global(fitted, ["resid"])
+
+
+def residual_box(spark: SparkSession, sf: str) -> DataFrame:
+    """G17 on model residuals: box statistics by entity."""
+    b = D.box_stats(_residuals(spark, sf), ["event_type"], "resid")
+    return b.select("event_type", *[r6(c, 4).alias(c) for c in ("q1", "median", "q3", "lower_fence", "upper_fence")],
+                    F.col("n_out").cast("bigint").alias("n_out"), F.col("n").cast("bigint").alias("n"))
+
+
+def residual_zone(spark: SparkSession, sf: str) -> DataFrame:
+    """P12 on model residuals: rows of each entity on or below the zone line."""
+    rows = _residuals(spark, sf)
+    z = FL.zone_filter(FE.zscore_global(rows, ["fitted"]), "resid_scale", "fitted_scale")
+    return z.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("resid"), 4).alias("mean_resid"))
+
+
+def residual_acf(spark: SparkSession, sf: str) -> DataFrame:
+    """W8/W9 on model residuals: autocorrelation of each entity's residual series, lags 0 to 30."""
+    a = S.acf(_residuals(spark, sf), "idx", "resid", series=["event_type"], max_lag=30, block=512)
+    return a.select("event_type", F.col("lag").cast("bigint").alias("lag"), r6("acf", 4).alias("acf"),
+                    F.col("n_pairs").cast("bigint").alias("n_pairs"))
+
+
+def residual_qq(spark: SparkSession, sf: str) -> DataFrame:
+    """G18 on model residuals: normal QQ points with the quartile line."""
+    q = S.qq_points(_residuals(spark, sf), "resid")
+    return q.select(F.col("rank").cast("bigint").alias("rank"), r6("resid", 4).alias("sample"),
+                    r6("theoretical").alias("theoretical"), r6("line_slope", 4).alias("line_slope"),
+                    r6("line_intercept", 4).alias("line_intercept"))
+
+
 SENSITIVITY_QUERIES = {f.__name__: f for f in (
     pm_adjusted, same_rows_unadjusted, imputed_refit, moved_cut, entity_subset, spline_mixed, roadside_effects,
-    het_pairs, slope_effects)}
+    het_pairs, slope_effects, residual_box, residual_zone, residual_acf, residual_qq)}

@@ -58,11 +58,12 @@ def flatten_response(df: DataFrame, header_col: str = "Header", data_col: str =
     """S3: recycle the one-row header onto every data row (``unnest(c(Header, Data))``).
 
     Header fields get a ``header_`` prefix so they never clash with data fields
-    (the reference auto-suffixes clashes; we rename explicitly).
+    (the reference auto-suffixes clashes; we rename explicitly).  A response without
+    a header row gives null header fields, one without data gives no rows.
     """
     hdr_fields = df.schema[header_col].dataType.elementType.fieldNames()
     hdr = [F.col("_h")[f].alias(f"header_{f}") for f in hdr_fields]
-    return (df.select(*keep, F.col(header_col)[0].alias("_h"), F.col(data_col))
+    return (df.select(*keep, F.get(header_col, F.lit(0)).alias("_h"), F.col(data_col))
               .select(*keep, *hdr, F.inline(F.col(data_col))))
 
 
