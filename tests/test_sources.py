@@ -34,7 +34,7 @@ def test_responses_with_manifest(spark, tmp_path):
         body = {"Header": [{"status": "Success"}], "Data": [{"v": float(len(site))}]}
         (tmp_path / f"{site}.json").write_text(json.dumps(body))
     schema = T.StructType.fromDDL("Header array<struct<status: string>>, Data array<struct<v: double>>")
-    manifest = spark.createDataFrame([(f"file://{tmp_path}/{s}.json", s, 2018) for s in ("a", "b")], "source_file string, site string, pull_year int")
+    manifest = spark.createDataFrame([(f"file:{tmp_path}/{s}.json", s, 2018) for s in ("a", "b")], "source_file string, site string, pull_year int")
     got = read_responses(spark, str(tmp_path), schema, manifest).collect()
     assert sorted((r.site or "") for r in got) == ["", "a", "b"] and all(r.header_status == "Success" for r in got)
 
