@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kairos.operators.panel import left_join, pivot_longer
+from kairos.operators.panel import join_groups, left_join, pivot_longer
 from kairos.operators.quantiles import exact_quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -193,7 +193,7 @@ def box_stats(df: DataFrame, by: Sequence[str], col: str, approx: bool = False)
          .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     x = F.col(col)
     inside = (x >= F.col("lower_fence")) & (x <= F.col("upper_fence"))
-    return (df.where(x.isNotNull()).join(q, list(by), "inner")
+    return (join_groups(df.where(x.isNotNull()), q, by)
               .groupBy(*by, "q1", "median", "q3", "lower_fence", "upper_fence")
               .agg(F.min(F.when(inside, x)).alias("whisker_lo"), F.max(F.when(inside, x)).alias("whisker_hi"),
                    F.count_if(~inside).alias("n_out"), F.count(F.lit(1)).alias("n")))

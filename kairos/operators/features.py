@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kairos.operators.panel import left_join
+from kairos.operators.panel import join_groups, left_join
 from kairos.functions.calendar import REFERENCE_WEEKEND_DAYS, calendar_columns, intervention_flag
 
 
@@ -73,7 +73,7 @@ def zscore_by(df: DataFrame, col: str, by: Sequence[str], out: str | None = None
     """Z-score within groups; group moments by partial aggregation, joined back."""
     out = out or f"{col}_scale"
     mom = df.groupBy(*by).agg(F.avg(col).alias("_m"), F.stddev_samp(col).alias("_s"))
-    return (df.join(mom, list(by), "left")
+    return (join_groups(df, mom, by)
               .withColumn(out, (F.col(col) - F.col("_m")) / F.col("_s"))
               .drop("_m", "_s"))
 

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from kairos.session import materialize
 
 INTERCEPT = "(Intercept)"
+#: Bytes of per-entity matrices that a task holds before it hands them on.
+HELD_BYTES = 64 << 20
 
 
 @dataclass
@@ -131,11 +133,21 @@ def gram_table(df: DataFrame, design: Design, checkpoint: bool = True) -> DataFr
     iu = np.triu_indices(m)
     n_flag_num = len(num)
 
+    def sums(acc: dict) -> pd.DataFrame:
+        tri = len(iu[0])
+        return pd.DataFrame({"_stratum": [s for s, _ in acc for _ in range(tri)],
+                             "_entity": [e for _, e in acc for _ in range(tri)],
+                             "k": np.tile(np.arange(tri, dtype=np.int32), len(acc)),
+                             "v": np.concatenate([G[iu] for G in acc.values()])})
+
     def partial(batches):
         acc: dict = {}
         for pdf in batches:
             if pdf.empty:
                 continue
+            if len(acc) * m * m * 8 > HELD_BYTES:      # partial sums add up: hand them on and start anew
+                yield sums(acc)
+                acc = {}
             for (sk, ek), sub in pdf.groupby(["_stratum", "_entity"], sort=False):
                 n = len(sub)
                 A = np.zeros((n, m))
@@ -157,15 +169,7 @@ def gram_table(df: DataFrame, design: Design, checkpoint: bool = True) -> DataFr
                 else:
                     acc[key] = G
         if acc:
-            rows_s, rows_e, rows_k, rows_v = [], [], [], []
-            tri = len(iu[0])
-            for (sk, ek), G in acc.items():
-                rows_s += [sk] * tri
-                rows_e += [ek] * tri
-                rows_k.append(np.arange(tri, dtype=np.int32))
-                rows_v.append(G[iu])
-            yield pd.DataFrame({"_stratum": rows_s, "_entity": rows_e, "k": np.concatenate(rows_k),
-                                "v": np.concatenate(rows_v)})
+            yield sums(acc)
 
     schema = "_stratum string, _entity string, k int, v double"
     long = mf.mapInPandas(partial, schema).groupBy("_stratum", "_entity", "k").agg(F.sum("v").alias("v"))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kairos.operators.panel import join_groups
 from kairos.operators.gram import INTERCEPT, Design, ModelSpec, gram_table, resolve_design, stratum_totals, unpack
 
 LOG2PI = math.log(2 * math.pi)
@@ -455,7 +456,7 @@ def predictor(model: MixedModel, overrides: dict | None = None):
             re = (model.ranef.groupBy("stratum", "entity").pivot("term", design.terms[:model.q]).agg(F.first("blup")))
             re = re.select(F.col("stratum").alias("_stratum"), F.col("entity").alias("_entity"),
                            *[F.col(f"`{t}`").alias(f"_b{i}") for i, t in enumerate(design.terms[:model.q])])
-            d = d.withColumn("_entity", F.col(spec.group).cast("string")).join(re, ["_stratum", "_entity"], "left")
+            d = join_groups(d.withColumn("_entity", F.col(spec.group).cast("string")), re, ["_stratum", "_entity"])
             rand = F.coalesce(F.col("_b0"), F.lit(0.0))
             for i, t in enumerate(spec.slopes, start=1):
                 x = F.lit(float(overrides[t])) if t in overrides else F.col(t).cast("double")

@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kairos.session import materialize
+
+#: A per-group table of at most so many rows (some tens of MB) is broadcast.
+BROADCAST_GROUPS = 100_000
+
 
 def hour_floor(ts: str | Column) -> Column:
     """Truncate to the hour, staying TIMESTAMP_NTZ (``date_trunc`` returns TIMESTAMP)."""
@@ -71,6 +76,16 @@ def left_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]] |
     return left.join(r, cond, "left").drop(*[f"_r_{rk}" for _, rk in pairs])
 
 
+def join_groups(df: DataFrame, groups: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows joined to a per-group table (one row per key), null keys included.
+
+    The table is written once and counted: up to BROADCAST_GROUPS rows it is
+    broadcast, so raw rows of a hot group never move; a longer one is joined by
+    shuffle, where AQE splits hot keys."""
+    small = materialize(groups)
+    return left_join(df, F.broadcast(small) if small.count() <= BROADCAST_GROUPS else small, list(on), null_safe=True)
+
+
 def priority_union(primary: DataFrame, fallback: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All primary rows plus fallback rows whose key the primary lacks.
 

@@ -1,8 +1,8 @@
-"""Ordered and series operators.
+"""Ordered and series operators.
 
 Nothing here sorts a whole series in one task: rolling means run on already
 aggregated daily tables, the ACF works on fixed-size index blocks with a
-halo of ``max_lag`` rows, and global ranks use range buckets plus offsets.
+halo of ``max_lag`` rows, and global ranks use range partitions plus offsets.
 """
 
 from __future__ import annotations
@@ -15,22 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kairos.operators.describe import strict_avg
+from kairos.operators.panel import join_groups
 from kairos.operators.quantiles import global_quantiles
-
-
-def group_mean_on_rows(df: DataFrame, by: Sequence[str], col: str, out: str, strict: bool = True) -> DataFrame:
-    """The group mean repeated on every row (daily mean per entity).
-
-    Groups are (entity, day): bounded, so a window is cheap here; ``strict``
-    follows N1 (any null in the group → null).
-    """
-    w = Window.partitionBy(*by)
-    x = F.col(col)
-    m = F.avg(x).over(w)
-    if strict:
-        m = F.when(F.count_if(x.isNull() | F.isnan(x)).over(w) > 0, F.lit(None).cast("double")).otherwise(m)
-    return df.withColumn(out, m)
+from kairos.session import materialize
 
 
 def rolling_mean(df: DataFrame, by: Sequence[str], order_col: str, col: str, k: int = 14, out: str | None = None,
@@ -76,15 +63,15 @@ def acf(df: DataFrame, idx_col: str, value_col: str, series: Sequence[str] = (),
     valid = df.where(x.isNotNull() & ~F.isnan(x))
     if keys:
         means = valid.groupBy(*keys).agg(F.avg(value_col).alias("_mu"))
-        centred = valid.join(means, keys, "inner").withColumn("_c", x - F.col("_mu"))
+        centred = join_groups(valid, means, keys).withColumn("_c", x - F.col("_mu"))
     else:
         mu = valid.agg(F.avg(value_col)).first()[0]
         centred = valid.withColumn("_c", x - F.lit(mu))
     pos = F.col(idx_col).cast("bigint")
-    core = centred.select(*keys, pos.alias("_p"), "_c", F.expr(f"(`{idx_col}` - pmod(`{idx_col}`, {block})) div {block}")
-                          .alias("_b"))
-    halo = core.where(F.pmod("_p", F.lit(block)) < max_lag).withColumn("_b", F.col("_b") - 1)
-    parts = core.unionByName(halo)
+    own = F.expr(f"(`{idx_col}` - pmod(`{idx_col}`, {block})) div {block}")
+    # the first rows of a block also go to the block before, in the same pass
+    blocks = F.when(F.pmod(pos, F.lit(block)) < max_lag, F.array(own, own - 1)).otherwise(F.array(own))
+    parts = centred.select(*keys, pos.alias("_p"), "_c", F.explode(blocks).alias("_b"))
 
     def block_sums(key, pdf):
         b = int(key[-1])
@@ -150,24 +137,19 @@ def pacf(acf_table: DataFrame, series: Sequence[str] = ()) -> DataFrame:
         lambda k, p: dl((), p), schema)
 
 
-def global_rank(df: DataFrame, col: str, out: str = "rank", buckets: int = 64) -> DataFrame:
+def global_rank(df: DataFrame, col: str, out: str = "rank", buckets: int | None = None) -> DataFrame:
     """1-based position of each row in ascending ``col`` order, without a
-    single-partition window: range buckets from approximate quantiles, exact
-    per-bucket counts turned into offsets, and a window per bucket only."""
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(col, probs, 10000).alias("q")).first()["q"] or []
-    cuts = sorted(set(float(c) for c in cuts))
-    x = F.col(col)
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + F.when(x > F.lit(c), 1).otherwise(0)
-    tagged = df.withColumn("_bk", bucket.cast("int"))
-    counts = tagged.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
-    off = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return (tagged.join(off, "_bk", "left")
-                  .withColumn(out, (F.row_number().over(Window.partitionBy("_bk").orderBy(col)) + F.col("_off")).cast("bigint"))
-                  .drop("_bk", "_off"))
+    single-partition window: rows are range-partitioned (ties split by arrival), written
+    once and numbered inside their partition, after the rows of the partitions before.  ``buckets``: partitions, by
+    default the session's shuffle width."""
+    width = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = df.withColumn("_tie", F.monotonically_increasing_id())
+    placed = materialize(tagged.repartitionByRange(width, col, "_tie").withColumn("_p", F.spark_partition_id()))
+    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(F.col("_p"), (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_off"))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(col, "_tie"))
+    return (placed.withColumn("_rn", inside).join(before, "_p")
+                  .withColumn(out, (F.col("_rn") + F.col("_off")).cast("bigint")).drop("_p", "_off", "_rn", "_tie"))
 
 
 # Coefficients of Acklam's rational approximation to the

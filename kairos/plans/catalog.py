@@ -22,6 +22,7 @@ from kairos.plans.standins import (
     EVENTS_CUT, LINEITEM_CUT, events_hourly, events_panel, indexed_panel, lineitem_its, r6,
 )
 from kairos.sources.landing import flatten_response, request_manifest
+from kairos.session import materialize
 from kairos.sources.tables import load_table
 
 def panel_complete(spark: SparkSession, sf: str) -> DataFrame:
@@ -260,7 +261,7 @@ def rolling_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 def acf_q(spark: SparkSession, sf: str) -> DataFrame:
     """Autocorrelation of each entity's hourly series, lags 0..100, gaps as NA."""
-    p = indexed_panel(spark, sf)
+    p = materialize(indexed_panel(spark, sf).select("event_type", "idx", "value_mean"))
     a = S.acf(p, "idx", "value_mean", series=["event_type"], max_lag=100, block=512)
     return a.select("event_type", F.col("lag").cast("bigint").alias("lag"), r6("acf").alias("acf"),
                     F.col("n_pairs").cast("bigint").alias("n_pairs"))
@@ -268,7 +269,7 @@ def acf_q(spark: SparkSession, sf: str) -> DataFrame:
 
 def pacf_q(spark: SparkSession, sf: str) -> DataFrame:
     """Partial autocorrelation from the ACF table (Durbin–Levinson)."""
-    p = indexed_panel(spark, sf)
+    p = materialize(indexed_panel(spark, sf).select("event_type", "idx", "value_mean"))
     a = S.acf(p, "idx", "value_mean", series=["event_type"], max_lag=30, block=512)
     return S.pacf(a, ["event_type"]).select("event_type", F.col("lag").cast("bigint").alias("lag"),
                                               r6("pacf", 4).alias("pacf"))
