@@ -136,14 +136,17 @@ class MixedModel:
                                "strict=False returns the fit with converged = false")
 
     def profile_at(self, params: list[np.ndarray]) -> list[dict]:
-        """Fixed-parameter profiles (one distributed pass per parameter vector)."""
+        """Fixed-parameter profiles, all parameter vectors in one distributed pass."""
+        tri = self.m * (self.m + 1) // 2
+        vecs: dict = {}
+        for r in self._summed({s: list(params) for s in self.totals}).collect():
+            vecs.setdefault((r["cand"], r["_stratum"]), np.zeros(tri + 1))[r["k"]] = r["v"]
         out = []
-        for prm in params:
-            final = self._final({s: prm for s in self.totals})
-            for s, (C, ld) in final.items():
-                G = self.totals[s]
-                res = self._raw_loglik(profile(G - C, G[0, 0], ld, self.keep[s], self.spec.method), s)
-                out.append({"stratum": s, "params": prm, **res})
+        for (c, s), v in sorted(vecs.items()):
+            G = self.totals[s]
+            res = self._raw_loglik(profile(G - unpack(v[:tri], self.m), G[0, 0], v[tri], self.keep[s],
+                                           self.spec.method), s)
+            out.append({"stratum": s, "params": params[c], **res})
         return out
 
     def _raw_loglik(self, res: dict, stratum: str) -> dict:
@@ -155,7 +158,8 @@ class MixedModel:
         return res
 
     # ---- distributed candidate evaluation ---------------------------------
-    def _evaluate(self, cands: dict[str, list[np.ndarray]]) -> dict[str, list[float]]:
+    def _summed(self, cands: dict[str, list[np.ndarray]]) -> DataFrame:
+        """(_stratum, cand, k, v): Σ corrections (k < m(m+1)/2) and Σ log|K| of every candidate."""
         q, m = self.q, self.m
         tri = m * (m + 1) // 2
         iu = np.triu_indices(m)
@@ -202,9 +206,12 @@ class MixedModel:
                                                "v": vec.ravel()}))
                 yield pd.concat(parts, ignore_index=True)
 
-        summed = (self.gram.select("_stratum", "g")
-                  .mapInPandas(partial, "_stratum string, cand int, k int, v double")
-                  .groupBy("_stratum", "cand", "k").agg(F.sum("v").alias("v")))
+        return (self.gram.select("_stratum", "g")
+                .mapInPandas(partial, "_stratum string, cand int, k int, v double")
+                .groupBy("_stratum", "cand", "k").agg(F.sum("v").alias("v")))
+
+    def _evaluate(self, cands: dict[str, list[np.ndarray]]) -> dict[str, list[float]]:
+        m, tri = self.m, self.m * (self.m + 1) // 2
         totals, keep, method = self.totals, self.keep, self.spec.method
         shift = {s: self._raw_loglik({"loglik": 0.0}, s)["loglik"] for s in self.totals}
 
@@ -224,7 +231,7 @@ class MixedModel:
                 lls.append(float(ll) + shift[s])
             return pd.DataFrame({"_stratum": s, "cand": np.arange(K, dtype=np.int32), "loglik": lls})
 
-        rows = summed.groupBy("_stratum").applyInPandas(crit, "_stratum string, cand int, loglik double").collect()
+        rows = self._summed(cands).groupBy("_stratum").applyInPandas(crit, "_stratum string, cand int, loglik double").collect()
         out = {s: [-np.inf] * len(cs) for s, cs in cands.items()}
         for r in rows:
             v = r["loglik"]

@@ -88,7 +88,15 @@ def its_series(df: DataFrame, model: MixedModel, flag: str, index_col: str, date
     from a separately joined lookup, so no fan-out, Q6)."""
     d = df.withColumn("_date", F.col(date_col).cast("date") if isinstance(date_col, str) else date_col.cast("date"))
     act = score(d, model, fitted="pred_actual", resid=None)
-    both = score(act, model, overrides={flag: 0.0}, fitted="pred_counterf", resid=None)
+    if flag in model.spec.slopes:
+        both = score(act, model, overrides={flag: 0.0}, fitted="pred_counterf", resid=None)
+    else:       # a fixed term only: the same prediction without it, no second scoring
+        spec = model.spec
+        stratum = F.concat_ws("|", *[F.col(s).cast("string") for s in spec.strata]) if spec.strata else F.lit("all")
+        beta = F.create_map(*[x for s, c in model.coefficients().items()
+                              for x in (F.lit(s), F.lit(c.get(flag, (0.0, 0.0))[0]))])
+        both = act.withColumn("pred_counterf", F.col("pred_actual")
+                              - F.element_at(beta, stratum) * F.col(flag).cast("double"))
     per_idx = both.groupBy(index_col).agg(F.avg("pred_actual").alias("pred_actual"),
                                           F.avg("pred_counterf").alias("pred_counterf"),
                                           F.min("_date").alias("date"))
