@@ -268,3 +268,22 @@ def test_null_rows_everywhere(make):
     assert sharding.place(d).select("shard").distinct().count() <= 2
     assert lines.dedup_lines(d).count() == 5
     assert lm.score(d, lm.train(d)).where("n_tokens = 1").count() == 3
+
+
+def test_crowded_bands_lose_no_link(spark):
+    """More look-alike lines than a block holds, on both sides of the threshold, in several tasks."""
+    rnd = random.Random(13)
+    vocab = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 9))) for _ in range(60)]
+    base = [rnd.choice(vocab) for _ in range(40)]
+    rows = []
+    for i in range(330):
+        w = list(base)
+        for _ in range(rnd.choice([0, 1, 2, 4, 6, 8])):
+            w[rnd.randrange(len(w))] = rnd.choice(vocab)
+        rows.append((i, " ".join(w)))
+    rows.append((400, " ".join(base * 200)))         # a long line of the same few shingles
+    got = {(r.id, r.line_no): (r.keep_id, r.keep_line)
+           for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = brute.line_components(rows, lines.normal, lines.shingles)
+    assert lines.BLOCK < 330 and len(set(want.values())) > 10
+    assert got == want
