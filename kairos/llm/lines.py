@@ -4,11 +4,11 @@ Lines are compared by their sets of character shingles.  A line's signature is
 MinHash over bins of one hash (one permutation, empty bins borrow from filled
 ones); lines with few shingles get a signature of separate permutations, and lines
 in between get both, so that similar lines always share a kind.  Signatures are cut
-into bands; lines that meet in a band are linked after an exact Jaccard test.  In
-each band all lines are tested against the smallest one first; pairs in
-bands whose lines still lie in different components afterwards are tested one by one, so
-a band of thousands of copies costs its size, and no link between components is
-lost.  Copies of one line are one node from the start.
+into bands.  All lines that meet in a band are compared exactly, inside tasks: a
+band is cut into blocks, each pair of blocks is one bounded group, its intersections
+are one matrix product, and only a spanning forest of its links leaves the task.  So
+no pair is ever a row, and no link between two lines of a band is lost.  Bands that hold
+the same lines are compared once; copies of one line are one node from the start.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ BINS = BANDS * ROWS
 DENSE, SPARSE = 36, 44
 #: Band entries per task (16 bytes each), and keys that may be broadcast to fetch candidate lines (8 bytes each).
 PER_TASK, BROADCAST_KEYS = 2_000_000, 4_000_000
+#: Lines per block; a group is two blocks at most.  Shingle columns per matrix product.
+BLOCK, COLUMNS = 128, 4096
 
 _RNG = np.random.default_rng(20240101)
 _A = (_RNG.integers(1, 2 ** 32, BINS, np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -64,8 +66,8 @@ def _bands(sig: np.ndarray, kind: int) -> np.ndarray:
     return mix(h)
 
 
-def _band_entries(lines: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(band hash, key) entries of a list of distinct normal lines."""
+def _hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all character shingles of the lines, and the line of each, in line order."""
     codes = [np.frombuffer(x.decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for x in lines]
     codes = [c if len(c) >= SHINGLE else np.concatenate([c, np.zeros(SHINGLE - len(c), np.uint32)]) for c in codes]
     size = np.array([len(c) for c in codes], np.int64)
@@ -74,10 +76,15 @@ def _band_entries(lines: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.
     h = np.zeros(len(cat) - SHINGLE + 1, np.uint64)
     for i, p in enumerate(_POWERS):
         h += cat[i:len(cat) - SHINGLE + 1 + i] * p
-    h = mix(h)
     owner = np.repeat(np.arange(len(lines)), size)[:len(h)]
     inside = np.arange(len(h)) + SHINGLE <= end[owner]
-    h, owner = (h[inside] >> np.uint64(32)).astype(np.uint32), owner[inside]
+    return mix(h[inside]), owner[inside]
+
+
+def _band_entries(lines: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(band hash, key) entries of a list of distinct normal lines."""
+    h, owner = _hashes(lines)
+    h = (h >> np.uint64(32)).astype(np.uint32)
     sig = np.full(len(lines) * BINS, 0xFFFFFFFF, np.uint32)
     np.minimum.at(sig, owner * BINS + h % np.uint32(BINS), h // np.uint32(BINS))
     sig = sig.reshape(-1, BINS)
@@ -143,7 +150,7 @@ def _signatures(buckets: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, hub, key, met): each further line of a band that two or more share; hub is its smallest line."""
+    """(band, key): the lines of each band that two or more lines share."""
     bands, owners = [], []
     for b in batches:
         bands += [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
@@ -161,13 +168,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if len(band):
         new = np.r_[True, (band[1:] != band[:-1]) | (owner[1:] != owner[:-1])]
         band, owner = band[new], owner[new]
-    start = np.flatnonzero(np.r_[True, band[1:] != band[:-1]]) if len(band) else np.empty(0, np.int64)
-    n = np.diff(np.append(start, len(band)))
-    hub = np.repeat(owner[start], n)
-    other = hub != owner
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(band[other].view(np.int64)), pa.array(hub[other]), pa.array(owner[other]),
-         pa.array(np.repeat(n, n)[other])], names=["band", "hub", "key", "met"])
+        start = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+        n = np.diff(np.append(start, len(band)))
+        many = np.repeat(n > 1, n)          # copies of one line are no company
+        band, owner = band[many], owner[many]
+    yield pa.RecordBatch.from_arrays([pa.array(band.view(np.int64)), pa.array(owner)], names=["band", "key"])
 
 
 def _fetch(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -198,24 +203,65 @@ def _fetch(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(F.min("line").alias("line"))
 
 
-def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ok, known = [], {}
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            if len(known) > 500:
-                known.clear()
-            p = known[x] if x in known else known.setdefault(x, shingles(x))
-            q = known[y] if y in known else known.setdefault(y, shingles(y))
-            both = len(p & q)
-            ok.append(both >= JACCARD * (len(p) + len(q) - both) - 1e-9)
-        yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
+def _forest(keys: list[int], lines: list[bytes], side: np.ndarray) -> list[tuple[int, int]]:
+    """Links that span the similar lines of one group; of two blocks, only pairs across them are compared."""
+    n = len(keys)
+    h, owner = _hashes(lines)
+    order = np.lexsort((owner, h))
+    h, owner = h[order], owner[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]
+    h, owner = h[new], owner[new]
+    size = np.bincount(owner, minlength=n)
+    fresh = np.r_[True, h[1:] != h[:-1]]
+    alone = fresh & np.r_[fresh[1:], True]              # shingles of one line don't meet
+    h, owner = h[~alone], owner[~alone]
+    both = np.zeros((n, n), np.float32)
+    col = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1 if len(h) else np.empty(0, np.int64)
+    for first in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        a, b = np.searchsorted(col, [first, first + COLUMNS])
+        m = np.zeros((n, COLUMNS), np.float32)
+        m[owner[a:b], col[a:b] - first] = 1.0
+        both += m @ m.T
+    near = both >= JACCARD * (size[:, None] + size[None, :] - both) - 1e-6
+    near &= np.triu(np.ones((n, n), bool), 1)
+    if side.any() and not side.all():
+        near &= side[:, None] != side[None, :]
+    parent = list(range(n))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+        r, q = find(i), find(j)
+        if r != q:
+            parent[q] = r
+            out.append((keys[i], keys[j]))
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each group (band, i, j); rows of a group follow one another."""
+    group, keys, lines, side = None, [], [], []
+
+    def done() -> list[tuple[int, int]]:
+        return _forest(keys, lines, np.array(side, bool)) if len(keys) > 1 else []
 
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    a = lines.select(F.col("key").alias("u"), F.col("line").alias("x"))
-    b = lines.select(F.col("key").alias("v"), F.col("line").alias("y"))
-    return (pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y")
-            .mapInArrow(_jaccard, "u long, v long"))
+    for b in batches:
+        out: list[tuple[int, int]] = []
+        for band, i, j, key, line, own in zip(*(c.to_pylist() for c in b.columns)):
+            if (band, i, j) != group:
+                out += done()
+                group, keys, lines, side = (band, i, j), [], [], []
+            keys.append(key)
+            lines.append(line)
+            side.append(own == j and i != j)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+    out = done()
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
 
 def similar_lines(docs: DataFrame) -> DataFrame:
@@ -224,25 +270,23 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length(docs.columns[0]))).first()[0] or 0
     buckets = partitions_for(spark, size / 250 * BANDS, PER_TASK)
     met = materialize(docs.mapInArrow(_signatures(buckets), "bucket int, band binary, owner binary")
-                      .repartition(buckets, "bucket").mapInArrow(_meet, "band long, hub long, key long, met long"))
-    stars = materialize(met.select(F.col("hub").alias("u"), F.col("key").alias("v")).distinct())
-    keys = stars.select(F.col("u").alias("key")).union(stars.select("v")).distinct()
-    lines = materialize(_fetch(docs, keys))
-    links = materialize(_verified(stars, lines))
-    comp = materialize(connected_components(links))
-    # bands whose lines are still apart: the pairs without the smallest line, across components
-    crowd = met.where("met > 2").select("band", "key").join(comp.withColumnRenamed("node", "key"), "key", "left")
-    crowd = crowd.select("band", "key", F.coalesce("component", "key").alias("c"))
-    apart = crowd.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    crowd = materialize(crowd.join(apart, "band"))
-    if crowd.isEmpty():
-        return comp
-    other = crowd.select("band", F.col("key").alias("v"), F.col("c").alias("d"))
-    rest = (crowd.withColumnRenamed("key", "u").join(other, "band").where("c < d")
-            .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-            .join(stars, ["u", "v"], "left_anti"))
-    more = materialize(_verified(rest, lines))
-    return materialize(connected_components(links.unionByName(more))) if not more.isEmpty() else comp
+                      .repartition(buckets, "bucket").mapInArrow(_meet, "band long, key long"))
+    lines = materialize(_fetch(docs, met.select("key").distinct()))
+    # one band for each set of lines
+    sets = met.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("a"),
+                                   F.bit_xor(F.xxhash64("key", F.lit(1))).alias("b"))
+    sets = sets.groupBy("n", "a", "b").agg(F.min("band").alias("band"))
+    member = met.join(sets.select("band", "n"), "band")
+    cut = F.ceil(F.col("n") / BLOCK).cast("int")
+    member = member.select("band", "key", cut.alias("cut"), F.pmod(F.xxhash64("key"), cut).cast("int").alias("own"))
+    member = member.join(lines, "key")
+    other = F.explode(F.sequence(F.lit(0), F.col("cut") - 1))
+    rows = member.select("band", "key", "line", "own", other.alias("o")).select(
+        "band", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "key", "line", "own")
+    tasks = partitions_for(spark, lines.count(), 5_000)
+    links = (rows.repartition(tasks, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+             .mapInArrow(_compare, "u long, v long"))
+    return materialize(connected_components(links))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
