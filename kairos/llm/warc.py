@@ -16,6 +16,7 @@ import base64
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -86,7 +87,7 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
 
 def _write(values: DataFrame, path: str, end: str) -> None:
     (values.select(F.col("value").cast("string")).write.option("lineSep", end).option("compression", "gzip")
-     .option("zlib.compress.level", "BEST_SPEED").text(path))
+     .text(path))
 
 
 def _pieces(spark: SparkSession, path: str, end: str) -> DataFrame:
@@ -152,8 +153,8 @@ def _number(head: bytes, name: bytes) -> int | None:
     return int(m[1]) if m else None
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """One row (RECORD) per ARC record under ``path``."""
+def read_arc(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """One row (RECORD) per ARC record under ``path``; payloads deflated if ``packed``, to be shuffled."""
     configure(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +164,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
             name, ordinal, version, f, body = got
             head, payload = _split_http(body)
             return (name or file, ordinal, version, f["URL"], f["IP-address"], f["Archive-date"], f["Content-type"],
-                    f.get("Result-code", "-"), head, payload, _number(head, b"X-Page-Id"), len(payload),
+                    f.get("Result-code", "-"), head, zlib.compress(payload) if packed else payload, _number(head, b"X-Page-Id"), len(payload),
                     sha1_base32(payload))
 
         schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "int": pa.int32(),
@@ -210,7 +211,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, revisit_from: in
     largest page id is the response (ties: the last by file name and position), the
     others are revisits of it.  Records without a page id come before all others.
     """
-    records = read_arc(spark, arc_path)
+    records = read_arc(spark, arc_path, packed=True)
     last = F.struct("page_id", "arc", "ordinal", "url", "date")
     best = (records.where(F.col("payload_bytes") >= revisit_from).groupBy("digest", "payload_bytes")
             .agg(F.max(last).alias("best")))
@@ -243,7 +244,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, revisit_from: in
                     ("WARC-Refers-To-Target-URI", r["to_url"] if again else None),
                     ("WARC-Refers-To-Date", iso_date(r["to_date"]) if again else None),
                     ("X-Page-Id", r["page_id"]), ("X-Refers-To-Page-Id", r["to_page"] if again else None)],
-                    r["head"] + (r["payload"] or b"")))
+                    r["head"] + (zlib.decompress(r["payload"]) if r["payload"] else b"")))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
             rows = []
         if rows:
