@@ -13,6 +13,7 @@ the same lines are compared once; copies of one line are one node from the start
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -176,7 +177,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, line): the normal line of each key in ``keys`` (distinct column key)."""
+    """(key, line): the normal line, deflated, of each key in ``keys`` (distinct column key)."""
     spark = docs.sparkSession
     n = keys.count()
     sent = None
@@ -195,7 +196,8 @@ def _fetch(docs: DataFrame, keys: DataFrame) -> DataFrame:
                 hit = want[at] == k if len(want) else np.zeros(len(k), bool)
                 lines = {int(x): lines[int(x)] for x in k[hit]}
             yield pa.RecordBatch.from_arrays([pa.array(list(lines), pa.int64()),
-                                              pa.array(list(lines.values()), pa.binary())], names=["key", "line"])
+                                              pa.array([zlib.compress(x) for x in lines.values()], pa.binary())],
+                                             names=["key", "line"])
 
     found = docs.mapInArrow(run, "key long, line binary")
     if sent is None:
@@ -207,7 +209,7 @@ def _forest(keys: list[int], lines: list[bytes], side: np.ndarray) -> list[tuple
     """Links that span the similar lines of one group; of two blocks, only pairs across them are compared."""
     n = len(keys)
     h, owner = _hashes(lines)
-    order = np.lexsort((owner, h))
+    order = np.argsort(h, kind="stable")                # owners stay in order within a shingle
     h, owner = h[order], owner[order]
     new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]
     h, owner = h[new], owner[new]
@@ -257,7 +259,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out += done()
                 group, keys, lines, side = (band, i, j), [], [], []
             keys.append(key)
-            lines.append(line)
+            lines.append(zlib.decompress(line))
             side.append(own == j and i != j)
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
     out = done()
