@@ -196,7 +196,7 @@ def _fetch(docs: DataFrame, keys: DataFrame) -> DataFrame:
                 hit = want[at] == k if len(want) else np.zeros(len(k), bool)
                 lines = {int(x): lines[int(x)] for x in k[hit]}
             yield pa.RecordBatch.from_arrays([pa.array(list(lines), pa.int64()),
-                                              pa.array([zlib.compress(x) for x in lines.values()], pa.binary())],
+                                              pa.array([zlib.compress(x, 1) for x in lines.values()], pa.binary())],
                                              names=["key", "line"])
 
     found = docs.mapInArrow(run, "key long, line binary")
