@@ -11,8 +11,9 @@ until one is absent, and smooths bigrams with Dirichlet weight toward words:
 Whatever the corpus, a broadcast is bounded: at most SLICE_BYTES of filter, one
 slice per pass over the documents when there is more (histories are dealt to
 slices, so each token is scored in exactly one pass), and at most HEAD frequent
-words with exact counts.  The exact word counts that the base score needs for the
-many rare words meet the documents' rare words in a shuffle.
+words with exact counts.  The words outside this head meet their exact counts in a
+shuffle, with the levels of their bigram and history, and are scored there: p(w) comes
+from the count of every word, and no score hangs on the size of the head.
 """
 
 from __future__ import annotations
@@ -170,12 +171,12 @@ def _partial_counts(buckets: int):
     return run
 
 
-_COUNTED = ("bucket int, keys binary, counts binary, tokens long, types long, hist array<long>, mass array<long>, "
+_COUNTED = ("bucket int, keys binary, counts binary, tokens long, types long, hist array<long>, "
             "segment binary")
 
 
 def _whole_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket: exact word counts, their totals by level, and the filter segment of words and bigrams."""
+    """Per bucket: exact word counts, their numbers by level, and the filter segment of words and bigrams."""
     held: dict[int, dict[int, list]] = {}
     for b in batches:
         for bucket, gram, k, c in zip(*(x.to_pylist() for x in b.columns)):
@@ -195,9 +196,8 @@ def _whole_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             [pa.array([bucket], pa.int32()), pa.array([k1.tobytes()], pa.binary()),
              pa.array([c1.tobytes()], pa.binary()), pa.array([int(c1.sum())], pa.int64()),
              pa.array([len(k1)], pa.int64()), pa.array([np.bincount(lv, minlength=64).tolist()], pa.list_(pa.int64())),
-             pa.array([np.bincount(lv, c1, 64).astype(np.int64).tolist()], pa.list_(pa.int64())),
              pa.array([segment.tobytes()], pa.binary())],
-            names=["bucket", "keys", "counts", "tokens", "types", "hist", "mass", "segment"])
+            names=["bucket", "keys", "counts", "tokens", "types", "hist", "segment"])
 
 
 class Model:
@@ -206,13 +206,10 @@ class Model:
     def __init__(self, counted: DataFrame, buckets: int):
         self.counted, self.buckets = counted, buckets
         t = counted.agg(F.sum("tokens"), F.sum("types"),
-                        *[F.sum(F.get("hist", F.lit(i))) for i in range(64)],
-                        *[F.sum(F.get("mass", F.lit(i))) for i in range(64)]).first()
+                        *[F.sum(F.get("hist", F.lit(i))) for i in range(64)]).first()
         self.tokens, self.types = t[0] or 0, t[1] or 0
-        hist, mass = [x or 0 for x in t[2:66]], [x or 0 for x in t[66:]]
+        hist = [x or 0 for x in t[2:]]
         self.level = next(i for i in range(1, 65) if sum(hist[i:]) <= HEAD)
-        rare, rare_mass = sum(hist[:self.level]), sum(mass[:self.level])
-        self.rare_count = rare_mass / rare if rare else 0.0
         self.scale = self.tokens + 0.5 * (self.types + 1)
 
     def head(self) -> tuple[np.ndarray, np.ndarray]:
@@ -266,12 +263,18 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
 
 
 _SCORED = ("rid long, id {0}, n_tokens long, n_known long, base double, score double, "
-           "bucket int, keys binary, tf binary, owner binary")
+           "bucket int, keys binary, tf binary, owner binary, pair binary")
 _NAMES = [x.split()[0] for x in _SCORED.split(", ")]
 
 
+def _log_score(l2: np.ndarray, lh: np.ndarray, p1: np.ndarray) -> np.ndarray:
+    """log10 p(w | h) from the levels of the bigram and the history and from p(w)."""
+    c2 = level_count(l2)
+    return np.log10((c2 + MU * p1) / (np.maximum(level_count(lh), c2) + MU))
+
+
 def _scorer(model: Model, head, filt, first: bool):
-    buckets, scale, rare = model.buckets, model.scale, model.rare_count
+    buckets, scale = model.buckets, model.scale
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hk, hc = head.value
@@ -287,41 +290,41 @@ def _scorer(model: Model, head, filt, first: bool):
             at = np.minimum(np.searchsorted(hk, u), max(0, len(hk) - 1))
             known = hk[at] == u if len(hk) else np.zeros(len(u), bool)
             c1 = np.where(known, hc[at] if len(hk) else 0, 0).astype(np.float64)
-            p1 = ((np.where(known, c1, rare) + 0.5) / scale)[inv]
+            p1 = ((c1 + 0.5) / scale)[inv]
+            top = known[inv]
             hu, hinv = np.unique(prev, return_inverse=True)
             hb = bucket_of(hu, buckets)
             mine = (f.bits[hb] > 0)[hinv]
             if first:   # histories without a bucket in any slice were never seen: scored in the first pass
                 mine |= (model_bits == 0)[hb][hinv]
-            ch = level_count(f.level(hu, hb))[hinv]
+            lh = f.level(hu, hb)[hinv]
             score = np.zeros(len(tok))
             i = np.flatnonzero(mine)
-            c2 = level_count(f.level(bigram(prev[i], tok[i]), hb[hinv[i]]))
-            score[i] = np.log10((c2 + MU * p1[i]) / (np.maximum(ch[i], c2) + MU))
+            l2 = f.level(bigram(prev[i], tok[i]), hb[hinv[i]])
+            j = top[i]
+            score[i[j]] = _log_score(l2[j], lh[i[j]], p1[i[j]])
             zero = np.zeros(len(rid))
             if first:
-                base = np.bincount(doc, np.where(known[inv], np.log10((c1 + 0.5) / scale)[inv], 0.0), len(rid))
-                seen = np.bincount(doc, known[inv], len(rid)).astype(np.int64)
+                base = np.bincount(doc, np.where(top, np.log10(p1), 0.0), len(rid))
+                seen = np.bincount(doc, top, len(rid)).astype(np.int64)
             else:
                 base, seen = zero, zero.astype(np.int64)
             null = pa.nulls(len(rid), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rid), b.column(1), pa.array(n if first else seen), pa.array(seen), pa.array(base),
-                 pa.array(np.bincount(doc, score, len(rid))), pa.nulls(len(rid), pa.int32()), null, null, null],
+                 pa.array(np.bincount(doc, score, len(rid))), pa.nulls(len(rid), pa.int32()), null, null, null, null],
                 names=_NAMES)
-            if not first:
-                continue
-            rest = ~known[inv]
-            if rest.any():     # rare and unknown words: one entry per text and word
-                pair = np.stack([doc[rest].astype(np.uint64), tok[rest]], 1)
-                order = np.lexsort((pair[:, 1], pair[:, 0]))
-                pair = pair[order]
-                cut = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]).any(1)])
-                tf = np.diff(np.append(cut, len(pair))).astype(np.uint32)
-                key, owner = np.ascontiguousarray(pair[cut, 1]), rid[pair[cut, 0].astype(np.int64)]
-                rows = list(blob_rows(bucket_of(key, buckets), [key, tf, owner], buckets))
+            i, l2 = i[~j], l2[~j]
+            if len(i):     # words outside the head: one entry per text, word and levels, in the token's own pass
+                pair = (l2 << 8 | lh[i]).astype(np.uint16)
+                order = np.lexsort((pair, tok[i], doc[i]))
+                i, pair = i[order], pair[order]
+                d, w = doc[i], tok[i]
+                cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (w[1:] != w[:-1]) | (pair[1:] != pair[:-1])])
+                tf = np.diff(np.append(cut, len(i))).astype(np.uint32)
+                rows = list(blob_rows(bucket_of(w[cut], buckets), [w[cut], tf, rid[d[cut]], pair[cut]], buckets))
                 k = len(rows)
-                blob = [pa.array([r[1][j] for r in rows], pa.binary()) for j in range(3)]
+                blob = [pa.array([r[1][c] for r in rows], pa.binary()) for c in range(4)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(k, pa.int64()), pa.nulls(k, b.schema.types[1]), *[pa.nulls(k, pa.int64())] * 2, *[pa.nulls(k, pa.float64())] * 2,
                      pa.array([r[0] for r in rows], pa.int32()), *blob],
@@ -336,24 +339,27 @@ def _rare_scores(scale: float):
         table: dict[int, tuple] = {}
         asked: dict[int, list] = {}
         for b in batches:
-            for bucket, k, c, owner in zip(*(x.to_pylist() for x in b.columns)):
+            for bucket, k, c, owner, pair in zip(*(x.to_pylist() for x in b.columns)):
                 if owner is None:
                     table[bucket] = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
                 else:
                     asked.setdefault(bucket, []).append((np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint32),
-                                                         np.frombuffer(owner, np.int64)))
+                                                         np.frombuffer(owner, np.int64),
+                                                         np.frombuffer(pair, np.uint16)))
         for bucket in sorted(asked):
-            key, tf, owner = (np.concatenate(x) for x in zip(*asked.pop(bucket)))
+            key, tf, owner, pair = (np.concatenate(x) for x in zip(*asked.pop(bucket)))
             keys, counts = table.get(bucket, (np.empty(0, np.uint64), np.empty(0, np.int64)))
             c = np.zeros(len(key))
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 c = np.where(keys[at] == key, counts[at], 0).astype(np.float64)
             o, inv = np.unique(owner, return_inverse=True)
+            p1, pair = (c + 0.5) / scale, pair.astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(o), pa.array(np.bincount(inv, tf * (c > 0), len(o)).astype(np.int64)),
-                 pa.array(np.bincount(inv, tf * np.log10((c + 0.5) / scale), len(o)))],
-                names=["rid", "known", "logs"])
+                 pa.array(np.bincount(inv, tf * np.log10(p1), len(o))),
+                 pa.array(np.bincount(inv, tf * _log_score(pair >> 8, pair & 255, p1), len(o)))],
+                names=["rid", "known", "logs", "score"])
     return run
 
 
@@ -382,13 +388,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         part = materialize(lean.mapInArrow(_scorer(slim, head, filt, i == 0), schema))
         filt.unpersist()
         parts = part if parts is None else parts.unionByName(part)
-    asked = parts.where("bucket is not null").select("bucket", "keys", F.col("tf").alias("counts"), "owner")
-    counted = model.counted.select("bucket", "keys", "counts", F.lit(None).cast("binary").alias("owner"))
+    asked = parts.where("bucket is not null").select("bucket", "keys", F.col("tf").alias("counts"), "owner", "pair")
+    counted = model.counted.select("bucket", "keys", "counts",
+                                   *[F.lit(None).cast("binary").alias(c) for c in ("owner", "pair")])
     rare = (asked.unionByName(counted).repartition(model.buckets, "bucket")
-            .mapInArrow(_rare_scores(model.scale), "rid long, known long, logs double")
+            .mapInArrow(_rare_scores(model.scale), "rid long, known long, logs double, score double")
             .select("rid", F.lit(None).cast(lean.schema["id"].dataType).alias("id"),
                     F.lit(0).cast("long").alias("n_tokens"), F.col("known").alias("n_known"),
-                    F.col("logs").alias("base"), F.lit(0.0).alias("score")))
+                    F.col("logs").alias("base"), "score"))
     whole = (parts.where("rid is not null").select("rid", "id", "n_tokens", "n_known", "base", "score")
              .unionByName(rare).groupBy("rid").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")]))
     return whole.select(

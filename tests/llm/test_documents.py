@@ -200,6 +200,27 @@ def test_model_reads_counts_back_and_slices_agree(spark, monkeypatch):
         assert r.score == pytest.approx(one[r.id].score, rel=0.25)
 
 
+def test_scores_are_equal_for_any_head(spark, monkeypatch):
+    """Words outside the head, never seen ones too, are scored by their own counts, in one slice or several."""
+    rnd = random.Random(6)
+    vocab, share = [f"t{j}" for j in range(300)], [1 / (j + 1) for j in range(300)]
+    d = spark.createDataFrame([(i, " ".join(rnd.choices(vocab, share, k=200)), "", "") for i in range(30)], DOC)
+    more = spark.createDataFrame([(100, "t1 never seen t299 t0 never", "", ""), (101, None, "", "")], DOC)
+    monkeypatch.setattr(lm, "PER_BUCKET", 500)
+    want = None
+    for head, room in ((lm.HEAD, lm.SLICE_BYTES), (40, lm.SLICE_BYTES), (5, 2000), (0, 2000)):
+        monkeypatch.setattr(lm, "HEAD", head)
+        monkeypatch.setattr(lm, "SLICE_BYTES", room)
+        model = lm.train(d)
+        assert (len(model.slices()) > 1) == (room == 2000)
+        got = {r.id: r for r in lm.score(d.union(more), model).collect()}
+        want = want or got
+        for i, r in got.items():
+            assert r.n_known == want[i].n_known and r.n_tokens == want[i].n_tokens
+            assert r.score == pytest.approx(want[i].score, rel=1e-9)
+            assert r.base_score == pytest.approx(want[i].base_score, rel=1e-9)
+
+
 def test_lines_equal_brute_force(docs, rows):
     near = [(r[0], (r[1] or "").replace(" w1", "\nw1") if r[1] is not None else None) for r in rows]
     d = docs.sparkSession.createDataFrame(near, "doc_id long, text string").repartition(4)
