@@ -5,8 +5,8 @@ after another into a union-free regular expression, the host's wrapper: equal
 neighbours fold into repeated groups, what only one side has becomes optional,
 and text becomes slots with their mass over all pages.  Wrappers of parts of a
 host align like pages, so a hot host is folded in every task, then in salted
-groups, then once; nothing gathers its pages.  The finished wrapper says which
-slots are article text, and each page is read through its host's wrapper.
+groups, then once; nothing gathers its pages.  The finished wrapper ranks its slots,
+and each page is read through its host's wrapper by the best slots that it has.
 """
 
 from __future__ import annotations
@@ -255,21 +255,28 @@ def _noise(key: str) -> bool:
     return tag in NEVER or bool(NOISE.search(key[len(tag):])) if "[" in key or tag in NEVER else False
 
 
+#: State of a slot: text, one text on many pages, mostly links.
+TEXT, FIXED, LINKS = range(3)
+
+
 def article_slots(root: Slot) -> list[str]:
-    """Paths of the wrapper's text slots that hold article text.
+    """The wrapper's text slots outside noise, each as a digit, 3 x rank + state, and its path.
 
-    Slots below an article element (else below main, else below an element named
-    like one, else all) count, without those below noise.  A header inside an
-    article belongs to it.  Outside article elements, slots made mostly of links
-    and slots with one text on three or more pages are template."""
-    found: list[tuple[str, Slot, int]] = []
+    The rank is 3 below an article element, 2 below main, 1 below an element named
+    like one, else 0.  A header inside an article belongs to it.  Outside article
+    elements, slots made mostly of links are LINKS; outside main too, slots with one
+    text on three or more pages are FIXED."""
+    found: dict[str, int] = {}
 
     def walk(s: Slot, path: str, rank: int):
         for k in s.kids:
             if k.key == "()":
                 walk(k, path, rank)
             elif k.key == "#":
-                found.append((path + "/#", k, rank))
+                state = LINKS if rank < 3 and 2 * k.link > k.chars else \
+                    FIXED if rank < 2 and k.fixed is not None and k.pages >= 3 else TEXT
+                code = 3 * rank + state
+                found[path + "/#"] = min(code, found.get(path + "/#", code))
             else:
                 tag = re.match(r"[^\[]*", k.key)[0]
                 if _noise(k.key) and not (tag == "header" and rank == 3 and "[" not in k.key):
@@ -279,10 +286,14 @@ def article_slots(root: Slot) -> list[str]:
                 walk(k, f"{path}/{k.key}", max(rank, own))
 
     walk(root, "", 0)
-    best = max((r for _, _, r in found), default=0)
-    kept = {p for p, s, r in found if r == best and (
-        best == 3 or 2 * s.link <= s.chars and not (s.fixed is not None and s.pages >= 3 and best < 2))}
-    return sorted(kept)
+    return sorted(f"{code}{path}" for path, code in found.items())
+
+
+def article_text(blocks: list[tuple[str, str, int]], slots: dict[str, int]) -> str:
+    """Text of the page's blocks in its best slots: of the highest rank that the page itself has."""
+    mine = [(slots[path], said) for path, said, _ in blocks if path in slots]
+    best = max((c // 3 for c, _ in mine), default=-1)
+    return "\n".join(said for c, said in mine if c // 3 == best and c % 3 == TEXT)
 
 
 def host_of(url: Column) -> Column:
@@ -368,8 +379,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for b in batches:
             texts = []
             for value, slots in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                kept = set(slots)
-                texts.append("\n".join(t for path, t, _ in read(_text(value))[1] if path in kept))
+                texts.append(article_text(read(_text(value))[1], {s[1:]: int(s[0]) for s in slots}))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])

@@ -135,6 +135,16 @@ def test_pages_without_article_elements_lose_the_template(spark):
     assert got == {i: f"Text of page {i}, long enough." for i in range(5)}
 
 
+def test_templates_of_one_host_leave_each_other_alone(make):
+    """Every page is read by its own best slots, on a host of three templates and among pages without one."""
+    wrap = ["<article><p>{}</p></article>", "<main><p>{}</p></main>", '<div class="content"><p>{}</p></div>',
+            "<table><tr><td>{}</td></tr></table>"]
+    rows = [(i, ["http://mixed.example/", None, "odd url"][i // 4 % 3], "<nav><p>Menu</p></nav>" + wrap[i % 4].format(
+        f"Text of page {i}.")) for i in range(24)]
+    got = {r.page_id: r.text for r in wrapper.extract(make(rows, PAGE)).collect()}
+    assert got == {i: f"Text of page {i}." for i in range(24)}
+
+
 def test_odd_pages(make):
     rows = [(1, None, None), (2, "no host", ""), (3, "http://z/", "just text &am &#x41; &bogus; <"),
             (4, "http://y/", "<article><p>cut off<p"), (4, "http://y/", "<article><p>cut off<p"),
