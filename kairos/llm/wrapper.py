@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +51,8 @@ LONGEST = 48
 #: Elements nested deeper than this belong to the element at this depth, text and all.
 DEEPEST = 150
 SALT = 32
+#: Pages of different content on which one text makes its slot template.
+TEMPLATE_PAGES = 3
 #: Wrappers of at most so many bytes in all are broadcast; more are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -60,18 +63,23 @@ def _key(tag: str, attrs: str) -> str:
     return tag + "".join(f"[{k}={' '.join(v.split())}]" for k, v in named)
 
 
+def _digest(text: str) -> str:
+    return xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
 class Slot:
-    """A part of a wrapper: key, whether it may be missing or repeat, its parts; text mass if key is #."""
+    """A part of a wrapper: key, whether it may be missing or repeat, its parts; if key is #, text mass, blocks,
+    their text (a long one's digest) if it is one, and digests of up to TEMPLATE_PAGES different pages."""
 
-    __slots__ = ("key", "opt", "many", "kids", "chars", "link", "pages", "fixed")
+    __slots__ = ("key", "opt", "many", "kids", "chars", "link", "pages", "fixed", "seen")
 
-    def __init__(self, key, opt=False, many=False, kids=None, chars=0, link=0, pages=0, fixed=None):
+    def __init__(self, key, opt=False, many=False, kids=None, chars=0, link=0, pages=0, fixed=None, seen=None):
         self.key, self.opt, self.many, self.kids = key, opt, many, kids or []
-        self.chars, self.link, self.pages, self.fixed = chars, link, pages, fixed
+        self.chars, self.link, self.pages, self.fixed, self.seen = chars, link, pages, fixed, seen or []
 
     def dump(self) -> list:
         return [self.key, int(self.opt), int(self.many), [k.dump() for k in self.kids], self.chars, self.link,
-                self.pages, self.fixed]
+                self.pages, self.fixed, self.seen]
 
     @classmethod
     def load(cls, x: list) -> Slot:
@@ -92,6 +100,7 @@ def read(page: str) -> tuple[Slot, list[tuple[str, str, int]]]:
     inline: list[str] = []
     deep: list[str] = []
     blocks: list[tuple[str, str, int]] = []
+    slots: list[Slot] = []
     text: list[str] = []
     link = 0
 
@@ -101,7 +110,9 @@ def read(page: str) -> tuple[Slot, list[tuple[str, str, int]]]:
         if said:
             path, own = stack[-1][1], min(link, len(said))
             blocks.append((path + "/#", said, own))
-            stack[-1][2].kids.append(Slot("#", chars=len(said), link=own, pages=1, fixed=said[:80]))
+            slots.append(Slot("#", chars=len(said), link=own, pages=1,
+                              fixed=said if len(said) <= 80 else _digest(said)))
+            stack[-1][2].kids.append(slots[-1])
         text.clear()
         link = 0
 
@@ -168,6 +179,9 @@ def read(page: str) -> tuple[Slot, list[tuple[str, str, int]]]:
         stack[-1][2].kids.append(slot)
         stack.append((tag, f"{stack[-1][1]}/{key}", slot))
     flush()
+    whole = [_digest("\n".join(said for _, said, _ in blocks))]
+    for slot in slots:
+        slot.seen = whole
     fold(root)
     return root, blocks
 
@@ -176,7 +190,8 @@ def _merge(a: Slot, b: Slot) -> Slot:
     """One part that matches what both match."""
     if a.key == "#":
         return Slot("#", a.opt or b.opt, a.many or b.many, None, a.chars + b.chars, a.link + b.link,
-                    a.pages + b.pages, a.fixed if a.fixed == b.fixed else None)
+                    a.pages + b.pages, a.fixed if a.fixed == b.fixed else None,
+                    sorted({*a.seen, *b.seen})[:TEMPLATE_PAGES])
     return Slot(a.key, a.opt or b.opt, a.many or b.many, align(a.kids, b.kids))
 
 
@@ -265,7 +280,7 @@ def article_slots(root: Slot) -> list[str]:
     The rank is 3 below an article element, 2 below main, 1 below an element named
     like one, else 0.  A header inside an article belongs to it.  Outside article
     elements, slots made mostly of links are LINKS; outside main too, slots with one
-    text on three or more pages are FIXED."""
+    text on TEMPLATE_PAGES pages of different content are FIXED."""
     found: dict[str, int] = {}
 
     def walk(s: Slot, path: str, rank: int):
@@ -274,7 +289,7 @@ def article_slots(root: Slot) -> list[str]:
                 walk(k, path, rank)
             elif k.key == "#":
                 state = LINKS if rank < 3 and 2 * k.link > k.chars else \
-                    FIXED if rank < 2 and k.fixed is not None and k.pages >= 3 else TEXT
+                    FIXED if rank < 2 and k.fixed is not None and len(k.seen) >= TEMPLATE_PAGES else TEXT
                 code = 3 * rank + state
                 found[path + "/#"] = min(code, found.get(path + "/#", code))
             else:
@@ -290,10 +305,16 @@ def article_slots(root: Slot) -> list[str]:
 
 
 def article_text(blocks: list[tuple[str, str, int]], slots: dict[str, int]) -> str:
-    """Text of the page's blocks in its best slots: of the highest rank that the page itself has."""
+    """Text of the page's blocks in its best slots: of the highest rank that the page itself has.
+
+    FIXED slots neither count nor speak, unless the page has no other text."""
     mine = [(slots[path], said) for path, said, _ in blocks if path in slots]
-    best = max((c // 3 for c, _ in mine), default=-1)
-    return "\n".join(said for c, said in mine if c // 3 == best and c % 3 == TEXT)
+    for silent in (FIXED, None):
+        best = max((c // 3 for c, _ in mine if c % 3 != silent), default=-1)
+        kept = [said for c, said in mine if c // 3 == best and c % 3 not in (silent, LINKS)]
+        if kept:
+            break
+    return "\n".join(kept)
 
 
 def host_of(url: Column) -> Column:

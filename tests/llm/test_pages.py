@@ -145,6 +145,20 @@ def test_templates_of_one_host_leave_each_other_alone(make):
     assert got == {i: f"Text of page {i}." for i in range(24)}
 
 
+def test_only_whole_equal_texts_of_different_pages_are_template(make):
+    """Copies of a page, equal openings and equal paragraphs of one page stay; a page's only text stays too."""
+    same = "The same opening words " * 5
+    rows = [(i, "http://copies.example/", "<table><tr><td>One text, three times.</td></tr></table>") for i in range(4)]
+    rows += [(10 + i, "http://opening.example/", f"<div><p>{same}{i}</p></div>") for i in range(4)]
+    rows += [(20, "http://paragraphs.example/", "<div><p>again</p><p>again</p><p>again</p></div>")]
+    rows += [(30 + i, "http://only.example/", f"<nav><p>Date {i}</p></nav><div>All there is.</div>") for i in range(4)]
+    rows += [(40 + i, "http://lines.example/", f"<div>Own words {i}</div><p>All rights reserved</p>") for i in range(4)]
+    got = {r.page_id: r.text for r in wrapper.extract(make(rows, PAGE)).collect()}
+    want = {i: "One text, three times." for i in range(4)} | {10 + i: f"{same}{i}" for i in range(4)}
+    want |= {20: "again\nagain\nagain"} | {30 + i: "All there is." for i in range(4)}
+    assert got == want | {40 + i: f"Own words {i}" for i in range(4)}
+
+
 def test_odd_pages(make):
     rows = [(1, None, None), (2, "no host", ""), (3, "http://z/", "just text &am &#x41; &bogus; <"),
             (4, "http://y/", "<article><p>cut off<p"), (4, "http://y/", "<article><p>cut off<p"),
