@@ -3,8 +3,9 @@
 Statistics of every text are transformed to four roughly normal numbers.  Within
 each (language, source) group a minimum-covariance-determinant estimate is found
 by concentration steps: mean and covariance of the kept part, Mahalanobis
-distances of all rows, the nearest share kept for the next step.  Rows far from
-the final estimate are rejected.  Everything is grouped sums and small joins:
+distances of all rows, the nearest half kept for the next step; rows near the last
+one give the final estimate.  As start and core rest on half of a group, junk may be
+nearly the other half.  Rows far from the estimate are rejected.  Everything is grouped sums and small joins:
 order statistics come from histograms of fixed bins, so no group is ever sorted
 or gathered, and a group that holds a third of all rows costs what its rows cost.
 """
@@ -22,10 +23,12 @@ MIN_WORDS = 50
 REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 #: Share of a group that the estimate rests on, and concentration steps.
-CORE = 0.75
+CORE = 0.5
 STEPS = 4
 #: Squared distances above this are rejected: the 1 - 1e-6 quantile of chi-square with 4 degrees.
 CUT = 33.4
+#: Rows up to this, the 0.975 quantile, give the final estimate.
+NEAR = 11.14
 #: Groups with fewer rows that pass the base limits are estimated from their language's rows, and those
 #: of small languages from all rows.
 MIN_GROUP = 40
@@ -151,30 +154,46 @@ def _quantile_bin(rows: DataFrame, bins: Column, share: float, name: str) -> Dat
 
 #: Median of chi-square with 4 degrees of freedom: distances are scaled so that each group's median is this.
 _MEDIAN = 3.357
+#: The same of the rows up to NEAR.
+_NEAR_MEDIAN = 3.277
 
 
 #: Estimates of at most so many groups (under 20 MB) are broadcast; more are joined by shuffle.
 BROADCAST_GROUPS = 50_000
 
 
+def _middle(counts: DataFrame, value: str, name: str) -> DataFrame:
+    """(g, f, name): median of ``value`` weighted by the count c."""
+    key = Window.partitionBy("g", "f")
+    cum = counts.withColumn("up", F.sum("c").over(key.orderBy(value))).withColumn("n", F.sum("c").over(key))
+    return cum.where(2 * F.col("up") >= F.col("n")).groupBy("g", "f").agg(F.min(value).alias(name))
+
+
+def _scaled(fit: DataFrame, near: DataFrame, median: float) -> DataFrame:
+    """``fit`` with the scale that moves the median distance of its rows to ``median``."""
+    mid = _quantile_bin(near.withColumn("d", _distance()), _bin(F.col("d")), 0.5, "mid")
+    # the core's covariance is too small; the floor already widens groups without spread
+    scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("mid") + 1.0) / FINE) / median)
+    return fit.join(mid, "g").withColumn("scale", scale).drop("mid")
+
+
 def robust_distance(rows: DataFrame, few: bool) -> DataFrame:
     """(g, mean and factor columns, scale) per group of ``rows`` (g, x1..x4).
 
     ``few``: the groups are no more than BROADCAST_GROUPS."""
     near_by = F.broadcast if few else (lambda df: df)
-    # start: medians and the spread around them, all features from one histogram
+    # start: medians and median deviations from them, all features from one histogram
     long = rows.select("g", F.explode(F.array(*[
         F.struct(F.lit(i).alias("f"), F.floor(F.col(x) * START_BINS).cast("int").alias("b"))
         for i, x in enumerate(FEATURES)])).alias("x")).select("g", "x.*")
-    up = Window.partitionBy("g", "f").orderBy("b")
-    counts = (long.groupBy("g", "f", "b").agg(F.count(F.lit(1)).alias("c"))
-              .withColumn("up", F.sum("c").over(up)).withColumn("n", F.sum("c").over(Window.partitionBy("g", "f"))))
-    reach = lambda share: F.min(F.when(F.col("up") >= share * F.col("n"), F.col("b")))
-    marks = counts.groupBy("g", "f").agg(reach(0.25).alias("a"), reach(0.5).alias("b"), reach(0.75).alias("c"))
+    counts = materialize(long.groupBy("g", "f", "b").agg(F.count(F.lit(1)).alias("c")))
+    mid = _middle(counts, "b", "m")
+    off = counts.join(near_by(mid), ["g", "f"]).withColumn("d", F.abs(F.col("b") - F.col("m")))
+    marks = mid.join(_middle(off, "d", "s"), ["g", "f"])
     of = lambda i, e: F.max(F.when(F.col("f") == i, e))
     start = marks.groupBy("g").agg(
-        *[of(i, (F.col("b") + 0.5) / START_BINS).alias(f"m{i}") for i in range(len(FEATURES))],
-        *[of(i, F.pow((F.col("c") - F.col("a")) / START_BINS / 1.349, F.lit(2))).alias(f"v{i}{i}")
+        *[of(i, (F.col("m") + 0.5) / START_BINS).alias(f"m{i}") for i in range(len(FEATURES))],
+        *[of(i, F.pow(F.col("s") / START_BINS * 1.4826, F.lit(2))).alias(f"v{i}{i}")
           for i in range(len(FEATURES))])
     start = start.select("*", *[F.lit(0.0).alias(f"v{i}{j}") for i, j in _PAIRS if i != j])
     fit = materialize(_cholesky(start))
@@ -183,10 +202,10 @@ def robust_distance(rows: DataFrame, few: bool) -> DataFrame:
         limit = _quantile_bin(near, _bin(F.col("d")), CORE, "limit")
         core = rows.join(near_by(fit.join(limit, "g")), "g").where(_bin(_distance()) <= F.col("limit"))
         fit = materialize(_moments(core.select("g", *FEATURES)))
-    mid = _quantile_bin(rows.join(near_by(fit), "g").withColumn("d", _distance()), _bin(F.col("d")), 0.5, "mid")
-    # the core's covariance is too small; the floor already widens groups without spread
-    scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("mid") + 1.0) / FINE) / _MEDIAN)
-    return materialize(fit.join(mid, "g").withColumn("scale", scale).drop("mid"))
+    fit = materialize(_scaled(fit, rows.join(near_by(fit), "g"), _MEDIAN))
+    near = materialize(rows.join(near_by(fit), "g").where(_distance() / F.col("scale") <= NEAR).select("g", *FEATURES))
+    fit = materialize(_moments(near))
+    return materialize(_scaled(fit, near.join(near_by(fit), "g"), _NEAR_MEDIAN))
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

@@ -116,6 +116,23 @@ def test_quality_rejects_outliers_and_keeps_clean(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, k in out.items() if k}
 
 
+def test_quality_withstands_copies_of_one_junk_text(spark):
+    """A third, and nearly half, of a group is one junk text: it and other junk go, clean texts stay."""
+    rnd = random.Random(2)
+    prose = lambda: ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9)))
+                     for _ in range(rnd.randint(60, 300))]
+    rows = []
+    for source, copies in (("third", 150), ("half", 240)):
+        junk = " ".join(x + "#|#" for x in prose())
+        rows += [(len(rows) + k, " ".join(prose()), "en", source) for k in range(285)]
+        rows += [(1000 + len(rows) + k, " ".join(x + "$%" for x in prose()), "en", source) for k in range(15)]
+        rows += [(1000 + len(rows) + k, junk, "en", source) for k in range(copies)]
+    out = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, DOC)).collect()}
+    clean = {r[0] for r in rows if not set("#$") & set(r[1])}
+    assert len(out) == len(rows) and len(clean) == 570
+    assert {i for i, k in out.items() if k} == clean
+
+
 def test_secrets_equal_brute_force(spark, docs, rows):
     ledger = secrets.new_ledger(spark)
     paths = secrets.scan(clashing(docs), ledger)
