@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairos.llm import decontaminate, lines, lm, mixing, quality, secrets, sharding, simhash, warc, wrapper
+from kairos.llm import (decontaminate, lines, lm, mixing, periodic, quality, secrets, sharding, simhash, warc,
+                        wrapper)
 from kairos.llm.common import table
 
 
@@ -75,6 +76,40 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, text) of which one in ten repeats some of its words up to its end.
+
+    h is the CRC-32 of the decimal id (a null id is never chosen) and g = h // 10; a chosen text
+    of n words takes up word a + (i - a) % p in every place i from a on, a = g % n and
+    p = 1 + (n - a) // (3 + g % 8), its words joined by one space."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    w = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    hit = F.coalesce(h % 10 == 0, F.lit(False))
+    chosen = (docs.where(hit).select("doc_id", "text", F.floor(h / 10).alias("g"), w.alias("w"))
+              .withColumn("n", F.size("w").cast("long")).withColumn("a", F.expr("g % nullif(n, 0)"))
+              .withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+              .withColumn("text", F.when(F.col("n") > 0, F.expr(
+                  "array_join(transform(sequence(0, n - 1), i -> w[int(if(i < a, i, a + (i - a) % p))]), ' ')"))
+                  .otherwise(F.col("text"))))
+    return docs.where(~hit).select("doc_id", "text").unionByName(chosen.select("doc_id", "text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words: their number, the greatest and digests."""
+    found = periodic.find_runs(with_repeats(table(spark, sf_dir, "documents", "doc_id", "text")))
+    greatest = F.aggregate("runs", F.element_at("runs", 1), lambda best, r: F.when(
+        r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best))
+    told = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    best = F.when(F.size("runs") > 0, greatest)
+    return found.withColumn("best", best).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(told, F.lit("\n"))).otherwise(F.lit("")), 256).alias("runs_sha256"),
+        F.col("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_arc_to_warc, op2_wrapper_text, op3_benchmark_containment, op4_simhash_components, op5_blob_ledger_secrets,
-    op6_fuzzy_line_dedup, op7_slot_table_placement, op8_robust_quality, op9_bloom_lm_score, op10_pareto_mix)}
+    op6_fuzzy_line_dedup, op7_slot_table_placement, op8_robust_quality, op9_bloom_lm_score, op10_pareto_mix,
+    op11_periodic_runs)}

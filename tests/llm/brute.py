@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import zlib
+from fractions import Fraction
 
 import xxhash
 
@@ -122,3 +123,43 @@ def line_components(docs, norm, shingles, t=0.8):
         for a in at:
             out[a] = first[comp[x]]
     return out
+
+
+def planted(doc_id, text):
+    """Words of a text, one in ten of which repeats up to its end."""
+    w = WORD.findall(text or "")
+    if doc_id is None:
+        return w
+    h, n = zlib.crc32(str(doc_id).encode()), len(w)
+    g = h // 10
+    if h % 10 or not n:
+        return w
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def periodic_runs(w):
+    """[(start, length, smallest period)] of the runs, by start, then period."""
+    n, found = len(w), {}
+    for q in range(1, n // 3 + 1):
+        i = 0
+        while i + q < n:
+            s = i
+            while i + q < n and w[i] == w[i + q]:
+                i += 1
+            if i - s + q >= max(24, 3 * q):
+                found.setdefault((s, i - s + q), q)
+            i += 1
+    return sorted(((s, length, q) for (s, length), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def periodic_row(doc_id, text):
+    w = planted(doc_id, text)
+    runs = periodic_runs(w)
+    best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if runs else (None, None, None)
+    drop = {i for s, length, q in runs for i in range(s + q, s + length)}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    return (doc_id, len(runs), *best, 1000 * best[1] // best[2] if runs else None,
+            sha("".join(f"{s},{length},{q}\n" for s, length, q in runs)),
+            sha(" ".join(x for i, x in enumerate(w) if i not in drop)))
