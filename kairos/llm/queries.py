@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairos.llm import (decontaminate, lines, lm, mixing, periodic, quality, secrets, sharding, simhash, warc,
-                        wrapper)
+from kairos.llm import (decontaminate, lines, lm, mixing, periodic, quality, secrets, sharding, simhash, tokens,
+                        warc, wrapper)
 from kairos.llm.common import table
 
 
@@ -109,7 +110,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("collapsed_sha256"))
 
 
+def op12_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's token ids, as read back from the token table."""
+    path = tokens.scratch(spark)
+    tokens.write_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), path,
+                        public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.checksums(tokens.read_tokens(spark, path)).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", F.col("crc32").alias("ids_crc32"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_arc_to_warc, op2_wrapper_text, op3_benchmark_containment, op4_simhash_components, op5_blob_ledger_secrets,
     op6_fuzzy_line_dedup, op7_slot_table_placement, op8_robust_quality, op9_bloom_lm_score, op10_pareto_mix,
-    op11_periodic_runs)}
+    op11_periodic_runs, op12_token_table)}
