@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -28,12 +29,14 @@ def test_pieces_give_the_ids_of_whole_texts(whole, monkeypatch):
     rnd = random.Random(1)
     parts = [" ", "  ", "   ", "\n", "\t", "\r\n", "\x0b", "\x0c", "\xa0", "　", " ", "\x85", "\x1c", "a", "the",
              "it's", "we'LL", "'s", "Zürich", "é", "é", "123", "4567", "!?", "...", "<|endoftext|>", "語", "𝔘", "​",
-             "x" * 70, "_", "-"]
+             "x" * 70, "_", "-", "word,", "Ende.", "ª!", "²;", "end,.", "語:"]
     encoder = tokens.Encoder(PATH)
-    for _ in range(300):
+    for _ in range(800):
         texts = ["".join(rnd.choice(parts) + rnd.choice(["", " ", " "]) for _ in range(rnd.randrange(25)))
                  for _ in range(rnd.randrange(1, 6))]
-        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [whole(t) for t in texts]
+        ids, counts = encoder.encode(pa.array(texts, pa.string()))
+        at = np.r_[0, np.cumsum(counts)].tolist()
+        assert [ids[s:e].tolist() for s, e in zip(at, at[1:])] == [[*whole(t), 0] for t in texts]
 
 
 def test_query_equals_brute_force(spark, whole):
@@ -77,7 +80,8 @@ def test_layout(spark, tmp_path, monkeypatch, encoding, code):
 
 def test_odd_rows(spark, make, tmp_path, whole):
     long = "wörd " * 60_000 + "x" * 50_000
-    rows = [(5, "b"), (5, "a"), (5, "a"), (None, "n"), (None, None), (1, None), (2, ""), (3, " \n  \n "), (4, long)]
+    rows = [(5, "b"), (5, "a"), (5, "a"), (None, "n"), (None, None), (1, None), (2, ""), (3, " \n  \n "), (4, long),
+            (9, "  " + "y z\n " * 300_000)]
     df = make(rows, "doc_id long, text string").select(
         "*", *[F.lit(1).alias(c) for c in "id file offset n_tokens ids start first".split()]).repartition(3)
     tokens.write_tokens(df, str(tmp_path / "t"), PATH)
