@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairos.llm import (decontaminate, lines, lm, mixing, periodic, quality, secrets, sharding, simhash, tokens,
-                        warc, wrapper)
+from kairos.llm import (decontaminate, lines, lm, mixing, periodic, phrases, quality, secrets, sharding, simhash,
+                        tokens, warc, wrapper)
 from kairos.llm.common import table
 
 
@@ -119,7 +119,12 @@ def op12_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "start", "n_tokens", F.col("crc32").alias("ids_crc32"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leading collocations of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents", "lang", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_arc_to_warc, op2_wrapper_text, op3_benchmark_containment, op4_simhash_components, op5_blob_ledger_secrets,
     op6_fuzzy_line_dedup, op7_slot_table_placement, op8_robust_quality, op9_bloom_lm_score, op10_pareto_mix,
-    op11_periodic_runs, op12_token_table)}
+    op11_periodic_runs, op12_token_table, op13_collocations)}

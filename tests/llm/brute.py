@@ -163,3 +163,32 @@ def periodic_row(doc_id, text):
     return (doc_id, len(runs), *best, 1000 * best[1] // best[2] if runs else None,
             sha("".join(f"{s},{length},{q}\n" for s, length, q in runs)),
             sha(" ".join(x for i, x in enumerate(w) if i not in drop)))
+
+
+def collocations(docs, least=30, top=2000):
+    """[(lang, rank, phrase, a, l, r, n, score)] of (lang, text) rows."""
+    f, n = collections.Counter(), collections.Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        low = "".join(c.lower() if c.isascii() else c for c in text or "")
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", low):
+            w = re.findall("[^ \t]+", piece)
+            n[lang] += len(w)
+            f.update((lang, tuple(w[i:i + k])) for k in range(1, 5) for i in range(len(w) - k + 1))
+    found = {key: a for key, a in f.items() if len(key[1]) > 1 and a >= least}
+    rows = collections.defaultdict(list)
+    for (lang, p), a in found.items():
+        cuts = [(2_000_000 * a // (f[lang, p[:k]] + f[lang, p[k:]]), k) for k in range(1, len(p))]
+        score, k = min(cuts)
+        rows[lang].append((-score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]], p))
+    inside = collections.Counter()
+    for (lang, p), a in found.items():
+        for m in range(2, len(p)):
+            for s in range(len(p) - m + 1):
+                key = lang, p[s:s + m]
+                inside[key] = max(inside[key], a)
+    out = []
+    for lang, some in rows.items():
+        some = sorted(x for x in some if 100 * inside[lang, x[5]] < 80 * -x[1])
+        out += [(lang, i + 1, x[2].decode(), -x[1], x[3], x[4], n[lang], -x[0]) for i, x in enumerate(some[:top])]
+    return out
