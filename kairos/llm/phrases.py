@@ -36,7 +36,7 @@ TOP = 2000
 #: Bits of a hash inside its partition; partitions per task; bytes of text for one merging task.
 REST, SPLIT, TASK_BYTES = 28, 4, 12 << 20
 #: Hashes that a task sorts at once, words that it counts at once (numbers of 21 bits), most bits of the filter.
-FLUSH, WORDS, MOST_BITS = 8 << 20, 1_500_000, 1 << 28
+FLUSH, WORDS, MOST_BITS = 4 << 20, 1_500_000, 1 << 28
 
 _END = b"\xff"  # in no UTF-8 text
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r",
@@ -271,7 +271,7 @@ def frequent(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", le
     filters = (summaries.repartition(tasks, "part").sortWithinPartitions("part", "seq")
                .mapInArrow(_merge(least, bits), "part int, bits binary"))
     whole = bytearray(parts * bits // 8)
-    for r in filters.toLocalIterator():
+    for r in filters.collect():  # ``whole`` in parts
         whole[r["part"] * bits // 8:(r["part"] + 1) * bits // 8] = r["bits"]
     sent = spark.sparkContext.broadcast(bytes(whole))
     counts = lean.mapInArrow(_count(parts, bits, sent), "lang string, n int, phrase string, c long")
