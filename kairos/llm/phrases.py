@@ -35,23 +35,42 @@ INSIDE = 80
 TOP = 2000
 #: Bits of a hash inside its partition; partitions per task; bytes of text for one merging task.
 REST, SPLIT, TASK_BYTES = 28, 4, 12 << 20
-#: Hashes that a task sorts at once, words that it counts at once (numbers of 21 bits), most bits of the filter.
-FLUSH, WORDS, MOST_BITS = 4 << 20, 1_500_000, 1 << 28
+#: Hashes that a task sorts at once, bytes and words that it counts at once (numbers of 21 bits), most bits of the filter.
+FLUSH, GROUP, WORDS, MOST_BITS = 4 << 20, 3 << 20, 1_500_000, 1 << 28
 
 _END = b"\xff"  # in no UTF-8 text
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r",
                          b"abcdefghijklmnopqrstuvwxyz " + _END * 10)
 
 
+def _groups(batch):
+    """(lang, text) with texts of a language joined, or parted where a piece ends, to about GROUP bytes."""
+    by: dict[str, list[bytes]] = {}
+    size: dict[str, int] = {}
+    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+        text = text.translate(_TABLE) if text else b""
+        while len(text) > GROUP:
+            cut = text.rfind(_END, 0, GROUP) if _END in text[:GROUP] else text.find(_END, GROUP)
+            if cut <= 0:
+                break
+            yield lang, text[:cut]
+            text = text[cut + 1:]
+        if not text:
+            continue
+        by.setdefault(lang, []).append(text)
+        size[lang] = size.get(lang, 0) + len(text)
+        if size[lang] > GROUP:
+            yield lang, _END.join(by.pop(lang))
+            del size[lang]
+    for lang, texts in by.items():
+        yield lang, _END.join(texts)
+
+
 def _segments(batches):
-    """(lang, distinct words, numbers of the words, those that end a piece, starts) per language and batch."""
+    """(lang, distinct words, numbers of the words, those that end a piece, starts) of joined texts."""
     for batch in batches:
-        by: dict[str, list[bytes]] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-            if text:
-                by.setdefault(lang, []).append(text.translate(_TABLE))
-        for lang, texts in by.items():
-            words = _END.join(texts).replace(_END, b" " + _END + b" ").split()
+        for lang, text in _groups(batch):
+            words = text.replace(_END, b" " + _END + b" ").split()
             for s in range(0, len(words), WORDS):
                 some = pa.array(words[s:s + WORDS + LONGEST - 1], pa.binary()).dictionary_encode()
                 distinct, codes = some.dictionary.to_pylist(), some.indices.to_numpy()
@@ -271,7 +290,7 @@ def frequent(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", le
     filters = (summaries.repartition(tasks, "part").sortWithinPartitions("part", "seq")
                .mapInArrow(_merge(least, bits), "part int, bits binary"))
     whole = bytearray(parts * bits // 8)
-    for r in filters.collect():  # ``whole`` in parts
+    for r in filters.collect():  # parts of ``whole``
         whole[r["part"] * bits // 8:(r["part"] + 1) * bits // 8] = r["bits"]
     sent = spark.sparkContext.broadcast(bytes(whole))
     counts = lean.mapInArrow(_count(parts, bits, sent), "lang string, n int, phrase string, c long")

@@ -61,6 +61,8 @@ def test_cuts_of_long_texts_change_no_count(monkeypatch):
     whole = counts()
     monkeypatch.setattr(phrases, "WORDS", 57)
     assert counts() == whole and len(whole) > 10_000
+    monkeypatch.setattr(phrases, "GROUP", 300)
+    assert counts() == whole
     monkeypatch.setattr(phrases, "FLUSH", 500)
     mass = sum(r["mass"] for out in phrases._summarise(7)([batch]) for r in out.to_pylist() if not r["seq"])
     assert mass == sum(c for k, c in whole.items() if k[1])
