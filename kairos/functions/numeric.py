@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,3 +34,18 @@ def scale_by(c, mean: float, sd: float) -> Column:
     if sd is None or sd == 0 or mean is None:
         return F.lit(None).cast("double")
     return (_c(c) - F.lit(float(mean))) / F.lit(float(sd))
+
+
+def chi2_tail(x: float, df: int) -> float:
+    """P(χ² > x) for ``df`` degrees of freedom: the normal tail (odd df) or 1 (even df) and a finite sum."""
+    if df < 1:
+        raise ValueError("df must be at least 1")
+    if not x > 0:
+        return 1.0 if x <= 0 else math.nan
+    half = x / 2.0
+    term = math.exp(-half) * (1.0 if df % 2 == 0 else math.sqrt(half) * 2.0 / math.sqrt(math.pi))
+    total = 0.0 if df % 2 == 0 else math.erfc(math.sqrt(half))
+    for k in range(df // 2 if df % 2 == 0 else (df - 1) // 2):
+        total += term
+        term *= half / (k + (1.0 if df % 2 == 0 else 1.5))
+    return total

@@ -10,7 +10,8 @@ closed form given Σ log|K_i|.  Each evaluation of a batch of candidate L's
 is one distributed pass over the per-entity Gram table (``mapInPandas``
 partial sums + grouped sum + one ``applyInPandas`` per (stratum, candidate));
 the driver only sees (stratum, candidate, log-likelihood) triples and picks
-the next batch (grid refinement for q = 1, batched pattern search for q = 2).
+the next batch (grid refinement for q = 1).  With slopes, each pass also sums the
+score and the Hessian (``newton``) and the search takes Newton steps.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kairos.functions.numeric import chi2_tail
 from kairos.operators.panel import join_groups
+from kairos.operators.newton import (TOLERANCE, candidates, entity_sums, newton_step, score_and_hessian, starts,
+                                     symmetric)
 from kairos.operators.gram import INTERCEPT, Design, ModelSpec, gram_table, resolve_design, stratum_totals, unpack
 
 LOG2PI = math.log(2 * math.pi)
@@ -116,8 +120,6 @@ class MixedModel:
                                  share.design.dropped)
             self.m = share.m
             self.gram, self.totals, self.n_entities = share.gram, share.totals, share.n_entities
-            if share.q == 1 and share.spec.method == spec.method and share.fits:
-                self._seed = {st: float(f.params[0]) for st, f in share.fits.items()}
         else:
             self.design = resolve_design(df, spec)
             self.m = len(self.design.terms) + 1
@@ -129,6 +131,7 @@ class MixedModel:
                 raise ValueError(f"random-effect column aliased in stratum {s}")
         self.converged: dict[str, bool] = {}
         self.max_expand, self.max_rounds = max_expand, max_rounds
+        self.jobs = 0       # passes over the Gram table that a search of several random effects took
         self.fits = self._optimise() if optimise else {}
         lost = sorted(s for s, ok in self.converged.items() if not ok)
         if lost and strict:
@@ -186,15 +189,12 @@ class MixedModel:
                         vec = np.column_stack([corr, ld])
                         acc[s] = acc[s] + vec if s in acc else vec
                 else:
-                    for s, g in zip(pdf["_stratum"], pdf["g"]):
+                    for s, sub in pdf.groupby("_stratum", sort=False):
                         if s not in Ls:
                             continue
-                        G = unpack(np.asarray(g, dtype=np.float64), m)
-                        vec = np.empty((len(Ls[s]), tri + 1))
-                        for ci, L in enumerate(Ls[s]):
-                            C, ld = correction(G, L)
-                            vec[ci, :tri] = C[iu]
-                            vec[ci, tri] = ld
+                        G = symmetric(np.stack(sub["g"].to_numpy()), m)
+                        vec = np.stack([entity_sums(G, L, derivatives=False) for L in Ls[s]])
+                        vec = np.column_stack([vec[:, :m * m].reshape(-1, m, m)[:, iu[0], iu[1]], vec[:, m * m]])
                         acc[s] = acc[s] + vec if s in acc else vec
             if acc:
                 parts = []
@@ -297,52 +297,90 @@ class MixedModel:
             best = {s: int(np.argmax(ll[s])) for s in strata}
         return {s: cur[s][best[s]] for s in strata}
 
-    def _search_q2(self, start: dict[str, float]) -> dict[str, np.ndarray]:
-        strata = list(self.totals)
-        center = {s: np.array([start[s], 0.0, 0.0]) for s in strata}
-        step = {s: np.full(3, max(start[s], 0.05) * 0.5) for s in strata}
-        r = (-3, -2, -1, 0, 1, 2, 3)
-        offs = np.array([(a, b, c) for a in r for b in r for c in r])
+    def _derivatives(self, cands: dict[str, list[np.ndarray]]) -> dict[str, list[tuple]]:
+        """Log-likelihood with its derivatives of every candidate of every stratum, in one job.
+
+        Sums travel as (stratum, candidate, k, v) with map-side partial sums; a candidate at which the
+        columns degenerate has a likelihood of minus infinity."""
+        q, m = self.q, self.m
+        Ls = {s: [lower(c, q) for c in cs] for s, cs in cands.items()}
+
+        def partial(batches):
+            acc: dict = {}
+            for pdf in batches:
+                for s, sub in pdf.groupby("_stratum", sort=False):
+                    if s in Ls:
+                        G = symmetric(np.stack(sub["g"].to_numpy()), m)
+                        vec = np.stack([entity_sums(G, L) for L in Ls[s]])
+                        acc[s] = acc[s] + vec if s in acc else vec
+            for s, vec in acc.items():
+                k, n = vec.shape
+                yield pd.DataFrame({"_stratum": s, "cand": np.repeat(np.arange(k, dtype=np.int32), n),
+                                    "k": np.tile(np.arange(n, dtype=np.int32), k), "v": vec.ravel()})
+
+        long = (self.gram.select("_stratum", "g").mapInPandas(partial, "_stratum string, cand int, k int, v double")
+                .groupBy("_stratum", "cand", "k").agg(F.sum("v").alias("v")).toPandas())
+        self.jobs += 1
+        out: dict[str, list[tuple]] = {s: [(-np.inf, None, None, None)] * len(cs) for s, cs in cands.items()}
+        for (s, c), sub in long.groupby(["_stratum", "cand"]):
+            vec = np.zeros(len(sub))
+            vec[sub["k"].to_numpy()] = sub["v"].to_numpy()
+            try:
+                got = score_and_hessian(vec, self.totals[s], Ls[s][c], self.keep[s], self.spec.method)
+            except np.linalg.LinAlgError:
+                continue
+            if np.isfinite(got[0]) and np.isfinite(got[1]).all() and np.isfinite(got[2]).all():
+                out[s][c] = got
+        return out
+
+    def _search_newton(self, start: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+        """Newton and scoring steps in the Cholesky factor of any number of random effects: one job picks the start
+        from a grid (unless given), every other one takes the best of some step lengths."""
+        strata, q = list(self.totals), self.q
+        rms = {s: np.sqrt(np.maximum(np.diag(G)[:q] / G[0, 0], 1e-300)) for s, G in self.totals.items()}
+        scale = {s: x[np.tril_indices(q)[0]] for s, x in rms.items()}
+        if start is None:
+            cands = {s: starts(rms[s]) for s in strata}
+            ll = self._evaluate(cands)
+            self.jobs += 1
+            start = {s: cands[s][int(np.argmax(ll[s]))] for s in strata}
+        at = dict(start)
+        here = {s: x[0] for s, x in self._derivatives({s: [at[s]] for s in strata}).items()}
         done = {s: False for s in strata}
         for _ in range(self.max_rounds):
-            active = [s for s in strata if not done[s]]
-            if not active:
-                break
             cands = {}
-            for s in active:
-                pts = center[s] + offs * step[s]
-                pts[:, 0] = np.abs(pts[:, 0])
-                pts[:, 2] = np.abs(pts[:, 2])
-                cands[s] = [center[s], *pts]
-            ll = self._evaluate(cands)
-            for s in active:
-                b = int(np.argmax(ll[s]))
-                if b == 0 or np.allclose(cands[s][b], center[s]):
-                    step[s] = step[s] / 4.0
+            for s in strata:
+                if done[s] or here[s][1] is None:
+                    continue
+                step, gain = newton_step(here[s][1], here[s][2], scale[s])
+                if gain < TOLERANCE:
+                    at[s], done[s] = at[s] + step, True
                 else:
-                    center[s] = cands[s][b]
-                    step[s] = step[s] / 2.0
-                if step[s].max() < 1e-4 * max(0.1, float(np.abs(center[s]).max())):
+                    cands[s] = candidates(at[s], step, here[s][3])
+            if not cands:
+                break
+            for s, got in self._derivatives(cands).items():
+                best = int(np.argmax([x[0] for x in got]))
+                if got[best][0] > here[s][0]:
+                    at[s], here[s] = cands[s][best], got[best]
+                else:       # no step gains anything that can be told from rounding
                     done[s] = True
-        self.converged.update({s: self.converged.get(s, True) and done[s] for s in strata})
-        return center
+        self.converged.update(done)
+        for s, x in at.items():
+            L = lower(x, q)
+            at[s] = (L * np.where(np.diag(L) < 0, -1.0, 1.0))[np.tril_indices(q)]    # the factor with no negative diagonal
+        return at
 
     def _optimise(self) -> dict[str, StratumFit]:
         strata = list(self.totals)
         if self.q == 0:
             params = {s: np.zeros(0) for s in strata}
             final = {s: (np.zeros((self.m, self.m)), 0.0) for s in strata}
-        elif self.q == 2 and getattr(self, "_seed", None):
-            params = self._search_q2(self._seed)
+        elif self.q == 1:
+            params = {s: np.array([v]) for s, v in self._search_q1().items()}
             final = self._final(params)
         else:
-            s1 = self._search_q1()
-            if self.q == 1:
-                params = {s: np.array([s1[s]]) for s in strata}
-            elif self.q == 2:
-                params = self._search_q2(s1)
-            else:
-                raise NotImplementedError("at most one random slope")
+            params = self._search_newton()
             final = self._final(params)
         fits = {}
         for s in strata:
@@ -477,12 +515,6 @@ def predictor(model: MixedModel, overrides: dict | None = None):
 
 
 def lr_test(ll_small: float, ll_big: float, df: int) -> tuple[float, float]:
-    """Likelihood-ratio statistic and χ² upper-tail p (df 1 or 2 closed form)."""
+    """Likelihood-ratio statistic and χ² upper-tail p for any degrees of freedom."""
     stat = max(2.0 * (ll_big - ll_small), 0.0)
-    if df == 1:
-        p = math.erfc(math.sqrt(stat / 2.0))
-    elif df == 2:
-        p = math.exp(-stat / 2.0)
-    else:
-        raise ValueError("df must be 1 or 2")
-    return stat, p
+    return stat, chi2_tail(stat, df)
