@@ -3,36 +3,17 @@ detrended re-estimation (M7, M9, M10, M12, M13, M14)."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from kairos.functions.tails import chi2_upper_tail, normal_upper_tail
 from kairos.operators.gram import ModelSpec
 from kairos.operators.mixed import MixedModel, predictor
 from kairos.operators.series import rolling_mean
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_upper_tail(z: pd.Series) -> pd.Series:
-    """P(Z > z) for a standard normal (``pnorm(z, lower.tail = FALSE)``)."""
-    v = z.to_numpy(dtype=np.float64)
-    out = np.array([0.5 * math.erfc(x / math.sqrt(2.0)) if np.isfinite(x) else np.nan for x in v])
-    return pd.Series(out)
-
-
-@F.pandas_udf(T.DoubleType())
-def chi2_1_upper_tail(x: pd.Series) -> pd.Series:
-    """P(χ²₁ > x) = erfc(√(x/2))."""
-    v = x.to_numpy(dtype=np.float64)
-    out = np.array([math.erfc(math.sqrt(t / 2.0)) if np.isfinite(t) and t >= 0 else np.nan for t in v])
-    return pd.Series(out)
-
-
 def score(df: DataFrame, model: MixedModel, overrides: dict | None = None, fitted: str = "fitted",
           resid: str | None = "resid") -> DataFrame:
     """Fitted values (fixed + BLUP) and residuals; ``overrides`` pins
@@ -76,7 +57,7 @@ def het_test(effects: DataFrame, pairs: Sequence[tuple[str, str]] | None = None,
     j = j.withColumn("pooled_beta", (F.col("b1") / v1 + F.col("b2") / v2) / (1 / v1 + 1 / v2))
     j = j.withColumn("cochran", (F.col("b1") - F.col("pooled_beta")) ** 2 / v1
                      + (F.col("b2") - F.col("pooled_beta")) ** 2 / v2)
-    j = j.withColumn("p_cochran", chi2_1_upper_tail(F.col("cochran")))
+    j = j.withColumn("p_cochran", chi2_upper_tail("cochran", 1))
     return j.select("s1", "s2", "wald", "p_wald", "pooled_beta", "cochran", "p_cochran")
 
 
