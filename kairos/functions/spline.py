@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kairos.operators.quantiles import global_quantiles
 
+
 def spline_knots(df: DataFrame, col: str, df_spline: int = 3) -> list[float]:
     """Boundary knots at min/max, interior knots at equally spaced quantiles
     (``ns(x, df)``): df + 1 knots, exact."""
@@ -39,3 +41,94 @@ def natural_spline_basis(x: str | Column, knots: Sequence[float], prefix: str =
     for j in range(len(k) - 2):
         out[f"{prefix}{j + 2}"] = d(j) - last
     return out
+
+
+def bspline_place(x: str | Column, low: float, high: float, intervals: int) -> tuple[Column, Column]:
+    """(interval, share of it) of x among equal intervals of [low, high]: null at null and beyond the bounds;
+    the upper bound belongs to the last interval."""
+    if not high > low or intervals < 1:
+        raise ValueError("need low < high and at least one interval")
+    c = (F.col(x) if isinstance(x, str) else x).cast("double")
+    z = (c - F.lit(float(low))) / F.lit((float(high) - float(low)) / intervals)
+    inside = (c >= F.lit(float(low))) & (c <= F.lit(float(high)))
+    at = F.least(F.floor(z), F.lit(intervals - 1))
+    return F.when(inside, at.cast("int")), F.when(inside, z - at)
+
+
+def bspline_parts(u: Column) -> list[Column]:
+    """The four cubic B-splines that are not nought in an interval, at its share u: numbers cell to cell + 3."""
+    return [(1 - u) * (1 - u) * (1 - u) / 6, (3 * u * u * u - 6 * u * u + 4) / 6,
+            (-3 * u * u * u + 3 * u * u + 3 * u + 1) / 6, u * u * u / 6]
+
+
+def bspline_basis(cell: str, share: str, intervals: int) -> list[Column]:
+    """All ``intervals`` + 3 cubic B-splines, from the columns of ``bspline_place``; they add up to 1."""
+    at, parts = F.col(cell), bspline_parts(F.col(share))
+    out = []
+    for j in range(intervals + 3):
+        value = F.when(at.isNotNull(), F.lit(0.0))
+        for k in range(4):
+            if 0 <= j - k < intervals:
+                value = F.when(at == j - k, parts[k]).otherwise(value)
+        out.append(value)
+    return out
+
+
+def _pieces(knots: list[float], i: int, order: int, cell: int) -> np.ndarray:
+    """Cox–de Boor recursion on polynomials: B-spline i of an order in powers of (x − knots[cell]) between
+    knots[cell] and the next."""
+    if order == 1:
+        return np.array([1.0 if i == cell else 0.0])
+    out = np.zeros(order)
+    t0 = knots[cell]
+    width = knots[i + order - 1] - knots[i]
+    if width > 0:
+        p = _pieces(knots, i, order - 1, cell) / width
+        out[:-1] += p * (t0 - knots[i])
+        out[1:] += p
+    width = knots[i + order] - knots[i + 1]
+    if width > 0:
+        p = _pieces(knots, i + 1, order - 1, cell) / width
+        out[:-1] += p * (knots[i + order] - t0)
+        out[1:] -= p
+    return out
+
+
+def natural_pieces(knots: Sequence[float]) -> tuple[list[float], np.ndarray]:
+    """(distinct knots, coefficients[cell, column, power]) of the natural cubic basis.
+
+    The cubic B-splines of the knots, the first left out; their second derivatives at both boundary knots
+    are made nought by leaving the first two columns of Q in the QR factors of those derivatives."""
+    k = [float(v) for v in knots]
+    if len(k) < 2 or any(b <= a for a, b in zip(k, k[1:])):
+        raise ValueError("knots must increase")
+    full = [k[0]] * 3 + k + [k[-1]] * 3
+    n = len(full) - 4
+    cells = range(3, 3 + len(k) - 1)
+    poly = np.array([[_pieces(full, i, 4, c) for i in range(1, n)] for c in cells])        # cell, function, power
+    width = k[-1] - k[-2]
+    second = np.stack([2 * poly[0, :, 2], 2 * poly[-1, :, 2] + 6 * poly[-1, :, 3] * width], axis=1)
+    Q = np.linalg.qr(second, mode="complete")[0]
+    return k, np.einsum("cip,ij->cjp", poly, Q[:, 2:])
+
+
+def natural_basis(x: str | Column, knots: Sequence[float], prefix: str = "ns") -> dict[str, Column]:
+    """The natural cubic spline basis itself (F21): as many columns as knots less one, linear beyond the boundary
+    knots, so that coefficients agree with those of the usual constructor and not the fitted space alone."""
+    c = (F.col(x) if isinstance(x, str) else x).cast("double")
+    k, poly = natural_pieces(knots)
+    out = {}
+    width = k[-1] - k[-2]
+    for j in range(poly.shape[1]):
+        last = poly[-1, j]
+        end = float(last @ width ** np.arange(4))
+        slope = float(last[1] + 2 * last[2] * width + 3 * last[3] * width ** 2)
+        value = F.lit(end) + F.lit(slope) * (c - F.lit(k[-1]))
+        for cell in range(len(k) - 2, -1, -1):
+            u = c - F.lit(k[cell])
+            a = [F.lit(float(v)) for v in poly[cell, j]]
+            value = F.when(c <= F.lit(k[cell + 1]), a[0] + u * (a[1] + u * (a[2] + u * a[3]))).otherwise(value)
+        u = c - F.lit(k[0])
+        out[f"{prefix}{j + 1}"] = F.when(c < F.lit(k[0]), F.lit(float(poly[0, j, 0])) + F.lit(float(poly[0, j, 1])) * u) \
+            .otherwise(value)
+    return out

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from kairos.session import materialize
 
 INTERCEPT = "(Intercept)"
+#: Most levels of a factor that are looked up; more are an error, as each is a column of the model.
+MOST_LEVELS = 1000
 #: Bytes of per-entity matrices that a task holds before it hands them on.
 HELD_BYTES = 64 << 20
 
@@ -72,6 +74,11 @@ def resolve_design(df: DataFrame, spec: ModelSpec) -> Design:
     for c in spec.numeric:
         aggs += [F.avg(F.col(c).cast("double")).alias(f"m__{c}"), F.stddev_samp(F.col(c).cast("double")).alias(f"s__{c}")]
     need = [f for f, lv in spec.factors.items() if lv is None]
+    if need:        # counted first (a bounded sketch): the levels of a wide column are never collected
+        many = df.agg(*[F.approx_count_distinct(F.col(f).cast("string")).alias(f) for f in need]).first()
+        wide = [f for f in need if many[f] > MOST_LEVELS]
+        if wide:
+            raise ValueError(f"more than {MOST_LEVELS} levels in {wide}: list them, or take them as strata or group")
     for f in need:
         aggs.append(F.sort_array(F.collect_set(F.col(f).cast("string"))).alias(f"l__{f}"))
     row = df.agg(*aggs).first() if aggs else None
@@ -140,6 +147,25 @@ def gram_table(df: DataFrame, design: Design, checkpoint: bool = True) -> DataFr
                              "k": np.tile(np.arange(tri, dtype=np.int32), len(acc)),
                              "v": np.concatenate([G[iu] for G in acc.values()])})
 
+    def matrix(sub: pd.DataFrame) -> np.ndarray:
+        """[1, numbers, levels, y] of some rows."""
+        A = np.zeros((len(sub), m))
+        A[:, 0] = 1.0
+        j = 1
+        if n_flag_num:
+            A[:, 1:1 + n_flag_num] = sub[num].to_numpy(dtype=np.float64)
+            j += n_flag_num
+        for c, nl in fac:
+            idx = sub[c].to_numpy().astype(np.int64)
+            rows = np.nonzero(idx >= 2)[0]
+            A[rows, j + idx[rows] - 2] = 1.0
+            j += nl - 1
+        A[:, m - 1] = sub["_y"].to_numpy(dtype=np.float64)
+        return A
+
+    def few_rows_per_key(pdf: pd.DataFrame) -> bool:
+        return m <= 16 and pdf[["_stratum", "_entity"]].drop_duplicates().shape[0] * 64 > len(pdf) > 64
+
     def partial(batches):
         acc: dict = {}
         for pdf in batches:
@@ -148,20 +174,25 @@ def gram_table(df: DataFrame, design: Design, checkpoint: bool = True) -> DataFr
             if len(acc) * m * m * 8 > HELD_BYTES:      # partial sums add up: hand them on and start anew
                 yield sums(acc)
                 acc = {}
+            if few_rows_per_key(pdf):
+                key, names = pd.factorize(pd.MultiIndex.from_frame(pdf[["_stratum", "_entity"]]))
+                order = np.argsort(key, kind="stable")
+                A, starts = matrix(pdf.iloc[order]), np.flatnonzero(np.diff(key[order], prepend=-1))
+                # products of one row at a time, added up per key, in blocks of bounded size
+                block = max(1, HELD_BYTES // (8 * m * m))
+                for s in range(0, len(A), block):
+                    part = A[s:s + block]
+                    at = np.unique(np.r_[0, starts[(starts > s) & (starts < s + block)] - s])
+                    sums_ = np.add.reduceat(part[:, iu[0]] * part[:, iu[1]], at, axis=0)
+                    for k, v in zip(key[order][s + at], sums_):
+                        name = names[k]
+                        acc[name] = acc[name] + unpack(v, m) if name in acc else unpack(v, m)
+                    if len(acc) * m * m * 8 > HELD_BYTES:
+                        yield sums(acc)
+                        acc = {}
+                continue
             for (sk, ek), sub in pdf.groupby(["_stratum", "_entity"], sort=False):
-                n = len(sub)
-                A = np.zeros((n, m))
-                A[:, 0] = 1.0
-                j = 1
-                if n_flag_num:
-                    A[:, 1:1 + n_flag_num] = sub[num].to_numpy(dtype=np.float64)
-                    j += n_flag_num
-                for c, nl in fac:
-                    idx = sub[c].to_numpy().astype(np.int64)
-                    rows = np.nonzero(idx >= 2)[0]
-                    A[rows, j + idx[rows] - 2] = 1.0
-                    j += nl - 1
-                A[:, m - 1] = sub["_y"].to_numpy(dtype=np.float64)
+                A = matrix(sub)
                 G = A.T @ A
                 key = (sk, ek)
                 if key in acc:

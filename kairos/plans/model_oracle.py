@@ -206,6 +206,10 @@ SELECT day AS date, {r('act')} AS pred_actual, {r('cf')} AS pred_counterf,
        {r('CASE WHEN count(*) OVER w = 14 THEN avg(act) OVER w END')} AS roll_actual,
        {r('CASE WHEN count(*) OVER w = 14 THEN avg(cf) OVER w END')} AS roll_counterf
 FROM dy WINDOW w AS (ORDER BY day ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)""")
+SQL["stored_scores"] = (_LI_FIT + ",\n" + _scored("z", "f", "li", _LI_X) + f"""
+SELECT z.e AS entity, CAST(z._post AS INTEGER) AS post, count(*) AS n, {r('avg(z.xb + z.b)')} AS actual,
+       {r('avg(z.xb + z.b - m.b1 * z._post)')} AS counterf, {r('avg(z.res)')} AS resid
+FROM z JOIN f_best m ON z.s = m.s GROUP BY 1, 2""")
 
 _DT_X = ["disc", *[f"_d{i}" for i in range(2, 8)]]
 SQL["detrend_effect"] = (

@@ -14,6 +14,10 @@ from kairos.operators import filters as FL
 from kairos.operators.gram import INTERCEPT, ModelSpec, resolve_design, gram_table
 from kairos.operators.mixed import MixedModel, lr_test
 from kairos.operators.report import detrend_effect, effect_table, het_test, its_series, score
+from kairos.functions.spline import natural_basis, spline_knots
+from kairos.operators.smoother import PenalisedTrend
+from kairos.operators.store import StoredModel, fitted, load
+from kairos.operators.strata import StratifiedOLS
 from kairos.plans.standins import EVENTS_CUT, event_rows, events_panel, indexed_panel, lineitem_its, r6
 
 # Fixed-θ list of the profile-likelihood query (θ = σ_b²/σ²).
@@ -27,7 +31,8 @@ def _li(spark, sf):
 
 
 def _main_spec(**kw) -> ModelSpec:
-    base = dict(outcome="y", numeric=["t", "disc"], flags=["post"], factors={"dow": None}, group="entity")
+    base = dict(outcome="y", numeric=["t", "disc"], flags=["post"], factors={"dow": [str(d) for d in range(1, 8)]},
+                group="entity")
     base.update(kw)
     return ModelSpec(**base)
 
@@ -55,7 +60,7 @@ def gram_matrix(spark: SparkSession, sf: str) -> DataFrame:
 def ols_simple(spark: SparkSession, sf: str) -> DataFrame:
     """M1: per-entity OLS of the outcome on the day index (Gram + solve)."""
     li = _li(spark, sf)
-    m = MixedModel(li, ModelSpec("y", numeric=["t"], strata=["entity"]), "ols")
+    m = StratifiedOLS(li, ModelSpec("y", numeric=["t"], strata=["entity"]), "ols")
     return m.coef.select("stratum", "term", r6("beta").alias("beta"))
 
 
@@ -72,7 +77,7 @@ def lmm_profile_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 def lmm_effect(spark: SparkSession, sf: str) -> DataFrame:
     """M2: random-intercept ML fit of the ITS model; coefficient table."""
-    return _coef_out(MixedModel(_li(spark, sf), _main_spec(), "ri_ml").coef)
+    return _coef_out(fitted(_li(spark, sf), _main_spec(), "ri_ml").coef)
 
 
 def lmm_slopes(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,7 +93,7 @@ def lmm_reml(spark: SparkSession, sf: str) -> DataFrame:
 
 def lmm_ranef(spark: SparkSession, sf: str) -> DataFrame:
     """M8: BLUPs of the random-intercept model."""
-    r = MixedModel(_li(spark, sf), _main_spec(), "ri_ml").ranef
+    r = fitted(_li(spark, sf), _main_spec(), "ri_ml").ranef
     return r.select("model", "stratum", "entity", "term", r6("blup", 4).alias("blup"))
 
 
@@ -122,13 +127,13 @@ def _events_model_frame(spark, sf, strata=("weekend",)) -> DataFrame:
     return FE.sequence_index(cc, [*strata, "event_type"], "ts", "time_elapsed", block="2 days")
 
 
-def _strata_model(spark, sf, strata=("weekend",)) -> MixedModel:
+def _strata_model(spark, sf, strata=("weekend",)) -> StoredModel:
     df = _events_model_frame(spark, sf, strata)
     # a factor that is a stratum is constant there
     factors = {} if "time_of_day" in strata else {"time_of_day": [str(h) for h in range(24)]}
     spec = ModelSpec("value_mean", numeric=["time_elapsed", "k_mean"], flags=["intervention"], factors=factors,
                      group="event_type", strata=list(strata))
-    return MixedModel(df, spec, "strata_" + "_".join(strata))
+    return fitted(df, spec, "strata_" + "_".join(strata))
 
 
 def strata_effects(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,15 +159,25 @@ def het_test_q(spark: SparkSession, sf: str) -> DataFrame:
 def its_counterfactual(spark: SparkSession, sf: str) -> DataFrame:
     """Daily actual vs counterfactual predictions and 14-day means."""
     li = _li(spark, sf)
-    m = MixedModel(li, _main_spec(), "ri_ml")
+    m = fitted(li, _main_spec(), "ri_ml")
     s = its_series(li, m, "post", "t", "day", k=14)
     return s.select("date", *[r6(c, 4).alias(c) for c in ("pred_actual", "pred_counterf", "roll_actual", "roll_counterf")])
 
 
+def stored_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The main model saved, loaded from its folder alone, and scored: mean prediction, counterfactual
+    and residual per entity and period."""
+    li = _li(spark, sf)
+    m = load(spark, fitted(li, _main_spec(), "ri_ml").path)
+    s = score(score(li, m, fitted="actual"), m, overrides={"post": 0.0}, fitted="counterf", resid=None)
+    return s.groupBy("entity", F.col("post").cast("int").alias("post")).agg(
+        F.count(F.lit(1)).alias("n"), *[r6(F.avg(c), 4).alias(c) for c in ("actual", "counterf", "resid")])
+
+
 def detrend_effect_q(spark: SparkSession, sf: str) -> DataFrame:
     """M7: residualise outcome and flag on covariates (REML RI), then OLS."""
     li = _li(spark, sf)
-    res = detrend_effect(li, "y", "post", "t", ["disc"], {"dow": None}, "entity")
+    res = detrend_effect(li, "y", "post", "t", ["disc"], {"dow": [str(d) for d in range(1, 8)]}, "entity")
     return _coef_out(res["ols"].coef)
 
 
@@ -195,6 +210,7 @@ MODEL_QUERIES = {
     "hourly_effects": hourly_effects,
     "het_test": het_test_q,
     "its_counterfactual": its_counterfactual,
+    "stored_scores": stored_scores,
     "detrend_effect": detrend_effect_q,
     "residual_outliers": residual_outliers,
 }
@@ -207,9 +223,35 @@ def trend_smoother(spark: SparkSession, sf: str) -> DataFrame:
     p = indexed_panel(spark, sf).withColumn("idx", F.col("idx").cast("double"))
     knots = spline_knots(p.where(F.col("value_mean").isNotNull()), "idx", 3)
     p = p.withColumns(natural_spline_basis("idx", knots))
-    m = MixedModel(p, ModelSpec("value_mean", numeric=["ns1", "ns2", "ns3"], strata=["event_type"]), "smoother")
-    s = score(p, m, fitted="trend", resid=None)
+    m = StratifiedOLS(p, ModelSpec("value_mean", numeric=["ns1", "ns2", "ns3"], strata=["event_type"]), "smoother")
+    s = m.score(p, fitted="trend", resid=None)
     return s.select("event_type", "ts", r6("value_mean").alias("value_mean"), r6("trend", 4).alias("trend"))
 
 
 MODEL_QUERIES["trend_smoother"] = trend_smoother
+
+
+def _outcome_span(p: DataFrame) -> tuple[float, float]:
+    row = p.where(F.col("value_mean").isNotNull()).agg(F.min("idx"), F.max("idx")).first()
+    return float(row[0]), float(row[1])
+
+
+def penalised_trend(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-entity penalised B-spline trend of the hourly outcome, its smoothness chosen by
+    generalised cross-validation."""
+    p = indexed_panel(spark, sf).withColumn("idx", F.col("idx").cast("double"))
+    trend = PenalisedTrend(p, "value_mean", "idx", *_outcome_span(p), strata=["event_type"], intervals=12)
+    s = trend.score(p, penalty="penalty")
+    return s.select("event_type", "ts", r6("value_mean").alias("value_mean"), r6("trend", 4).alias("trend"),
+                    r6("penalty", 4).alias("penalty"))
+
+
+def spline_basis(spark: SparkSession, sf: str) -> DataFrame:
+    """natural cubic spline basis (3 columns) of the hourly covariate, at every hour that has one."""
+    p = events_panel(spark, sf).where(F.col("k_mean").isNotNull())
+    basis = natural_basis("k_mean", spline_knots(p, "k_mean", 3))
+    return p.select("event_type", "ts", *[r6(c).alias(n) for n, c in basis.items()])
+
+
+MODEL_QUERIES["penalised_trend"] = penalised_trend
+MODEL_QUERIES["spline_basis"] = spline_basis
