@@ -61,9 +61,9 @@ def bspline_parts(u: Column) -> list[Column]:
             (-3 * u * u * u + 3 * u * u + 3 * u + 1) / 6, u * u * u / 6]
 
 
-def bspline_basis(cell: str, share: str, intervals: int) -> list[Column]:
-    """All ``intervals`` + 3 cubic B-splines, from the columns of ``bspline_place``; they add up to 1."""
-    at, parts = F.col(cell), bspline_parts(F.col(share))
+def bspline_basis(cell: str, parts: Sequence[str], intervals: int) -> list[Column]:
+    """All ``intervals`` + 3 cubic B-splines, from columns with the interval and its four parts; they add up to 1."""
+    at, parts = F.col(cell), [F.col(p) for p in parts]
     out = []
     for j in range(intervals + 3):
         value = F.when(at.isNotNull(), F.lit(0.0))

@@ -110,24 +110,6 @@ def column_summary(df: DataFrame, by: Sequence[str], col: str, approx: bool = Fa
                       F.col("_q")[2].alias("q3"), "max", "n_na"))
 
 
-def correlation_matrix(df: DataFrame, time_col: str, entity_col: str, value_col: str,
-                       entities: Sequence[str]) -> DataFrame:
-    """Pearson correlation between entity series aligned on time.
-
-    ``use = "na.or.complete"``: only time points where every entity has a value.
-    Entities are pivoted wide with an explicit list (the matrix is |E|² anyway),
-    then every pair is one ``corr`` in a single aggregate.  Output long:
-    (entity_1, entity_2, corr).
-    """
-    ents = list(entities)
-    wide = df.groupBy(time_col).pivot(entity_col, ents).agg(F.first(value_col)).na.drop(subset=ents)
-    pairs = [(a, b) for a in ents for b in ents]
-    row = wide.agg(*[F.corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    stack = F.explode(F.array(*[F.struct(F.lit(a).alias("entity_1"), F.lit(b).alias("entity_2"),
-                                         F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]))
-    return row.select(stack.alias("s")).select("s.*")
-
-
 def histogram(df: DataFrame, col: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
     """``bins`` equal-width bins whose first and last are centred on min and max.
 

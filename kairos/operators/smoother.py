@@ -26,6 +26,7 @@ from kairos.session import materialize
 
 #: Penalties tried: thirds of a power of ten from 1e-4 to 1e6.
 PENALTIES = tuple(10.0 ** (i / 3.0) for i in range(-12, 19))
+PARTS = tuple(f"_part{k}" for k in range(4))
 _FIT = "stratum string, n long, penalty double, edf double, gcv double, coefs array<double>"
 
 
@@ -67,7 +68,7 @@ class PenalisedTrend:
         self.names = [f"_bs{j}" for j in range(intervals + 3)]
         self.spec = ModelSpec(outcome, flags=self.names, strata=list(strata), scale=False)
         placed = self._placed(df)
-        with_basis = placed.withColumns(dict(zip(self.names, bspline_basis("_cell", "_share", intervals))))
+        with_basis = placed.withColumns(dict(zip(self.names, bspline_basis("_cell", PARTS, intervals))))
         gram = gram_table(with_basis, resolve_design(with_basis, self.spec))
         m = len(self.names) + 2
 
@@ -84,7 +85,8 @@ class PenalisedTrend:
 
     def _placed(self, df: DataFrame) -> DataFrame:
         cell, share = bspline_place(self.x, *self.bounds, self.intervals)
-        return df.withColumns({"_cell": cell, "_share": share})
+        return df.withColumns({"_cell": cell, "_share": share}).withColumns(
+            dict(zip(PARTS, bspline_parts(F.col("_share"))))).drop("_share")
 
     def score(self, df: DataFrame, trend: str = "trend", penalty: str | None = None) -> DataFrame:
         """``df`` with the trend at every x (rows without an outcome too); null where x is null or beyond the
@@ -93,10 +95,10 @@ class PenalisedTrend:
                                F.col("penalty").alias("_penalty"))
         d = join_groups(self._placed(df).withColumn("_stratum", stratum_key(self.spec)), wide, ["_stratum"])
         value = None
-        for k, part in enumerate(bspline_parts(F.col("_share"))):
-            term = F.element_at("_coefs", F.col("_cell") + (k + 1)) * part
+        for k, part in enumerate(PARTS):
+            term = F.element_at("_coefs", F.col("_cell") + (k + 1)) * F.col(part)
             value = term if value is None else value + term
         d = d.withColumn(trend, value)
         if penalty:
             d = d.withColumn(penalty, F.col("_penalty"))
-        return d.drop("_stratum", "_coefs", "_penalty", "_cell", "_share")
+        return d.drop("_stratum", "_coefs", "_penalty", "_cell", *PARTS)

@@ -6,6 +6,8 @@ oracle SQL in :mod:`kairos.plans.oracle`.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +20,16 @@ from kairos.operators import features as FE
 from kairos.operators import filters as FL
 from kairos.operators import panel as P
 from kairos.operators import series as S
+from kairos.operators.correlation import correlation_blocks
 from kairos.plans.standins import (
     EVENTS_CUT, LINEITEM_CUT, events_hourly, events_panel, indexed_panel, lineitem_its, r6,
 )
 from kairos.sources.landing import flatten_response, request_manifest
-from kairos.session import materialize
+from kairos.session import checkpoint_dir, materialize
+from kairos.sources.sinks import read_years, write_year_files
 from kairos.sources.tables import load_table
 
+
 def panel_complete(spark: SparkSession, sf: str) -> DataFrame:
     """Every event type × every hour, absent hours null."""
     p = events_panel(spark, sf)
@@ -68,19 +73,54 @@ def request_manifest_q(spark: SparkSession, sf: str) -> DataFrame:
                     "state_code", "county_code", "site_code", "bdate", "edate")
 
 
-def json_flatten(spark: SparkSession, sf: str) -> DataFrame:
-    """S3: one JSON response per (event type, hour), a one-row header and an array of data
-    rows, parsed and flattened with the header recycled onto every row."""
+#: Rows of one page of a response, on the average.
+PAGE_ROWS = 1000
+
+
+def json_pages(spark: SparkSession, sf: str, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """JSON responses (event type, hour, page, body): a one-row header and an array of data rows.
+
+    An hour has as many pages as its counted rows need, whatever its size; rows go to pages by a hash of
+    their id.  The header comes from the counts, which partial sums make."""
     ev = load_table(spark, sf, "events", ["event_id", "event_type", "ts", "props"])
-    data = F.collect_list(F.struct("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")))
-    sent = (ev.groupBy("event_type", P.hour_floor("ts").alias("hour"))
-            .agg(F.to_json(F.struct(F.array(F.struct(F.col("event_type").alias("status"), F.count(F.lit(1)).alias("rows")))
-                                    .alias("Header"), data.alias("Data"))).alias("body")))
+    ev = ev.select("event_id", "event_type", P.hour_floor("ts").alias("hour"),
+                   F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    counts = ev.groupBy("event_type", "hour").agg(F.count(F.lit(1)).alias("rows"))
+    paged = P.join_groups(ev, counts, ["event_type", "hour"]).withColumn(
+        "page", F.pmod(F.xxhash64("event_id"), F.ceil(F.col("rows") / F.lit(page_rows))))
+    head = F.array(F.struct(F.col("event_type").alias("status"), F.first("rows").alias("rows")))
+    return (paged.groupBy("event_type", "hour", "page")
+            .agg(F.to_json(F.struct(head.alias("Header"), F.collect_list(F.struct("event_id", "k")).alias("Data")))
+                 .alias("body")))
+
+
+def json_flatten(spark: SparkSession, sf: str) -> DataFrame:
+    """S3: JSON responses of bounded pages, parsed and flattened with the header recycled onto every row."""
     schema = "Header array<struct<status: string, rows: long>>, Data array<struct<event_id: long, k: long>>"
+    sent = json_pages(spark, sf)
     flat = flatten_response(sent.select(F.from_json("body", schema).alias("r")).select("r.*"))
     return flat.select("event_id", F.col("header_status").alias("event_type"), F.col("header_rows").alias("n_rows"), "k")
 
 
+def grid_year_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily values written as time-sorted year files and read back for the years that a small table
+    names: its join prunes the partitions while the query runs.  Monthly means of the study's later years, from the
+    first to the last day with an order still pending."""
+    orders = load_table(spark, sf, "orders", ["o_orderdate", "o_totalprice", "o_orderstatus"])
+    day = F.col("o_orderdate").cast("date")
+    daily = orders.groupBy(day.alias("day")).agg(F.avg("o_totalprice").alias("price"), F.count(F.lit(1)).alias("n"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/year-files-{uuid.uuid4().hex}"
+    write_year_files(daily, path, "day")
+    pending = (orders.where((F.col("o_orderstatus") == "P") & (F.col("o_orderdate") >= F.lit(LINEITEM_CUT).cast("timestamp_ntz")))
+               .groupBy(F.year("o_orderdate").alias("year"))
+               .agg(F.min(day).alias("first_day"), F.max(day).alias("last_day")))
+    rows = read_years(spark, path, pending).where("day BETWEEN first_day AND last_day")
+    out = rows.groupBy("year", F.month("day").alias("month")).agg(
+        F.count(F.lit(1)).alias("days"), F.sum("n").alias("n"), F.avg("price").alias("price"))
+    return out.select(F.col("year").cast("bigint").alias("year"), F.col("month").cast("bigint").alias("month"), "days", "n",
+                      r6("price", 4).alias("price_mean"))
+
+
 def priority_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly 'view' series, filled in by 'click' hours it lacks."""
     h = events_hourly(spark, sf)
@@ -228,9 +268,7 @@ def zone_filter(spark: SparkSession, sf: str) -> DataFrame:
 def corr_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """Correlation of entity series aligned on time, complete hours only."""
     p = events_panel(spark, sf)
-    # The matrix is |entities|² wide, so the entity list is bounded by it.
-    ents = sorted(r[0] for r in p.select("event_type").distinct().collect())
-    c = D.correlation_matrix(p, "ts", "event_type", "value_mean", ents)
+    c = correlation_blocks(p, "ts", "event_type", "value_mean")
     return c.select("entity_1", "entity_2", r6("corr").alias("corr"))
 
 
@@ -345,6 +383,7 @@ QUERIES = {
     "outlier_filter": outlier_filter,
     "zone_filter": zone_filter,
     "corr_matrix": corr_matrix,
+    "grid_year_files": grid_year_files,
     "histogram": histogram,
     "box_stats": box_stats,
     "rolling_mean": rolling_mean,

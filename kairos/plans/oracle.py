@@ -357,3 +357,10 @@ b AS (SELECT *, (m11 * r0 - m01 * r1) / (m00 * m11 - m01 * m01) AS b0,
 SELECT {_r('theta')} AS theta, {_r('b0')} AS beta_int, {_r('b1')} AS beta_post,
        {_r('-nn / 2.0 * (ln(2.0 * pi()) + ln((myy - b0 * r0 - b1 * r1) / nn) + 1.0) - ld / 2.0')} AS loglik
 FROM b"""
+
+SQL["grid_year_files"] = f"""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS price, count(*) AS n FROM orders GROUP BY 1),
+p AS (SELECT year(o_orderdate) AS y, min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi
+      FROM orders WHERE o_orderstatus = 'P' AND o_orderdate >= TIMESTAMP '2000-01-01 00:00:00' GROUP BY 1)
+SELECT p.y AS year, month(day) AS month, count(*) AS days, CAST(sum(n) AS BIGINT) AS n, ROUNDED AS price_mean
+FROM d JOIN p ON year(day) = p.y AND day BETWEEN lo AND hi GROUP BY 1, 2""".replace(
+    "ROUNDED", "(floor(floor(avg(price) * 1e9 + 0.5) / 1e9 * 1e4 + 0.5) / 1e4)")

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kairos.functions.spline import (bspline_basis, bspline_place, natural_basis, natural_pieces,
-                                     natural_spline_basis)
+from kairos.functions.spline import (bspline_basis, bspline_parts, bspline_place, natural_basis,
+                                     natural_pieces, natural_spline_basis)
 from kairos.functions.tails import chi2_upper_tail, erfc, normal_upper_tail
 from kairos.operators.smoother import PenalisedTrend, choose, difference_penalty
 
@@ -28,8 +28,9 @@ def _frame(spark, xs):
 def test_equal_interval_basis(spark):
     xs = [0.0, 0.3, 1.0, 2.49, 2.5, 7.2, 10.0, None, -0.1, 10.1]
     cell, share = bspline_place("x", 0.0, 10.0, 4)
-    df = _frame(spark, xs).withColumns({"c": cell, "u": share})
-    rows = df.select("x", *[b.alias(f"b{j}") for j, b in enumerate(bspline_basis("c", "u", 4))]).collect()
+    df = _frame(spark, xs).withColumns({"c": cell, "u": share}).withColumns(
+        {f"p{k}": p for k, p in enumerate(bspline_parts(F.col("u")))})
+    rows = df.select("x", *[b.alias(f"b{j}") for j, b in enumerate(bspline_basis("c", ["p0", "p1", "p2", "p3"], 4))]).collect()
     t = [2.5 * (j - 3) for j in range(11)]
     for r in rows:
         if r["x"] is None or not 0 <= r["x"] <= 10:
