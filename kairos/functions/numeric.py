@@ -29,13 +29,6 @@ def fill_missing(c, fallback) -> Column:
     return F.when(x.isNull() | F.isnan(x), _c(fallback)).otherwise(x)
 
 
-def scale_by(c, mean: float, sd: float) -> Column:
-    """(x − mean) / sd with precomputed statistics; sd = 0 or null gives null."""
-    if sd is None or sd == 0 or mean is None:
-        return F.lit(None).cast("double")
-    return (_c(c) - F.lit(float(mean))) / F.lit(float(sd))
-
-
 def chi2_tail(x: float, df: int) -> float:
     """P(χ² > x) for ``df`` degrees of freedom: the normal tail (odd df) or 1 (even df) and a finite sum."""
     if df < 1:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairos.operators.panel import join_groups, left_join
-from kairos.functions.calendar import REFERENCE_WEEKEND_DAYS, calendar_columns, intervention_flag
 
 
 def sequence_index(df: DataFrame, partition_cols: Sequence[str], order_col: str, out: str = "time_elapsed",
@@ -76,15 +75,3 @@ def zscore_by(df: DataFrame, col: str, by: Sequence[str], out: str | None = None
     return (join_groups(df, mom, by)
               .withColumn(out, (F.col(col) - F.col("_m")) / F.col("_s"))
               .drop("_m", "_s"))
-
-
-def its_features(df: DataFrame, local_ts: str, cut: str, weekend_days: Sequence[int] = REFERENCE_WEEKEND_DAYS,
-                 flag: str = "intervention") -> DataFrame:
-    """ITS flag + calendar factors from local standard time.
-
-    Everything derives from ``local_ts``; where it is null (no source row) the
-    flag and factors are null too, as in the reference.
-    """
-    cols = {flag: intervention_flag(local_ts, cut)}
-    cols.update(calendar_columns(local_ts, weekend_days))
-    return df.withColumns(cols)

@@ -53,11 +53,6 @@ def complete_panel(obs: DataFrame, entity_cols: Sequence[str], ts_col: str, t0:
     return grid.join(obs, [*entity_cols, ts_col], "left")
 
 
-def expand_range(df: DataFrame, lo: str, hi: str, out: str) -> DataFrame:
-    """One row per integer in [lo, hi] (replicate + per-entity counter)."""
-    return df.withColumn(out, F.explode(F.sequence(F.col(lo).cast("int"), F.col(hi).cast("int"))))
-
-
 def left_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]] | Sequence[str],
               null_safe: bool = False) -> DataFrame:
     """Left equi-join, optionally null-safe (dplyr matches NA to NA).
@@ -115,12 +110,6 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
               .where(F.col("n_rows") > 1))
 
 
-def pivot_wider(df: DataFrame, id_cols: Sequence[str], names_from: str, values_from: str,
-                names: Sequence) -> DataFrame:
-    """Wide pivot with an explicit name list (no extra distinct pass)."""
-    return df.groupBy(*id_cols).pivot(names_from, list(names)).agg(F.first(values_from))
-
-
 def pivot_longer(df: DataFrame, id_cols: Sequence[str], value_cols: Sequence[str],
                  names_to: Sequence[str] = ("variable",), sep: str | None = None,
                  value_name: str = "value") -> DataFrame:
@@ -139,9 +128,8 @@ def pivot_longer(df: DataFrame, id_cols: Sequence[str], value_cols: Sequence[str
                 .drop("_name"))
 
 
-def bind_rows(*dfs: DataFrame) -> DataFrame:
-    """Union by name, missing columns filled with null."""
-    out = dfs[0]
-    for d in dfs[1:]:
-        out = out.unionByName(d, allowMissingColumns=True)
-    return out
+def lookup_join(df: DataFrame, source: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+    """``df`` with ``values`` looked up by ``key`` in the distinct (key, values) rows of ``source``.
+
+    A key that ``source`` lacks gives nulls, one with several values as many rows; a null key finds nothing."""
+    return df.join(source.select(key, *values).distinct(), key, "left")

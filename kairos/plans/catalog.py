@@ -397,8 +397,9 @@ QUERIES = {
 }
 
 from kairos.plans.model_queries import MODEL_QUERIES  # noqa: E402
-
+from kairos.plans.landing_queries import LANDING_QUERIES  # noqa: E402
 from kairos.plans.sensitivity import SENSITIVITY_QUERIES  # noqa: E402
 
 QUERIES.update(MODEL_QUERIES)
 QUERIES.update(SENSITIVITY_QUERIES)
+QUERIES.update(LANDING_QUERIES)

@@ -364,3 +364,19 @@ p AS (SELECT year(o_orderdate) AS y, min(CAST(o_orderdate AS DATE)) AS lo, max(C
 SELECT p.y AS year, month(day) AS month, count(*) AS days, CAST(sum(n) AS BIGINT) AS n, ROUNDED AS price_mean
 FROM d JOIN p ON year(day) = p.y AND day BETWEEN lo AND hi GROUP BY 1, 2""".replace(
     "ROUNDED", "(floor(floor(avg(price) * 1e9 + 0.5) / 1e9 * 1e4 + 0.5) / 1e4)")
+
+SQL["csv_landing"] = f"""WITH {EV_PANEL}
+SELECT event_type, ts, event_type || '_' || strftime(ts, '%Y-%m-%d %H:%M:%S') AS entity_key,
+       {_r('CASE WHEN value_mean < 40 THEN 0.1 ELSE value_mean END')} AS value_clamped, {_r('k_mean')} AS k_mean FROM obs"""
+SQL["response_files"] = f"""WITH {EV_PANEL}
+SELECT event_type, CAST(ts AS DATE) AS day, hour(ts) AS hour, n_events AS n, {_r('value_mean')} AS value_mean, 'Success' AS status,
+       count(*) OVER (PARTITION BY event_type, CAST(ts AS DATE)) AS n_rows FROM obs"""
+SQL["grid_files"] = f"""WITH {EV_PANEL}
+SELECT date_trunc('day', ts) AS ts, strftime(ts, '%Y') AS year, strftime(ts, '%Y%m%d') AS day, hour(ts) AS x,
+       CAST(ascii(event_type) AS BIGINT) AS y, {_r('value_mean')} AS value, n_events AS events FROM obs"""
+SQL["not_in_nulls"] = f"""WITH {EV_PANEL},
+w AS (SELECT event_type, ts, {WEEKEND.format(t='obs_ts')} AS weekend FROM panel)
+SELECT * FROM w WHERE weekend IS NULL OR weekend <> 'weekend'"""
+SQL["series_lookup"] = f"""WITH {EV_PANEL},
+p AS (SELECT date_diff('hour', (SELECT lo FROM bounds), ts) + 1 AS idx, ts, value_mean FROM panel)
+SELECT idx, ts, CAST(ts AS DATE) AS date, {_r('avg(value_mean)')} AS value_mean, count(value_mean) AS n_types FROM p GROUP BY 1, 2"""
