@@ -6,8 +6,10 @@ length, and writes WARC/1.1 files with made-up but stable record ids, ISO
 timestamps, record types and payload digests.  Records whose payload another
 record carries become revisits of it.  Files are written and read by Spark's text
 source with the format's own separators, so any Hadoop file system serves, and
-Python sees one bounded batch at a time.  Only keys and digests are grouped:
-payloads meet their verdict in one equi-join.
+Python sees one bounded batch at a time.  A first reading keeps keys and digests only; those
+of repeated payloads are grouped, and the verdicts (which record is a revisit, of which) meet
+the records of a second reading: broadcast while they are counted few, so that payloads
+go from ARC to WARC within a task, else by an equi-join of deflated payloads.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairos.llm.common import configure
+from kairos.llm.common import configure, materialize
 from kairos.session import checkpoint_dir
 
 # The field names of the two ARC versions.
@@ -33,6 +35,8 @@ ARC_FIELDS = {
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset",
         "Filename", "Archive-length"),
 }
+#: Verdicts (about 200 bytes each) that may be broadcast.
+BROADCAST_VERDICTS = 100_000
 ARC_END, WARC_END = "\n", "\r\n\r\n"
 DATE = "20240101000000"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -87,7 +91,7 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
 
 def _write(values: DataFrame, path: str, end: str) -> None:
     (values.select(F.col("value").cast("string")).write.option("lineSep", end).option("compression", "gzip")
-     .text(path))
+     .option("zlib.compress.level", "BEST_SPEED").text(path))
 
 
 def _pieces(spark: SparkSession, path: str, end: str) -> DataFrame:
@@ -153,8 +157,9 @@ def _number(head: bytes, name: bytes) -> int | None:
     return int(m[1]) if m else None
 
 
-def read_arc(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
-    """One row (RECORD) per ARC record under ``path``; payloads deflated if ``packed``, to be shuffled."""
+def read_arc(spark: SparkSession, path: str, packed: bool = False, payloads: bool = True) -> DataFrame:
+    """One row (RECORD) per ARC record under ``path``; payloads deflated if ``packed``, to be shuffled, and
+    null without ``payloads``."""
     configure(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +169,8 @@ def read_arc(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
             name, ordinal, version, f, body = got
             head, payload = _split_http(body)
             return (name or file, ordinal, version, f["URL"], f["IP-address"], f["Archive-date"], f["Content-type"],
-                    f.get("Result-code", "-"), head, zlib.compress(payload) if packed else payload, _number(head, b"X-Page-Id"), len(payload),
-                    sha1_base32(payload))
+                    f.get("Result-code", "-"), head, (zlib.compress(payload) if packed else payload) if payloads else None,
+                    _number(head, b"X-Page-Id"), len(payload), sha1_base32(payload))
 
         schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "int": pa.int32(),
                                  "binary": pa.binary()}[k]) for n, k in (x.split() for x in RECORD.split(", "))])
@@ -211,14 +216,19 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, revisit_from: in
     largest page id is the response (ties: the last by file name and position), the
     others are revisits of it.  Records without a page id come before all others.
     """
-    records = read_arc(spark, arc_path, packed=True)
     last = F.struct("page_id", "arc", "ordinal", "url", "date")
-    best = (records.where(F.col("payload_bytes") >= revisit_from).groupBy("digest", "payload_bytes")
-            .agg(F.max(last).alias("best")))
+    keys = materialize(read_arc(spark, arc_path, payloads=False).where(F.col("payload_bytes") >= revisit_from).select(
+        "arc", "ordinal", "page_id", "url", "date", "digest", "payload_bytes"))
+    best = (keys.groupBy("digest", "payload_bytes").agg(F.max(last).alias("best"), F.count(F.lit(1)).alias("n"))
+            .where("n > 1").drop("n"))
+    verdicts = materialize(keys.join(best, ["digest", "payload_bytes"])
+                           .where((F.col("best.arc") != F.col("arc")) | (F.col("best.ordinal") != F.col("ordinal")))
+                           .select("arc", "ordinal", "best"))
+    few = verdicts.count() <= BROADCAST_VERDICTS
+    records = read_arc(spark, arc_path, packed=not few)
+    told = records.join(F.broadcast(verdicts) if few else verdicts, ["arc", "ordinal"], "left").withColumn(
+        "keep", F.col("best").isNotNull())
     payload = F.when(~F.col("keep"), F.col("payload"))
-    told = records.join(best, ["digest", "payload_bytes"], "left").withColumn(
-        "keep", F.coalesce((F.col("best.arc") != F.col("arc")) | (F.col("best.ordinal") != F.col("ordinal")),
-                           F.lit(False)))
     told = told.select("arc", "ordinal", "url", "ip", "date", "mime", "head", payload.alias("payload"), "page_id",
                        "digest", F.col("keep").alias("revisit"), F.col("best.arc").alias("to_arc"),
                        F.col("best.ordinal").alias("to_ordinal"), F.col("best.url").alias("to_url"),
@@ -244,7 +254,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, revisit_from: in
                     ("WARC-Refers-To-Target-URI", r["to_url"] if again else None),
                     ("WARC-Refers-To-Date", iso_date(r["to_date"]) if again else None),
                     ("X-Page-Id", r["page_id"]), ("X-Refers-To-Page-Id", r["to_page"] if again else None)],
-                    r["head"] + (zlib.decompress(r["payload"]) if r["payload"] else b"")))
+                    r["head"] + ((r["payload"] if few else zlib.decompress(r["payload"])) if r["payload"] else b"")))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
             rows = []
         if rows:

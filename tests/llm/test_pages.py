@@ -28,7 +28,10 @@ def pages(spark):
     return spark.createDataFrame(_pages(), PAGE).repartition(3)
 
 
-def test_round_trip_gives_every_payload_and_type(pages):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_round_trip_gives_every_payload_and_type(pages, monkeypatch, few):
+    """Verdicts broadcast, and joined by shuffle."""
+    monkeypatch.setattr(warc, "BROADCAST_VERDICTS", few)
     more = pages.select("*", *[F.lit(1).alias(c) for c in ("id", "u", "h", "arc", "digest", "record_type")])
     got = warc.archive_round_trip(more).collect()
     want = []
