@@ -4,11 +4,15 @@ Lines are compared by their sets of character shingles.  A line's signature is
 MinHash over bins of one hash (one permutation, empty bins borrow from filled
 ones); lines with few shingles get a signature of separate permutations, and lines
 in between get both, so that similar lines always share a kind.  Signatures are cut
-into bands.  All lines that meet in a band are compared exactly, inside tasks: a
-band is cut into blocks, each pair of blocks is one bounded group, its intersections
-are one matrix product, and only a spanning forest of its links leaves the task.  So
-no pair is ever a row, and no link between two lines of a band is lost.  Bands that hold
-the same lines are compared once; copies of one line are one node from the start.
+into bands.  All lines that meet in a band are compared exactly, inside tasks, in
+bounded groups whose intersections are one matrix product; only a spanning forest of
+a group's links leaves the task.  A large band is compared in two rounds.  First each of
+its blocks meets the first block, whose lines are representatives; a line gets the label of
+those that it is linked to.  Then the lines without the band's commonest label meet all
+others, and pairs of one label are passed over, as they are linked already.  So a band
+of n look-alikes makes about 2 n rows and links, no pair is ever a row, and no link between
+two parts of a band is lost.  Bands that hold the same lines are compared once; copies of
+one line are one node from the start.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ DENSE, SPARSE = 36, 44
 PER_TASK, BROADCAST_KEYS = 2_000_000, 4_000_000
 #: Lines per block; a group is two blocks at most.  Shingle columns per matrix product.
 BLOCK, COLUMNS = 128, 4096
+#: Lines of second rounds (about 40 bytes each) that may be broadcast to fetch their texts.
+BROADCAST_LEFT = 200_000
 
 _RNG = np.random.default_rng(20240101)
 _A = (_RNG.integers(1, 2 ** 32, BINS, np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -205,9 +211,9 @@ def _fetch(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(F.min("line").alias("line"))
 
 
-def _forest(keys: list[int], lines: list[bytes], side: np.ndarray) -> list[tuple[int, int]]:
-    """Links that span the similar lines of one group; of two blocks, only pairs across them are compared."""
-    n = len(keys)
+def _near(lines: list[bytes]) -> np.ndarray:
+    """Which pairs of lines (i < j) are similar."""
+    n = len(lines)
     h, owner = _hashes(lines)
     order = np.argsort(h, kind="stable")                # owners stay in order within a shingle
     h, owner = h[order], owner[order]
@@ -219,16 +225,19 @@ def _forest(keys: list[int], lines: list[bytes], side: np.ndarray) -> list[tuple
     h, owner = h[~alone], owner[~alone]
     both = np.zeros((n, n), np.float32)
     col = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1 if len(h) else np.empty(0, np.int64)
-    for first in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+    top = int(col[-1]) + 1 if len(col) else 0
+    for first in range(0, top, COLUMNS):
         a, b = np.searchsorted(col, [first, first + COLUMNS])
-        m = np.zeros((n, COLUMNS), np.float32)
+        m = np.zeros((n, min(COLUMNS, top - first)), np.float32)
         m[owner[a:b], col[a:b] - first] = 1.0
         both += m @ m.T
     near = both >= JACCARD * (size[:, None] + size[None, :] - both) - 1e-6
-    near &= np.triu(np.ones((n, n), bool), 1)
-    if side.any() and not side.all():
-        near &= side[:, None] != side[None, :]
-    parent = list(range(n))
+    return near & np.triu(np.ones((n, n), bool), 1)
+
+
+def _forest(near: np.ndarray, start: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
+    """(pairs of a spanning forest of ``near``, root of each line), where lines i and start[i] are linked already."""
+    parent = list(start)
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -240,30 +249,69 @@ def _forest(keys: list[int], lines: list[bytes], side: np.ndarray) -> list[tuple
     for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
         r, q = find(i), find(j)
         if r != q:
-            parent[q] = r
-            out.append((keys[i], keys[j]))
-    return out
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each group (band, i, j); rows of a group follow one another."""
-    group, keys, lines, side = None, [], [], []
+            parent[max(r, q)] = min(r, q)       # the first line of a part is its root
+            out.append((i, j))
+    return out, [find(i) for i in range(len(parent))]
 
-    def done() -> list[tuple[int, int]]:
-        return _forest(keys, lines, np.array(side, bool)) if len(keys) > 1 else []
 
+def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[tuple] | None]:
+    """Rows of each group, which follow one another and share their first ``columns`` values; None after a batch."""
+    group, rows = None, []
     for b in batches:
-        out: list[tuple[int, int]] = []
-        for band, i, j, key, line, own in zip(*(c.to_pylist() for c in b.columns)):
-            if (band, i, j) != group:
-                out += done()
-                group, keys, lines, side = (band, i, j), [], [], []
-            keys.append(key)
-            lines.append(zlib.decompress(line))
-            side.append(own == j and i != j)
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
-    out = done()
-    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if row[:columns] != group:
+                if rows:
+                    yield rows
+                group, rows = row[:columns], []
+            rows.append(row)
+        yield None
+    if rows:
+        yield rows
+    yield None
+
+
+_TOLD = pa.schema([("band", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
+
+
+def _told(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], schema=_TOLD)
+
+
+def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of groups (band, block) with rows (band, block, cut, rep, key, line): links (null, u, v), and for bands
+    of several blocks the label v of each line u."""
+    out: list[tuple] = []
+    for rows in _groups(batches, 2):
+        if rows is None:
+            yield _told(out)
+            out = []
+            continue
+        rows.sort(key=lambda r: (not r[3], r[4]))       # representatives first, by key: they give the labels
+        keys = [r[4] for r in rows]
+        links, root = _forest(_near([zlib.decompress(r[5]) for r in rows]), list(range(len(rows))))
+        out += [(None, keys[i], keys[j]) for i, j in links]
+        band, block, cut = rows[0][:3]
+        if cut > 1:
+            out += [(band, k, keys[root[i]]) for i, k in enumerate(keys) if not rows[i][3] or block == 1]
+
+
+def _second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between parts of different labels, of groups (band, i, j) with rows (band, i, j, rest, key, label, line)."""
+    out: list[tuple] = []
+    for rows in _groups(batches, 3):
+        if rows is None:
+            yield _told(out)
+            out = []
+            continue
+        seen: dict[int, int] = {}
+        rows = list({(r[3], r[4]): r for r in rows}.values())
+        label = [seen.setdefault(r[5], i) for i, r in enumerate(rows)]
+        side = np.array([r[3] for r in rows], bool)
+        if len(seen) < 2 or side.all() or not side.any():
+            continue
+        near = _near([zlib.decompress(r[6]) for r in rows])
+        near &= (side[:, None] != side[None, :]) & (np.array(label)[:, None] != np.array(label)[None, :])
+        out += [(None, rows[i][4], rows[j][4]) for i, j in _forest(near, label)[0]]
 
 
 def similar_lines(docs: DataFrame) -> DataFrame:
@@ -282,12 +330,29 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     cut = F.ceil(F.col("n") / BLOCK).cast("int")
     member = member.select("band", "key", cut.alias("cut"), F.pmod(F.xxhash64("key"), cut).cast("int").alias("own"))
     member = member.join(lines, "key")
-    other = F.explode(F.sequence(F.lit(0), F.col("cut") - 1))
-    rows = member.select("band", "key", "line", "own", other.alias("o")).select(
-        "band", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "key", "line", "own")
+    # a band of one block is a group; of more, each block but the first meets the first
+    blocks = F.when((F.col("own") == 0) & (F.col("cut") > 1), F.expr("sequence(1, cut - 1)")).otherwise(F.array("own"))
+    rows = member.select("band", F.explode(blocks).alias("block"), "cut", (F.col("own") == 0).alias("rep"), "key", "line")
     tasks = partitions_for(spark, lines.count(), 5_000)
-    links = (rows.repartition(tasks, "band", "i", "j").sortWithinPartitions("band", "i", "j")
-             .mapInArrow(_compare, "u long, v long"))
+    first = materialize(rows.repartition(tasks, "band", "block").sortWithinPartitions("band", "block")
+                        .mapInArrow(_first_round, "band long, u long, v long"))
+    labels = first.where("band IS NOT NULL").select("band", F.col("u").alias("key"), F.col("v").alias("label"))
+    share = labels.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
+    left = (share.groupBy("band").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("n"))
+            .select("band", F.col("m.label").alias("common"), "n", (F.col("n") - F.col("m.c")).alias("rest"))
+            .where("rest > 0"))
+    part = materialize(labels.join(left, "band"))
+    few = part.count() <= BROADCAST_LEFT
+    part = lines.join(F.broadcast(part) if few else part, "key")
+    mine = lambda of: F.pmod(F.xxhash64("key", F.lit(7)), F.ceil(F.col(of) / BLOCK)).cast("int")
+    every = lambda of: F.explode(F.expr(f"sequence(0, CAST(ceil({of} / {BLOCK}) AS INT) - 1)"))
+    rest = part.where("label <> common").select("band", mine("rest").alias("i"), every("n").alias("j"),
+                                                F.lit(True).alias("rest"), "key", "label", "line")
+    whole = part.select("band", every("rest").alias("i"), mine("n").alias("j"), F.lit(False).alias("rest"), "key", "label",
+                        "line")
+    second = (rest.unionByName(whole).repartition(tasks, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+              .mapInArrow(_second_round, "band long, u long, v long"))
+    links = first.where("band IS NULL").select("u", "v").unionByName(second.select("u", "v"))
     return materialize(connected_components(links))
 
 
