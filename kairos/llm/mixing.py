@@ -4,10 +4,13 @@ Word targets per source come from cycling weights and a total that is a multiple
 of all words; a source is never asked for more than ``MAX_COPIES`` times its
 words, and the excess is reshared by weight until no target is above its limit.
 Every document gets the whole copies that its source's target allows for
-certain; the rest of the target is a Pareto order sample: documents are ranked
-by the odds of a per-document random number divided by the odds of its inclusion
-probability, and the sample is the leading documents whose words meet the rest.
-The random number is a hash of the id, so reruns agree.
+certain; the rest of the target is drawn with unequal probabilities, each
+proportional to the document's words, such that the expected words are the rest.
+Where that would pass 1 the document gets one more whole copy for certain and the
+others share what is left.  The draw is a Pareto order sample: documents are
+ranked by the odds of a per-document random number divided by the odds of their
+inclusion probability, and the sample is the leading documents whose words come
+nearest to the rest.  The random number is a hash of the id, so reruns agree.
 """
 
 from __future__ import annotations
@@ -32,9 +35,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def random_bits(doc_id: Column) -> Column:
-    """52 uniform bits of the document's id (a null id counts as the word null)."""
-    digest = F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def random_bits(doc_id: Column, text: Column) -> Column:
+    """52 uniform bits of the document's id, of its text where the id is null."""
+    named = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
+    digest = F.md5(F.concat(F.lit("mix:"), named))
     return F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long")
 
 
@@ -76,21 +80,55 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
             .select("source", "source_size", "target", "whole", "pi", "rest"))
 
 
+def inclusion(lean: DataFrame, plan: DataFrame) -> DataFrame:
+    """``plan`` with unit, edge and draw: a document of up to ``edge`` words is drawn with probability
+    unit * words, a longer one is taken for certain, and ``draw`` is what the certain ones leave of the rest.
+
+    Longer documents turn certain one length after another until the longest of the others has a
+    probability below 1.  The window runs over the different lengths of a source, which the longest
+    text bounds, whatever the number of documents."""
+    lengths = (lean.where("size > 0").groupBy(F.col("source").alias("s"), "size").agg(F.count(F.lit(1)).alias("c"))
+               .withColumn("w", F.col("c").cast("decimal(38,0)") * F.col("size")))
+    open_ = plan.where("pi > 0").select(F.col("source").alias("s2"), "rest")
+    longer = Window.partitionBy("s").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    others = Window.partitionBy("s").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    steps = (lengths.join(open_, F.col("s").eqNullSafe(F.col("s2")))
+             .withColumn("certain", F.coalesce(F.sum("w").over(longer), F.lit(0)).cast("double"))
+             .withColumn("squares", F.sum(F.col("c").cast("double") * F.col("size") * F.col("size")).over(others))
+             .withColumn("draw", F.col("rest") - F.col("certain"))
+             .withColumn("unit", F.col("draw") / F.col("squares")))
+    first = (steps.where("unit * size < 1").groupBy("s")
+             .agg(F.max(F.struct(F.col("size").alias("edge"), "unit", "draw")).alias("x")))
+    return plan.join(first.select("s", "x.*"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+
+
 def pareto_rank(k: Column, pi: Column) -> Column:
     """Odds of the random number over odds of the inclusion probability."""
     u = (k + F.lit(0.5)) / F.lit(float(1 << BITS))
     return (u / (1 - u)) / (pi / (1 - pi))
 
 
+def pareto_key(k: Column, pi: Column) -> Column:
+    """The Pareto rank as a whole number of BITS bits: rank / (1 + rank), which keeps the order."""
+    rank = pareto_rank(k, pi)
+    return F.floor(rank / (1 + rank) * F.lit(float(1 << BITS))).cast("long")
+
+
+def _drawn(size: Column) -> Column:
+    """Whether a document takes part in the draw."""
+    return (size > 0) & (size <= F.col("edge"))
+
+
 def _cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """(source, cut, at_cut): documents below ``cut`` are in the sample, and the
+    """(source, cut, at_cut): documents whose Pareto key is below ``cut`` are in the sample, and the
     first ``at_cut`` of those that share it.
 
-    Inclusion probabilities are equal within a source, so the Pareto rank there
-    orders documents as the random number k does; the cut is found by sums per
-    histogram bin of k, one more level until the bin that holds it is small."""
-    need = plan.where("pi > 0").select(F.col("source").alias("s"), "rest")
-    rows = rows.join(_bounded(need), F.col("source").eqNullSafe(F.col("s"))).select("s", "id", "size", "k")
+    The cut is found by sums per histogram bin of the key, one more level until the bin that holds
+    it is small."""
+    need = plan.where("unit > 0").select(F.col("source").alias("s"), F.col("draw").alias("rest"))
+    odds = plan.where("unit > 0").select(F.col("source").alias("s"), "unit", "edge")
+    rows = (rows.join(_bounded(odds), F.col("source").eqNullSafe(F.col("s"))).where(_drawn(F.col("size")))
+            .select("s", "id", "size", pareto_key(F.col("k"), F.col("unit") * F.col("size")).alias("k")))
     base = need.withColumn("lo", F.lit(0).cast("long")).withColumn("acc", F.lit(0).cast("long"))
     level, span = 0, BITS
     while True:
@@ -130,20 +168,23 @@ def _bounded(plan: DataFrame) -> DataFrame:
 
 
 def plan_mix(lean: DataFrame) -> DataFrame:
-    """Per source: source_size, target, whole, pi, rest, cut, at_cut; ``lean`` has id, source, size, k."""
-    plan = materialize(targets(lean))
+    """Per source: source_size, target, whole, pi, rest, unit, edge, draw, cut, at_cut; ``lean`` has id, source,
+    size, k."""
+    plan = materialize(inclusion(lean, materialize(targets(lean))))
     cuts = _cuts(lean, plan).withColumnRenamed("source", "s")
     return materialize(plan.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"))
 
 
 def assign(rows: DataFrame, plan: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """``rows`` (columns _id, _source, _size, _k and ``names``) with copies, size, source_size, target."""
-    joined = rows.join(_bounded(plan), F.col("_source").eqNullSafe(F.col("source")))
-    tie = F.row_number().over(Window.partitionBy("_source", "_k").orderBy(F.col("_id").asc_nulls_first(), "_size"))
-    sampled = F.coalesce(F.col("cut").isNotNull() & (F.col("_k") < F.col("cut")), F.lit(False))
+    drawn = F.coalesce(F.col("unit").isNotNull() & _drawn(F.col("_size")), F.lit(False))
+    joined = (rows.join(_bounded(plan), F.col("_source").eqNullSafe(F.col("source")))
+              .withColumn("_rank", F.when(drawn, pareto_key(F.col("_k"), F.col("unit") * F.col("_size")))))
+    tie = F.row_number().over(Window.partitionBy("_source", "_rank").orderBy(F.col("_id").asc_nulls_first(), "_size"))
+    more = F.coalesce((F.col("_size") > F.col("edge")) | (F.col("_rank") < F.col("cut")), F.lit(False))
     out = [*names, F.col("_size").alias("size"), "source_size", "target"]
-    at = F.col("cut").isNotNull() & (F.col("_k") == F.col("cut"))
-    rest = joined.where(~F.coalesce(at, F.lit(False))).withColumn("copies", F.col("whole") + sampled.cast("long"))
+    at = F.coalesce(F.col("_rank") == F.col("cut"), F.lit(False))
+    rest = joined.where(~at).withColumn("copies", F.col("whole") + more.cast("long"))
     edge = joined.where(at).withColumn("copies", F.col("whole") + (tie <= F.col("at_cut")).cast("long"))
     return rest.select(*out, "copies").unionByName(edge.select(*out, "copies"))
 
@@ -152,13 +193,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(id, size, source_size, target, copies) for every row of ``docs``.
 
     Null texts have size 0, a null source is a source of its own (ordered last),
-    a null id has one fixed random number.  Repeated rows are ranked one after
-    another.  Documents without words get the whole copies of their source and
+    a row without an id takes its random number from its text.  Repeated rows are
+    ranked one after another.  Documents without words get the whole copies of their source and
     never change its words.  An empty table gives no rows.
     """
     configure(docs.sparkSession)
     lean = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                                   word_count(F.col(text_col)).alias("size"), random_bits(F.col(id_col)).alias("k")))
+                                   word_count(F.col(text_col)).alias("size"), random_bits(F.col(id_col), F.col(text_col)).alias("k")))
     plan = plan_mix(lean)
     rows = lean.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
                        F.col("k").alias("_k"))
@@ -170,10 +211,10 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents themselves, each as often as the mix takes it, with the columns of ``docs``."""
     configure(docs.sparkSession)
     lean = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                                   word_count(F.col(text_col)).alias("size"), random_bits(F.col(id_col)).alias("k")))
+                                   word_count(F.col(text_col)).alias("size"), random_bits(F.col(id_col), F.col(text_col)).alias("k")))
     plan = plan_mix(lean)
     whole = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"),
-                        word_count(F.col(text_col)).alias("_size"), random_bits(F.col(id_col)).alias("_k"))
+                        word_count(F.col(text_col)).alias("_size"), random_bits(F.col(id_col), F.col(text_col)).alias("_k"))
     taken = assign(whole, plan, ("_row",))
     return (taken.where("copies > 0")
             .select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))

@@ -84,7 +84,7 @@ _W = "[" + ", ".join(map(str, mixing.WEIGHTS)) + "]"
 _BITS = mixing.BITS
 SQL["op10_pareto_mix"] = f"""
 WITH d AS (SELECT doc_id, source, CAST(len({_WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size,
-                  CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, {_BITS // 4}) AS BIGINT) AS k
+                  CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, {_BITS // 4}) AS BIGINT) AS k
            FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
 s1 AS (SELECT *, {_W}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS w FROM s0),
@@ -98,13 +98,28 @@ p AS (SELECT source, source_size, least(lv.level * w, CAST(cap AS DOUBLE)) AS ta
 p1 AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio FROM p),
 p2 AS (SELECT *, CAST(floor(ratio) AS BIGINT) AS whole, target - floor(ratio) * source_size AS rest,
               ratio - floor(ratio) AS pi FROM p1),
-x AS (SELECT d.doc_id, d.source, d.size, d.k, p2.source_size, p2.target, p2.whole, p2.rest, p2.pi,
-             sum(d.size) OVER run AS cum, row_number() OVER run AS n
-      FROM d JOIN p2 ON d.source IS NOT DISTINCT FROM p2.source
-      WINDOW run AS (PARTITION BY d.source ORDER BY d.k, d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-e AS (SELECT source, 0 AS n, 0 AS k, abs(rest) AS gap FROM p2 WHERE pi > 0
-      UNION ALL SELECT source, n, k, abs(cum - rest) FROM x WHERE pi > 0),
-c AS (SELECT source, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY gap, k, n) AS best FROM e) WHERE best = 1)
-SELECT x.doc_id, x.size, x.source_size, x.target, x.whole + CASE WHEN x.n <= c.n THEN 1 ELSE 0 END AS copies,
-       (x.whole + CASE WHEN x.n <= c.n THEN 1 ELSE 0 END) * x.size AS taken
-FROM x LEFT JOIN c ON x.source IS NOT DISTINCT FROM c.source"""
+len AS (SELECT source, size, count(*) AS c FROM d WHERE size > 0 GROUP BY 1, 2),
+sq AS (SELECT len.source, len.size, p2.rest - CAST(coalesce(sum(c * size) OVER longer, 0) AS DOUBLE) AS draw,
+              CAST(sum(c * size * size) OVER others AS DOUBLE) AS squares
+       FROM len JOIN p2 ON len.source IS NOT DISTINCT FROM p2.source WHERE p2.pi > 0
+       WINDOW longer AS (PARTITION BY len.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+              others AS (PARTITION BY len.source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+u AS (SELECT source, size AS edge, draw, draw / squares AS unit FROM sq WHERE draw / squares * size < 1
+      QUALIFY row_number() OVER (PARTITION BY source ORDER BY size DESC) = 1),
+y AS (SELECT d.doc_id, d.source, d.size, p2.source_size, p2.target, p2.whole, u.edge,
+             CASE WHEN d.size > 0 AND d.size <= u.edge THEN u.unit * d.size END AS pi,
+             (d.k + CAST(0.5 AS DOUBLE)) / CAST({1 << _BITS} AS DOUBLE) AS v
+      FROM d JOIN p2 ON d.source IS NOT DISTINCT FROM p2.source LEFT JOIN u ON d.source IS NOT DISTINCT FROM u.source),
+z AS (SELECT *, (v / (1 - v)) / (pi / (1 - pi)) AS rank FROM y),
+r AS (SELECT *, CAST(floor(rank / (1 + rank) * CAST({1 << _BITS} AS DOUBLE)) AS BIGINT) AS k FROM z),
+x AS (SELECT *, sum(size) OVER run AS cum, row_number() OVER run AS n
+      FROM r WHERE pi IS NOT NULL
+      WINDOW run AS (PARTITION BY source ORDER BY k, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+e AS (SELECT source, 0 AS n, 0 AS k, abs(draw) AS gap FROM u
+      UNION ALL SELECT x.source, n, k, abs(cum - draw) FROM x JOIN u ON x.source IS NOT DISTINCT FROM u.source),
+c AS (SELECT source, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY gap, k, n) AS best FROM e) WHERE best = 1),
+t AS (SELECT x.doc_id, x.size, x.source_size, x.target, x.whole + CASE WHEN x.n <= c.n THEN 1 ELSE 0 END AS copies
+      FROM x JOIN c ON x.source IS NOT DISTINCT FROM c.source
+      UNION ALL SELECT doc_id, size, source_size, target, whole + CASE WHEN size > edge THEN 1 ELSE 0 END
+      FROM r WHERE pi IS NULL)
+SELECT *, copies * size AS taken FROM t"""

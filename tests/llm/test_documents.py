@@ -1,5 +1,6 @@
 """Document operators against brute force, with nulls, empty, long, repeated and clashing input."""
 
+import hashlib
 import random
 
 import pytest
@@ -270,6 +271,53 @@ def test_mix_cut_is_found_through_finer_bins(docs, monkeypatch):
     assert sorted(mixing.mix(docs).collect()) == want
 
 
+def test_mix_ranks_by_odds_over_odds(docs, rows):
+    """Probabilities, ranks and cuts against a plain reckoning of Pareto order sampling."""
+    got = {r.id: r.copies for r in mixing.mix(docs).collect()}
+    target = {r.id: r.target for r in mixing.mix(docs).collect()}
+    by = {}
+    for r in rows:
+        by.setdefault(r[3], []).append((r[0], len(brute.WORD.findall(r[1] or ""))))
+    unequal = 0
+    for group in by.values():
+        words = sum(n for _, n in group)
+        ratio = target[group[0][0]] / words
+        whole, rest = int(ratio), target[group[0][0]] - int(ratio) * words
+        if ratio == whole:
+            assert all(got[i] == whole for i, _ in group)
+            continue
+        drawn, sure = [(i, n) for i, n in group if n], set()
+        while True:
+            unit = rest / sum(n * n for _, n in drawn)
+            top = max(n for _, n in drawn)
+            if unit * top < 1:
+                break
+            sure |= {i for i, n in drawn if n == top}
+            rest -= sum(n for _, n in drawn if n == top)
+            drawn = [(i, n) for i, n in drawn if n < top]
+        unequal += len({n for _, n in drawn}) > 1
+
+        def rank(doc):
+            u = (int(hashlib.md5(f"mix:{doc[0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2 ** 52
+            p = unit * doc[1]
+            return u / (1 - u) / (p / (1 - p))
+
+        order, best, total, upto = sorted(drawn, key=rank), abs(rest), 0, 0
+        for m, (_, n) in enumerate(order, 1):
+            total += n
+            if abs(total - rest) < best:
+                best, upto = abs(total - rest), m
+        chosen = sure | {i for i, _ in order[:upto]}
+        assert {i: got[i] for i, _ in group} == {i: whole + (i in chosen) for i, _ in group}
+    assert unequal >= 2
+
+
+def test_mix_rows_without_id_are_drawn_by_their_text(make):
+    d = make([(None, f"w{i} " * (i % 5 + 1), "en", "a") for i in range(200)] + [(1, "x " * 300, "en", "b")], DOC)
+    got = [r.copies for r in mixing.mix(d).collect() if r.size <= 5]
+    assert len(got) == 200 and len(set(got)) == 2
+
+
 def test_placement_is_even_stable_and_total(docs, rows):
     table = sharding.lookup_table()
     share = [table.count(i) for i in range(len(sharding.SHARDS))]
