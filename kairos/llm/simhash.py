@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kairos.llm.common import blob_rows, configure, connected_components, materialize, mix, partitions_for, words
@@ -65,18 +65,24 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for every row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """(id, fp) for every row; fp is the fingerprint as a signed long.  With ``digest`` also the text's MD5."""
     configure(docs.sparkSession)
-    lean = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+    lean = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"),
+                       *([_text_digest(text_col).alias("digest")] if digest else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]],
+                                             names=["id", "fp", "digest"][:b.num_columns])
 
     kind = lean.schema["id"].dataType.simpleString()
-    return lean.mapInArrow(run, f"id {kind}, fp long")
+    return lean.mapInArrow(run, f"id {kind}, fp long" + (", digest string" if digest else ""))
+
+
+def _text_digest(text_col: str) -> Column:
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def _emit(buckets: int):
@@ -163,9 +169,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those that repeat a smaller id's component.
+    """One row of ``docs`` for each component, with all its columns: that of the smallest id (rows without an
+    id last), then of the smallest digest of its text.
 
-    Of repeated rows with one id all stay; rows without an id stay."""
-    d = near_duplicates(docs, id_col, text_col)
-    drop = d.where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(drop, id_col, "left_anti")
+    Rows are told apart by id and text, so one id on two texts is two documents.  Of rows that repeat
+    both, one stays, whichever of them; a null text counts as empty, and texts without words are one
+    component.  An empty table gives no rows.
+    """
+    marked = materialize(fingerprints(docs, id_col, text_col, digest=True))
+    found = materialize(marked.groupBy("id", "digest").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    distinct = materialize(found.groupBy("fp").agg(F.min(order).alias("low")))
+    comp = connected_components(links(distinct)).withColumnRenamed("node", "fp")
+    joined = distinct.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    first = joined.groupBy("component").agg(F.min("low").alias("one"))
+    label = joined.join(first, "component").select("fp", "one")
+    judged = found.join(label, "fp").withColumn("stays", order.eqNullSafe(F.col("one")))
+    # rows that need a look: those that go, and those that stay but repeat
+    touched = materialize(judged.where("not stays or n > 1").select("id", "digest", "stays"))
+    tagged = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"),
+                         _text_digest(text_col).alias("_digest"))
+    same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("digest"))
+    out = tagged.join(touched, same, "left_anti").select("_row.*")
+    again = touched.where("stays")
+    if again.isEmpty():
+        return out
+    return out.union(tagged.join(again, same, "left_semi").dropDuplicates(["_id", "_digest"]).select("_row.*"))
