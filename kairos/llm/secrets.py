@@ -119,14 +119,34 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col:
     return paths
 
 
+#: A blob of more than one in HOT paths is hot (so there are fewer than HOT); its paths are dealt over SALT tasks.
+HOT, SALT = 1000, 64
+
+
+def _to_paths(paths: DataFrame, told: DataFrame) -> DataFrame:
+    """``paths`` with the columns of ``told``, which has one row per blob."""
+    paths = materialize(paths)
+    hot = F.broadcast(materialize(paths.groupBy("blob").count().where(F.col("count") > paths.count() / HOT)
+                                  .select("blob", F.lit(SALT).alias("_n"))))
+    dealt = (paths.join(hot, "blob", "left")
+             .withColumn("_salt", F.coalesce(F.monotonically_increasing_id() % F.col("_n"), F.lit(0)).cast("long")).drop("_n"))
+    copied = (told.join(hot, "blob", "left")
+              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1).cast("array<long>")))
+              .drop("_n"))
+    return dealt.join(copied, ["blob", "_salt"]).drop("_salt")
+
+
+def _known(spark: SparkSession, ledger: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, found) per blob of the ledger.  Scans that overlap may append a blob twice; each span counts once."""
+    current = F.array(*[F.lit(r.key) for r in rules])
+    return (spark.read.schema(LEDGER).parquet(ledger)
+            .select("blob", F.filter("spans", lambda s: F.array_contains(current, s["rule"])).alias("spans"))
+            .groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("found")))
+
+
 def findings(paths: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(id, blob, found) per path: found holds the spans of the given rule versions, by start, then rule."""
-    spark = paths.sparkSession
-    current = F.array(*[F.lit(r.key) for r in rules])
-    known = (spark.read.schema(LEDGER).parquet(ledger)
-             .select("blob", F.filter("spans", lambda s: F.array_contains(current, s["rule"])).alias("spans"))
-             .groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("found")))
-    return paths.join(known, "blob")
+    return _to_paths(paths, _known(paths.sparkSession, ledger, rules))
 
 
 def _joined(spans: Column) -> Column:
@@ -138,9 +158,7 @@ def digest(paths: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> Da
     """Per path: counts of the base kinds, SHA-256 of the base spans, and all spans as text."""
     base = F.array(*[F.lit(r.key) for r in rules if r.base])
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
-    spark = paths.sparkSession
-    blobs = findings(spark.read.schema(LEDGER).parquet(ledger).select("blob").distinct(), ledger, rules)
-    told = blobs.select("blob", *[count(r.kind).alias(f"n_{r.kind}") for r in rules if r.base],
+    told = _known(paths.sparkSession, ledger, rules).select("blob", *[count(r.kind).alias(f"n_{r.kind}") for r in rules if r.base],
                         F.sha2(_joined(F.filter("found", lambda s: F.array_contains(base, s["rule"]))), 256)
                         .alias("base_sha256"), _joined(F.col("found")).alias("spans"))
-    return paths.join(told, "blob")
+    return _to_paths(paths, told)
