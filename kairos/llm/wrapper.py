@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as htmllib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,8 +43,9 @@ NOISE = re.compile(r"(?:^|[^a-z])(?:nav\w*|menu\w*|sidebar\w*|masthead|breadcrum
                    r"newsletter|subscribe|widgets?|contentinfo|complementary|navigation|search)(?:$|[^a-z])")
 MAIN = re.compile(r"(?:^|[^a-z])(?:article\w*|main|content|post|entry|story|body)(?:$|[^a-z])")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|"
-                    r"\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z|[^<]+|<", re.S | re.I)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r">|=\s*([\"'])")
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style")}
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 #: A sequence longer than this turns into one repeated group of optional parts.
@@ -57,6 +59,50 @@ TEMPLATE_PAGES = 3
 BROADCAST_BYTES = 32 << 20
 
 
+def _tag_end(page: str, pos: int) -> int:
+    """Place after the tag whose name ends at ``pos``: a > outside quoted values, or beyond a quote that never closes."""
+    while m := _STOP.search(page, pos):
+        if not m[1]:
+            return m.end()
+        shut = page.find(m[1], m.end())
+        pos = m.end() if shut < 0 else shut + 1
+    return -1
+
+
+def tokens(page: str) -> Iterator[tuple[str | None, str]]:
+    """(tag, attributes) for tags, closing ones with a leading /, and (None, text), in one forward pass.
+
+    Comments, declarations, scripts, styles and a tag that the page's end cuts off are passed over; a < that
+    begins nothing is text.  Nothing is read twice, so the time is linear in the page."""
+    pos, n = 0, len(page)
+    while pos < n:
+        at = page.find("<", pos)
+        if at != pos:
+            at = n if at < 0 else at
+            yield None, page[pos:at]
+            pos = at
+        elif page.startswith("<!--", pos):
+            end = page.find("-->", pos + 4)
+            pos = n if end < 0 else end + 3
+        elif m := _OPEN.match(page, pos):
+            end = _tag_end(page, m.end())
+            if end < 0:
+                return
+            tag = m[2].lower()
+            if not m[1] and tag in _RAW_END:
+                shut = _RAW_END[tag].search(page, end)
+                pos = shut.end() if shut else n
+                continue
+            yield m[1] + tag, page[m.end():end - 1]
+            pos = end
+        elif page.startswith(("<!", "<?", "</"), pos):
+            end = page.find(">", pos)
+            pos = n if end < 0 else end + 1
+        else:
+            yield None, "<"
+            pos += 1
+
+
 def _key(tag: str, attrs: str) -> str:
     named = sorted((m[1].lower(), re.sub(r"\d+", "0", (m[2] or m[3] or m[4] or "").lower()))
                    for m in _ATTR.finditer(attrs)) if attrs else ()
@@ -97,8 +143,8 @@ def read(page: str) -> tuple[Slot, list[tuple[str, str, int]]]:
     """The page's own wrapper and its text blocks (path, text, characters inside links), in page order."""
     root = Slot("page")
     stack: list[tuple[str, str, Slot]] = [("", "", root)]      # tag, path, slot of open block elements
-    inline: list[str] = []
-    deep: list[str] = []
+    inline: Counter[str] = Counter()
+    deep: Counter[str] = Counter()
     blocks: list[tuple[str, str, int]] = []
     slots: list[Slot] = []
     text: list[str] = []
@@ -126,24 +172,21 @@ def read(page: str) -> tuple[Slot, list[tuple[str, str, int]]]:
                 return False
         return False
 
-    for m in _TOKEN.finditer(page):
-        tag = m[3]
+    for tag, attrs in tokens(page):
         if tag is None:
-            piece = m[0]
-            if piece[0] != "<" or piece == "<":
-                text.append(piece)
-                if "a" in inline:
-                    link += len(piece)
+            text.append(attrs)
+            if inline["a"]:
+                link += len(attrs)
             continue
-        tag, attrs = tag.lower(), m[4]
-        if m[2]:
-            if tag in inline:
-                inline.remove(tag)
+        if tag[0] == "/":
+            tag = tag[1:]
+            if inline[tag]:
+                inline[tag] -= 1
             elif tag == "body" or tag == "html":
                 flush()
-            elif tag in deep:
+            elif deep[tag]:
                 flush()
-                deep.remove(tag)
+                deep[tag] -= 1
             else:
                 close((tag,), None)
                 if tag == "head":
@@ -163,7 +206,7 @@ def read(page: str) -> tuple[Slot, list[tuple[str, str, int]]]:
             continue
         if tag in INLINE and not (attrs and NOISE.search(_key("", attrs))):
             if not attrs.endswith("/"):
-                inline.append(tag)
+                inline[tag] += 1
             continue
         flush()
         if tag in CLOSES_P:
@@ -172,7 +215,7 @@ def read(page: str) -> tuple[Slot, list[tuple[str, str, int]]]:
         if tag in SIBLINGS:
             close(SIBLINGS[tag], SCOPE - set(SIBLINGS[tag]))
         if len(stack) > DEEPEST:
-            deep.append(tag)
+            deep[tag] += 1
             continue
         key = _key(tag, attrs)
         slot = Slot(key)

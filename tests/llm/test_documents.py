@@ -88,6 +88,15 @@ def test_simhash_repeated_and_null_ids(make):
     assert got == [(1, 1), (1, 1), (None, 1), (None, None)]
 
 
+def test_simhash_keeps_one_by_row(make):
+    a, u = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    kept = lambda rows: sorted(map(tuple, simhash.keep_one(make(rows, "doc_id long, text string")).collect()),
+                               key=str)
+    assert kept([(1, a), (2, a), (2, u)]) == [(1, a), (2, u)]
+    assert kept([(1, a), (1, a), (None, a), (None, a)]) == [(1, a)]
+    assert kept([(None, a), (None, u), (None, u)]) == [(None, u), (None, a)]
+
+
 def test_quality_statistics_and_base(docs, rows):
     got = {r.doc_id: r for r in quality.judge(clashing(docs)).collect()}
     assert len(got) == len(rows)
@@ -160,6 +169,17 @@ def test_secrets_ledger_scans_only_what_is_new(spark, make):
     assert [r.spans for r in secrets.digest(two, ledger, newer).orderBy("id").collect()] == ["", *["assign:0:14"] * 3]
 
 
+def test_secrets_of_overlapping_scans_count_once(spark, make):
+    a = make([(i, "token=abcdefgh1") for i in range(50)] + [(None, "token=abcdefgh1"), (99, "x")], "doc_id long, text string")
+    ledger = secrets.new_ledger(spark)
+    paths = secrets.scan(a, ledger)
+    rows = spark.read.parquet(ledger).collect()
+    spark.createDataFrame(rows, spark.read.parquet(ledger).schema).write.mode("append").parquet(ledger)
+    got = secrets.digest(paths, ledger).collect()
+    assert len(got) == 52 and sorted((r.n_assign, r.spans) for r in got) == [(0, "")] + [(1, "assign:0:15")] * 51
+    assert secrets.findings(paths, ledger).where("size(found) = 1").count() == 51
+
+
 def test_containment_equals_brute_force(spark, docs, rows):
     long = rows[75][1].split()
     items = [(1, " ".join(long[500:540])), (2, " ".join(long[700:730] + ["other"] * 4)), (3, "Tie  TIE"), (4, None),
@@ -349,7 +369,7 @@ def test_null_rows_everywhere(make):
     bench = make([(None, None), (1, "a b")], "item_id long, text string")
     assert decontaminate.contaminated(d, bench).count() == 2 and decontaminate.keep_clean(d, bench).count() == 3
     assert quality.judge(d).where("base_failed and not kept").count() == 5 and quality.keep_good(d).count() == 0
-    assert simhash.keep_one(d).count() == 5          # one document by id, and rows without an id
+    assert simhash.keep_one(d).count() == 2          # rows without words, and the repeated document
     assert mixing.mix(d).count() == 5 and mixing.mix_rows(d).where("doc_id = 1").count() == 3
     assert sharding.place(d).select("shard").distinct().count() <= 2
     assert lines.dedup_lines(d).count() == 5

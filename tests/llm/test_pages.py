@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,6 +175,23 @@ def test_odd_pages(make):
     assert wrapper.extract(make([], PAGE)).count() == 0
 
 
+@pytest.mark.parametrize("piece, tail", [("<a ", '">'), ("<script ", '">'), ("<a b='", ""), ("<b>x", ""), ("<div>", "</div>"),
+                                         ("<!--", ""), ("<", ""), ("</", ""), ('<a b="', "'>"), ("<p ='\"", ">")])
+def test_hostile_markup_takes_linear_time(piece, tail):
+    page = piece * (1_000_000 // len(piece)) + tail
+    start = time.process_time()
+    wrapper.read(page[:len(page) // 4])
+    quarter = time.process_time() - start
+    wrapper.read(page)
+    assert time.process_time() - start - quarter < max(1.0, 8 * quarter)
+
+
+def test_tags_end_outside_quoted_values():
+    page = """<p title="a > b" id='x>y'>one<a href=it's>two</a> 3 < 4</p><P class = "n>" >five<p data-x="never>six"""
+    blocks = wrapper.read(page)[1]
+    assert [b[1] for b in blocks] == ["onetwo 3 < 4", "five", "six"]
+
+
 def test_wrapper_is_a_union_free_expression():
     """Mismatches become optional parts, repeats become groups, in either order of alignment."""
     a, _ = wrapper.read("<div><h1>t</h1><p>a<p>b<ul><li>1<li>2</ul></div>")
