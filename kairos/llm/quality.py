@@ -3,9 +3,11 @@
 Statistics of every text are transformed to four roughly normal numbers.  Within
 each (language, source) group a minimum-covariance-determinant estimate is found
 by concentration steps: mean and covariance of the kept part, Mahalanobis
-distances of all rows, the nearest half kept for the next step; rows near the last
-one give the final estimate.  As start and core rest on half of a group, junk may be
-nearly the other half.  Rows far from the estimate are rejected.  Everything is grouped sums and small joins:
+distances of all rows, the nearest half kept for the next step.  Three fixed starts
+(median deviations, covariance of hyperbolic tangents, spatial signs) take a few
+steps each; the start whose half has the least determinant goes on until the
+determinant stands, and rows near that estimate give the final one.  As starts and
+core rest on half of a group, junk may be nearly the other half.  Rows far from the estimate are rejected.  Everything is grouped sums and small joins:
 order statistics come from histograms of fixed bins, so no group is ever sorted
 or gathered, and a group that holds a third of all rows costs what its rows cost.
 """
@@ -22,9 +24,11 @@ from kairos.llm.common import WS, configure, materialize
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
-#: Share of a group that the estimate rests on, and concentration steps.
+#: Share of a group that the estimate rests on, and concentration steps of every start.
 CORE = 0.5
-STEPS = 4
+TRIAL = 2
+#: An estimate stands when a step lowers its determinant by less than this share.
+STANDS = 1e-3
 #: Squared distances above this are rejected: the 1 - 1e-6 quantile of chi-square with 4 degrees.
 CUT = 33.4
 #: Rows up to this, the 0.975 quantile, give the final estimate.
@@ -101,12 +105,12 @@ _PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    """Mean, covariance (floored) and its Cholesky factor per group, as columns."""
+    """Mean, covariance (floored), its Cholesky factor and determinant per group and start, as columns."""
     agg = [F.count(F.lit(1)).alias("n")]
     agg += [F.sum(x).alias(f"s_{x}") for x in FEATURES]
     agg += [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in _PAIRS]
-    m = rows.groupBy("g").agg(*agg)
-    m = m.select("g", *[(F.col(f"s_{x}") / F.col("n")).alias(f"m{i}") for i, x in enumerate(FEATURES)],
+    m = rows.groupBy("g", "st").agg(*agg)
+    m = m.select("g", "st", *[(F.col(f"s_{x}") / F.col("n")).alias(f"m{i}") for i, x in enumerate(FEATURES)],
                  *[(F.col(f"q{i}{j}") / F.col("n") - F.col(f"s_{FEATURES[i]}") * F.col(f"s_{FEATURES[j]}")
                     / (F.col("n") * F.col("n"))).alias(f"v{i}{j}") for i, j in _PAIRS])
     return _cholesky(m)
@@ -114,16 +118,18 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 def _cholesky(m: DataFrame) -> DataFrame:
     means = [f"m{i}" for i in range(len(FEATURES))]
+    det = F.lit(1.0)
     for i, j in _PAIRS:
         e = F.col(f"v{i}{j}")
         for k in range(j):
             e = e - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         if i == j:
             e = F.sqrt(F.greatest(e, F.lit(0.0)) + FLOOR[i] ** 2)
+            det = det * F.col(f"l{i}{i}") * F.col(f"l{i}{i}")
         else:
             e = e / F.col(f"l{j}{j}")
         m = m.withColumn(f"l{i}{j}", e)
-    return m.select("g", *means, *[f"l{i}{j}" for i, j in _PAIRS])
+    return m.select("g", "st", *means, *[f"l{i}{j}" for i, j in _PAIRS], det.alias("det"))
 
 
 def _distance() -> Column:
@@ -145,11 +151,11 @@ def _bin(d: Column) -> Column:
 
 
 def _quantile_bin(rows: DataFrame, bins: Column, share: float, name: str) -> DataFrame:
-    """(g, name): least bin up to which the share of the group's rows lies."""
-    counts = rows.groupBy("g", bins.alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    up = Window.partitionBy("g").orderBy("b")
-    cum = counts.withColumn("up", F.sum("c").over(up)).withColumn("n", F.sum("c").over(Window.partitionBy("g")))
-    return cum.where(F.col("up") >= F.lit(share) * F.col("n")).groupBy("g").agg(F.min("b").alias(name))
+    """(g, st, name): least bin up to which the share of the group's rows lies."""
+    counts = rows.groupBy("g", "st", bins.alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    key = Window.partitionBy("g", "st")
+    cum = counts.withColumn("up", F.sum("c").over(key.orderBy("b"))).withColumn("n", F.sum("c").over(key))
+    return cum.where(F.col("up") >= F.lit(share) * F.col("n")).groupBy("g", "st").agg(F.min("b").alias(name))
 
 
 #: Median of chi-square with 4 degrees of freedom: distances are scaled so that each group's median is this.
@@ -174,15 +180,14 @@ def _scaled(fit: DataFrame, near: DataFrame, median: float) -> DataFrame:
     mid = _quantile_bin(near.withColumn("d", _distance()), _bin(F.col("d")), 0.5, "mid")
     # the core's covariance is too small; the floor already widens groups without spread
     scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("mid") + 1.0) / FINE) / median)
-    return fit.join(mid, "g").withColumn("scale", scale).drop("mid")
+    return fit.join(mid, ["g", "st"]).withColumn("scale", scale).drop("mid")
 
 
-def robust_distance(rows: DataFrame, few: bool) -> DataFrame:
-    """(g, mean and factor columns, scale) per group of ``rows`` (g, x1..x4).
+def _starts(rows: DataFrame, near_by) -> DataFrame:
+    """Three estimates per group, st = 0, 1, 2, all about the medians.
 
-    ``few``: the groups are no more than BROADCAST_GROUPS."""
-    near_by = F.broadcast if few else (lambda df: df)
-    # start: medians and median deviations from them, all features from one histogram
+    One histogram of all features gives medians m and median deviations s; one more pass over
+    z = (x - m) / s gives the sums of tanh(z) tanh(z)' and of z z' / |z|^2, each scaled back by s."""
     long = rows.select("g", F.explode(F.array(*[
         F.struct(F.lit(i).alias("f"), F.floor(F.col(x) * START_BINS).cast("int").alias("b"))
         for i, x in enumerate(FEATURES)])).alias("x")).select("g", "x.*")
@@ -191,21 +196,71 @@ def robust_distance(rows: DataFrame, few: bool) -> DataFrame:
     off = counts.join(near_by(mid), ["g", "f"]).withColumn("d", F.abs(F.col("b") - F.col("m")))
     marks = mid.join(_middle(off, "d", "s"), ["g", "f"])
     of = lambda i, e: F.max(F.when(F.col("f") == i, e))
-    start = marks.groupBy("g").agg(
-        *[of(i, (F.col("m") + 0.5) / START_BINS).alias(f"m{i}") for i in range(len(FEATURES))],
-        *[of(i, F.pow(F.col("s") / START_BINS * 1.4826, F.lit(2))).alias(f"v{i}{i}")
-          for i in range(len(FEATURES))])
-    start = start.select("*", *[F.lit(0.0).alias(f"v{i}{j}") for i, j in _PAIRS if i != j])
-    fit = materialize(_cholesky(start))
-    for _ in range(STEPS):
-        near = rows.join(near_by(fit), "g").withColumn("d", _distance())
-        limit = _quantile_bin(near, _bin(F.col("d")), CORE, "limit")
-        core = rows.join(near_by(fit.join(limit, "g")), "g").where(_bin(_distance()) <= F.col("limit"))
-        fit = materialize(_moments(core.select("g", *FEATURES)))
+    spread = F.col("s") / START_BINS * 1.4826
+    width = range(len(FEATURES))
+    centre = materialize(marks.groupBy("g").agg(*[of(i, (F.col("m") + 0.5) / START_BINS).alias(f"m{i}") for i in width],
+                                                *[of(i, spread).alias(f"s{i}") for i in width]))
+    z = rows.join(near_by(centre), "g").select("g", *[
+        ((F.col(x) - F.col(f"m{i}")) / F.greatest(F.col(f"s{i}"), F.lit(FLOOR[i]))).alias(f"z{i}")
+        for i, x in enumerate(FEATURES)])
+    far = F.greatest(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in width), F.lit(0.0)), F.lit(1e-12))
+    sums = z.withColumn("far", far).groupBy("g").agg(
+        *[F.avg(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"h{i}{j}") for i, j in _PAIRS],
+        *[(len(FEATURES) * F.avg(F.col(f"z{i}") * F.col(f"z{j}") / F.col("far"))).alias(f"p{i}{j}") for i, j in _PAIRS])
+    wide = centre.join(sums, "g")
+    scale = lambda i: F.greatest(F.col(f"s{i}"), F.lit(FLOOR[i]))
+    first = [(F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, j in _PAIRS]
+    scaled = lambda c: [(F.col(f"{c}{i}{j}") * scale(i) * scale(j)).alias(f"v{i}{j}") for i, j in _PAIRS]
+    each = F.array(*[F.struct(F.lit(n).alias("st"), *v) for n, v in enumerate((first, scaled("h"), scaled("p")))])
+    return _cholesky(wide.select("g", *[f"m{i}" for i in width], F.explode(each).alias("e"))
+                     .select("g", *[f"m{i}" for i in width], "e.*"))
+
+
+def _step(rows: DataFrame, fit: DataFrame, near_by) -> DataFrame:
+    """One concentration step of every estimate in ``fit``: moments of the half that is nearest to it."""
+    limit = _quantile_bin(rows.join(near_by(fit), "g").withColumn("d", _distance()), _bin(F.col("d")), CORE, "limit")
+    core = rows.join(near_by(fit.join(limit, ["g", "st"])), "g").where(_bin(_distance()) <= F.col("limit"))
+    return materialize(_moments(core.select("g", "st", *FEATURES)))
+
+
+def least_determinant(rows: DataFrame, near_by=lambda df: df) -> DataFrame:
+    """(g, st, mean and factor columns, det): the standing estimate of least determinant per group.
+
+    Every start takes TRIAL steps, then the best of each group goes on.  A group is done when a step
+    doesn't lower its determinant by STANDS any more, so no group takes a fixed number of steps;
+    determinants have a floor, so all come to an end.  The driver reads one flag per step."""
+    fit = materialize(_starts(rows, near_by))
+    for _ in range(TRIAL):
+        fit = _step(rows, fit, near_by)
+    best = fit.groupBy("g").agg(F.min(F.struct("det", "st")).alias("b")).select("g", "b.st")
+    fit = materialize(fit.join(best, ["g", "st"]))
+    done = []
+    while True:
+        new = _step(rows, fit, near_by)
+        before = fit.select("g", F.col("det").alias("old"))
+        falls = materialize(new.join(before, "g").withColumn("falls", F.col("det") < F.col("old") * (1 - STANDS)))
+        done.append(fit.join(falls.where("not falls").select("g"), "g", "left_semi"))
+        fit = materialize(falls.where("falls").drop("old", "falls"))
+        if fit.isEmpty():
+            break
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return materialize(out)
+
+
+def robust_distance(rows: DataFrame, few: bool) -> DataFrame:
+    """(g, mean and factor columns, scale) per group of ``rows`` (g, x1..x4).
+
+    ``few``: the groups are no more than BROADCAST_GROUPS."""
+    near_by = F.broadcast if few else (lambda df: df)
+    rows = materialize(rows.select("g", *FEATURES))
+    fit = least_determinant(rows, near_by)
     fit = materialize(_scaled(fit, rows.join(near_by(fit), "g"), _MEDIAN))
-    near = materialize(rows.join(near_by(fit), "g").where(_distance() / F.col("scale") <= NEAR).select("g", *FEATURES))
+    near = materialize(rows.join(near_by(fit), "g").where(_distance() / F.col("scale") <= NEAR)
+                       .select("g", "st", *FEATURES))
     fit = materialize(_moments(near))
-    return materialize(_scaled(fit, near.join(near_by(fit), "g"), _NEAR_MEDIAN))
+    return materialize(_scaled(fit, near.drop("st").join(near_by(fit), "g"), _NEAR_MEDIAN).drop("st", "det"))
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -215,7 +270,10 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     A row is kept if it passes the base limits and its scaled squared distance
     is at most CUT.  Null languages and sources are groups of their own; repeated
     rows are judged alike; an empty table gives no rows.  Rows that fail the base
-    limits don't shape the estimates.
+    limits don't shape the estimates.  A covariance of four numbers needs rows: a
+    (language, source) group with fewer than MIN_GROUP that pass the base limits is
+    judged by the estimate of its language's rows, and where the language has fewer
+    too by that of all rows.
     """
     spark = docs.sparkSession
     configure(spark)
