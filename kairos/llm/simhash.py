@@ -32,6 +32,8 @@ from kairos.llm.common import blob_rows, configure, connected_components, materi
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
+#: A list of at most this many rows (a few MB) is broadcast against the documents; a longer one is joined by shuffle.
+BROADCAST_ROWS = 100_000
 #: Variants that one task gathers; 10 bytes each.
 PER_TASK = 1_500_000
 
@@ -187,11 +189,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     judged = found.join(label, "fp").withColumn("stays", order.eqNullSafe(F.col("one")))
     # rows that need a look: those that go, and those that stay but repeat
     touched = materialize(judged.where("not stays or n > 1").select("id", "digest", "stays"))
+    near_by = F.broadcast if touched.count() <= BROADCAST_ROWS else (lambda df: df)
     tagged = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"),
                          _text_digest(text_col).alias("_digest"))
     same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("digest"))
-    out = tagged.join(touched, same, "left_anti").select("_row.*")
+    out = tagged.join(near_by(touched), same, "left_anti").select("_row.*")
     again = touched.where("stays")
     if again.isEmpty():
         return out
-    return out.union(tagged.join(again, same, "left_semi").dropDuplicates(["_id", "_digest"]).select("_row.*"))
+    once = tagged.join(near_by(again), same, "left_semi").dropDuplicates(["_id", "_digest"])
+    return out.union(once.select("_row.*"))
