@@ -109,3 +109,57 @@ def test_recall_of_the_bands(spark):
                 shared[i, j] = shared.get((i, j), 0) + 1
     near = {p for p, n in shared.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
     assert len(near) > 1000 and len(near & met) >= 0.99 * len(near)
+
+
+def test_lines_too_unlike_in_size_never_meet():
+    """A line and half as much again share bands, but not 0.8 of their shingles; entries take 14 bytes."""
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    short = [" ".join(word() for _ in range(24)) for _ in range(40)]
+    texts = [x for s in short for x in (s, s + " " + " ".join(word() for _ in range(12)))]
+    looks = [x.decode() for x in _looks(40, 13)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts + looks])], names=["t"])
+    blobs = list(lines._signatures(1)([batch]))
+    entries = len(lines._band_entries([t.encode() for t in texts + looks], np.arange(len(texts) + 40))[0])
+    assert sum(len(x) for b in blobs for c in b.columns[1:] for x in c.to_pylist()) <= 14 * entries
+    met = [r for b in lines._meet(blobs) for r in b.to_pylist()]
+    groups: dict = {}
+    for r in met:
+        groups.setdefault(r["band"], set()).add(r["key"])
+    key = lambda t: lines.key_of(t.encode())
+    assert not any({key(a), key(b)} <= g for a, b in zip(texts[::2], texts[1::2]) for g in groups.values())
+    assert {key(t) for t in looks} <= {r["key"] for r in met}
+
+
+def test_small_groups_are_compared_together(monkeypatch):
+    """400 groups of 2 to 16 lines: exact links, by few passes over the shingles."""
+    rnd = random.Random(17)
+    odd = [b"a", "é日本".encode(), b"abcdef", b"\xff\xfe bad \xe2\x82", b"x" * 5000, b"abc" * 900]
+    groups = []
+    for s in range(400):
+        g = rnd.sample(_looks(20, s), rnd.randrange(2, 15)) + rnd.sample(odd, rnd.randrange(3))
+        groups.append(sorted({lines.key_of(t): t for t in g}.items()))
+    rows = [(n, 0, 1, True, k, zlib.compress(t)) for n, g in enumerate(groups) for k, t in g]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["band", "block", "cut", "rep", "key", "line"])
+    calls, hashes = [], lines._hashes
+    monkeypatch.setattr(lines, "_hashes", lambda x: calls.append(len(x)) or hashes(x))
+    links = [(r["u"], r["v"]) for b in lines._first_round([batch]) for r in b.to_pylist()]
+    assert len(calls) < 40
+    text = {k: t for g in groups for k, t in g}
+    assert all(_jaccard(text[u], text[v]) >= 0.8 - 1e-9 for u, v in links)
+
+    def parts(nodes, pairs):
+        root = {k: k for k in nodes}
+        for u, v in pairs:
+            a, b = root[u], root[v]
+            root = {k: a if r == b else r for k, r in root.items()}
+        return {frozenset(k for k in nodes if root[k] == r) for r in root.values()}
+
+    told: dict = {}
+    for u, v in links:
+        told.setdefault(frozenset((u, v)), (u, v))
+    for g in groups[:60]:
+        keys = [k for k, _ in g]
+        want = [(u, v) for u, a in g for v, b in g if u < v and _jaccard(a, b) >= 0.8 - 1e-9]
+        have = [p for p in told.values() if set(p) <= set(keys)]
+        assert parts(keys, have) == parts(keys, want)
